@@ -75,6 +75,6 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     listed = rules.select("key", "verdict")
     exact = hits.join(F.broadcast(listed) if n <= BROADCAST_RULES else listed, "key")
     best = exact.groupBy("host", "path").agg(F.max_by(F.struct("key", "verdict"), F.struct(F.length("key"), "key")).alias("best"))
-    best = best.select(F.xxhash64("host", "path").alias("pair"), F.col("host").alias("best_host"), F.col("path").alias("best_path"), "best")
-    joined = seen.withColumn("pair", F.xxhash64("host", "path")).join(best, (F.col("pair") == best["pair"]) & (F.col("host") == F.col("best_host")) & (F.col("path") == F.col("best_path")), "left")
+    best = best.select(F.xxhash64("host", "path").alias("best_pair"), F.col("host").alias("best_host"), F.col("path").alias("best_path"), "best")
+    joined = seen.withColumn("pair", F.xxhash64("host", "path")).join(best, (F.col("pair") == F.col("best_pair")) & (F.col("host") == F.col("best_host")) & (F.col("path") == F.col("best_path")), "left")
     return joined.select(*[c for c in seen.columns], F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
