@@ -6,13 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, sharding, urlfilter
+from . import ann, mixing, sharding, topk, urlfilter, vectors
 from .runtime import ship, table
 
 #: The URL rules of op10 as host, path, verdict.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every 20th vector against all others."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").where(vectors.finite(F.col("embedding")))
+    scaled = F.transform("embedding", lambda x, i: F.struct(i.alias("term"), F.floor(x.cast("double") * 64).alias("weight")))
+    rows = rows.select("id", F.filter(scaled, lambda t: t["weight"] != 0).alias("t")).select("id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
+    return topk.search(rows.where("id % 20 = 0"), rows, 20)
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every 20th vector among all others."""
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -42,6 +55,17 @@ SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 """
 
 
+#: Vectors that are null or hold null or non-finite components take no part.
+OP1_SQL = r"""
+WITH valid AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+terms AS (SELECT vec_id, unnest(v) AS w, generate_subscripts(v, 1) AS t FROM valid),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.w * c.w) AS BIGINT) AS score FROM terms q JOIN terms c ON q.t = c.t AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -51,5 +75,5 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op4_mix_sources, op7_shard, op10_url_filter)}
-ORACLE_SQL = {"op4_mix_sources": mixing.ORACLE_SQL, "op10_url_filter": OP10_SQL}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_exact_topk, op4_mix_sources, op7_shard, op9_ann, op10_url_filter)}
+ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_mix_sources": mixing.ORACLE_SQL, "op10_url_filter": OP10_SQL}
