@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, mixing, sharding, topk, urlfilter, vectors
+from . import ann, bpe, mixing, sharding, topk, urlfilter, vectors
 from .runtime import ship, table
 
 #: The URL rules of op10 as host, path, verdict.
@@ -31,6 +32,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded, and its ids decoded again."""
+    ranks = {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", **ranks)
+    both = bpe.decode(ids, "ids", **ranks)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of sizes one row apart at most."""
     text = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
@@ -75,5 +84,5 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_exact_topk, op4_mix_sources, op7_shard, op9_ann, op10_url_filter)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_exact_topk, op4_mix_sources, op6_byte_bpe, op7_shard, op9_ann, op10_url_filter)}
 ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_mix_sources": mixing.ORACLE_SQL, "op10_url_filter": OP10_SQL}
