@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, mixing, sharding, topk, urlfilter, vectors
+from . import ann, bpe, jaccard, mixing, sharding, topk, urlfilter, vectors
 from .runtime import ship, table
 
 #: The URL rules of op10 as host, path, verdict.
@@ -27,6 +27,11 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the component of their near duplicates: five-word shingles, Jaccard 0.8 or more."""
+    return jaccard.join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -84,5 +89,5 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_exact_topk, op4_mix_sources, op6_byte_bpe, op7_shard, op9_ann, op10_url_filter)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_exact_topk, op2_ngram_jaccard, op4_mix_sources, op6_byte_bpe, op7_shard, op9_ann, op10_url_filter)}
 ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_mix_sources": mixing.ORACLE_SQL, "op10_url_filter": OP10_SQL}
