@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, jaccard, mixing, sharding, topk, urlfilter, vectors
+from . import ann, bpe, jaccard, mixing, sharding, topk, toxicity, urlfilter, vectors
 from .runtime import ship, table
 
 #: The URL rules of op10 as host, path, verdict.
@@ -22,6 +22,13 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(rows.where("id % 20 = 0"), rows, 20)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored by a model fitted on labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every 20th vector among all others."""
     return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
@@ -89,5 +96,5 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_exact_topk, op2_ngram_jaccard, op4_mix_sources, op6_byte_bpe, op7_shard, op9_ann, op10_url_filter)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_exact_topk, op2_ngram_jaccard, op4_mix_sources, op6_byte_bpe, op7_shard, op8_toxicity, op9_ann, op10_url_filter)}
 ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_mix_sources": mixing.ORACLE_SQL, "op10_url_filter": OP10_SQL}
