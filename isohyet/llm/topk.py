@@ -22,20 +22,36 @@ CHUNK = 64
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def accumulate(q_terms, q_rows, q_weights, n_queries: int, postings: dict, n_rows: int) -> np.ndarray:
-    """Scores of n_queries sparse queries against the index: {term: (row numbers, weights)}."""
-    scores = np.zeros((n_queries, n_rows), np.int64)
-    order = np.argsort(q_terms, kind="stable")
-    q_terms, q_rows, q_weights = q_terms[order], q_rows[order], q_weights[order]
-    starts = np.flatnonzero(np.r_[True, q_terms[1:] != q_terms[:-1]]) if len(q_terms) else []
-    for a, b in zip(starts, [*starts[1:], len(q_terms)], strict=True) if len(starts) else ():
-        if (found := postings.get(q_terms[a])) is None:
+def index_postings(terms: np.ndarray, slots: np.ndarray, weights: np.ndarray, n_rows: int) -> dict:
+    """{term: (row numbers, weights)}; a list that most rows are on has None for its numbers and a weight, maybe 0, for every row."""
+    order = np.argsort(terms, kind="stable")
+    terms, slots, weights = terms[order], slots[order], weights[order]
+    bounds = [*np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]), len(terms)] if len(terms) else []
+    out = {}
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        out[int(terms[a])] = (slots[a:b], weights[a:b])
+        if 2 * (b - a) >= n_rows:
+            full = np.zeros(n_rows, weights.dtype)
+            np.add.at(full, slots[a:b], weights[a:b])
+            out[int(terms[a])] = (None, full)
+    return out
+
+
+def accumulate(query_postings: dict, n_queries: int, postings: dict, n_rows: int, dtype) -> np.ndarray:
+    """Scores of the queries against the index, both inverted: term by term, weights scatter into the dense scores."""
+    scores, product = np.zeros((n_queries, n_rows), dtype), np.empty((n_queries, n_rows), dtype)
+    for term, (rows, weights) in query_postings.items():
+        if (found := postings.get(term)) is None:
             continue
-        slots, weights = found
-        if b - a == n_queries and len(slots) == n_rows:
-            scores[q_rows[a:b]] += q_weights[a:b, None] * weights
+        slots, posted = found
+        if rows is None and slots is None:
+            scores += np.multiply(weights[:, None], posted, out=product)
+        elif slots is None:
+            scores[rows] += weights[:, None] * posted
+        elif rows is None:
+            scores[:, slots] += weights[:, None] * posted
         else:
-            scores[np.ix_(q_rows[a:b], slots)] += q_weights[a:b, None] * weights
+            scores[np.ix_(rows, slots)] += weights[:, None] * posted
     return scores
 
 
@@ -46,24 +62,26 @@ def _search_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     ids, q_ids = rows["id"].to_numpy(), queries["id"].to_numpy()
     offsets, terms = ragged(rows["terms"])
     weights = ragged(rows["weights"])[1]
-    slots = np.repeat(np.arange(len(ids)), np.diff(offsets))
-    order = np.argsort(terms, kind="stable")
-    terms, slots, weights = terms[order], slots[order], weights[order]
-    starts = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else np.array([], int)
-    postings = {terms[a]: (slots[a:b], weights[a:b]) for a, b in zip(starts, [*starts[1:], len(terms)], strict=True)} if len(starts) else {}
     q_offsets, q_terms = ragged(queries["terms"])
     q_weights = ragged(queries["weights"])[1]
-    out, floor = [], np.iinfo(np.int64).min
+    # 32 bits hold every partial sum where the largest weight times the heaviest query's sum does not reach them.
+    heaviest = np.add.reduceat(np.r_[np.abs(q_weights).astype(np.float64), 0.0], q_offsets[:-1]).max() if len(q_weights) else 0
+    narrow = heaviest * float(np.abs(weights.astype(np.float64)).max(initial=0)) < 2**31 - 1
+    dtype = np.int32 if narrow else np.int64
+    weights, q_weights = (weights.astype(dtype), q_weights.astype(dtype)) if narrow else (weights, q_weights)
+    postings = index_postings(terms, np.repeat(np.arange(len(ids)), np.diff(offsets)), weights, len(ids))
+    out, floor = [], np.iinfo(dtype).min
     for at in range(0, len(q_ids), CHUNK):
         end = min(at + CHUNK, len(q_ids))
         a, b = q_offsets[at], q_offsets[end]
         row_of = np.repeat(np.arange(end - at), np.diff(q_offsets[at : end + 1]))
-        scores = accumulate(q_terms[a:b], row_of, q_weights[a:b], end - at, postings, len(ids))
+        inverted = index_postings(q_terms[a:b], row_of, q_weights[a:b], end - at)
+        scores = accumulate(inverted, end - at, postings, len(ids), dtype)
         own = np.searchsorted(ids, q_ids[at:end])
         mine = np.flatnonzero((own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == q_ids[at:end]))
         scores[mine, own[mine]] = floor
         i, j = select_top(scores, ids, k, floor)
-        out.append(pa.table([q_ids[at:end][i], ids[j], scores[i, j]], schema=_FOUND))
+        out.append(pa.table([q_ids[at:end][i], ids[j], scores[i, j].astype(np.int64)], schema=_FOUND))
     return pa.concat_tables(out)
 
 
