@@ -14,6 +14,11 @@ from .runtime import ship, table
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def tokenizer() -> dict[str, str]:
+    """The public vocabulary and split pattern, as parameters of the codec."""
+    return {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest integer inner products of every 20th vector against all others."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").where(vectors.finite(F.col("embedding")))
@@ -46,9 +51,8 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded, and its ids decoded again."""
-    ranks = {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", **ranks)
-    both = bpe.decode(ids, "ids", **ranks)
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", **tokenizer())
+    both = bpe.decode(ids, "ids", **tokenizer())
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -293,15 +293,31 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches):
         for b in batches:
-            texts, out, group, size = [t or "" for t in b.column(at).to_pylist()], [], [], 0
-            for t in texts:  # a bounded amount of text at a time
-                if group and size + len(t) > 8_000_000:
-                    out.append(score_texts(shared.value, group))
-                    group, size = [], 0
-                group.append(t)
-                size += len(t)
-            out.append(score_texts(shared.value, group) if group else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out))], [*rest, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_in_groups(shared.value, b.column(at)))], [*rest, "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"])
     return docs.mapInArrow(run, schema).withColumns({"held_out": held_out(F.col(doc_id)), "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
+def accept(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_in_groups(shared.value, b.column(at)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _in_groups(model: dict, column: pa.Array) -> np.ndarray:
+    """Scores of a batch, a bounded amount of text at a time."""
+    out, group, size = [np.zeros(0)], [], 0
+    for t in (x or "" for x in column.to_pylist()):
+        if group and size + len(t) > 8_000_000:
+            out.append(score_texts(model, group))
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    return np.concatenate([*out, score_texts(model, group)] if group else out)
