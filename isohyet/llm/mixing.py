@@ -42,7 +42,8 @@ def targets(sizes: DataFrame, weights: list[int], share: float, cap: float) -> D
     ranked = ranked.withColumn("budget", F.sum("source_size").over(W.partitionBy()) * F.lit(share))
     # The level if every source before this one stops at its cap; it holds from the first source with room for it.
     ranked = ranked.withColumn("level", (F.col("budget") - F.coalesce(F.sum("source_size").over(before) * F.lit(cap), F.lit(0.0))) / F.sum("w").over(after))
-    ranked = ranked.withColumn("level", F.min(F.when(F.col("level") <= F.col("room"), F.col("level"))).over(W.partitionBy()))
+    # From there on levels only fall, so that source has the highest of those that hold.
+    ranked = ranked.withColumn("level", F.max(F.when(F.col("level") <= F.col("room"), F.col("level"))).over(W.partitionBy()))
     return ranked.select("source", "source_size", F.coalesce(F.least(F.col("source_size") * F.lit(cap), F.col("level") * F.col("w")), F.col("source_size") * F.lit(cap)).alias("target"))
 
 
@@ -109,14 +110,15 @@ def sources_are_few(sources: DataFrame):
 
 #: Rows and targets as a pure SQL query would give them, for `documents` with the default parameters.
 ORACLE_SQL = r"""
-WITH base AS (SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size, source,
+WITH base AS (SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS size, source,
   (CAST(('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
 sized AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM base GROUP BY source),
 weighed AS (SELECT source, source_size, CASE k % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w FROM sized),
 room AS (SELECT *, source_size * 2.0::DOUBLE / w AS room FROM weighed),
 levels AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY room, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY room, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM room),
-aims AS (SELECT source, source_size, coalesce(least(source_size * 2.0::DOUBLE, w * min(CASE WHEN level <= room THEN level END) OVER ()), source_size * 2.0::DOUBLE) AS target FROM levels),
+aims AS (SELECT source, source_size, coalesce(least(source_size * 2.0::DOUBLE, w * max(CASE WHEN level <= room THEN level END) OVER ()), source_size * 2.0::DOUBLE) AS target FROM levels),
 rates AS (SELECT *, floor(coalesce(target / nullif(source_size, 0), 0)) AS certain, target - floor(coalesce(target / nullif(source_size, 0), 0)) * source_size AS need FROM aims),
 ranked AS (SELECT b.doc_id, b.size, r.source, source_size, target, certain, need,
   sum(size) OVER (PARTITION BY r.source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM base b JOIN rates r ON b.source IS NOT DISTINCT FROM r.source),
