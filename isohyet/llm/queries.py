@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, jaccard, mixing, sharding, topk, toxicity, urlfilter, vectors
+from . import ann, bpe, jaccard, mixing, sharding, topk, toxicity, urlfilter, vectors, warc
 from .runtime import ship, table
 
 #: The URL rules of op10 as host, path, verdict.
@@ -49,6 +49,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back through the capture index."""
+    out = warc.round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded, and its ids decoded again."""
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", **tokenizer())
@@ -70,6 +76,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+OP5_SQL = r"""
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+sized AS (SELECT page_id, body, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM bodies),
+last AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM sized)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND original <> page_id THEN original END AS refers_to FROM last
+"""
+
 OP10_SQL = r"""
 WITH seen AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM seen),
@@ -100,5 +114,5 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_exact_topk, op2_ngram_jaccard, op4_mix_sources, op6_byte_bpe, op7_shard, op8_toxicity, op9_ann, op10_url_filter)}
-ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_mix_sources": mixing.ORACLE_SQL, "op10_url_filter": OP10_SQL}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_exact_topk, op2_ngram_jaccard, op4_mix_sources, op5_warc, op6_byte_bpe, op7_shard, op8_toxicity, op9_ann, op10_url_filter)}
+ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_mix_sources": mixing.ORACLE_SQL, "op5_warc": OP5_SQL, "op10_url_filter": OP10_SQL}
