@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, jaccard, mixing, sharding, topk, toxicity, urlfilter, vectors, warc
+from . import ann, bpe, jaccard, mixing, ordering, sharding, topk, toxicity, urlfilter, vectors, warc
 from .runtime import ship, table
 
 #: The URL rules of op10 as host, path, verdict.
@@ -44,6 +44,12 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as byte-level ids (its UTF-8 bytes), in sequences of 512, written in training order and read back."""
+    ids = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("ids"))
+    return ordering.round_trip(ids, length=512, is_table=True)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -114,5 +120,5 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_exact_topk, op2_ngram_jaccard, op4_mix_sources, op5_warc, op6_byte_bpe, op7_shard, op8_toxicity, op9_ann, op10_url_filter)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_exact_topk, op2_ngram_jaccard, op3_training_order, op4_mix_sources, op5_warc, op6_byte_bpe, op7_shard, op8_toxicity, op9_ann, op10_url_filter)}
 ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_mix_sources": mixing.ORACLE_SQL, "op5_warc": OP5_SQL, "op10_url_filter": OP10_SQL}
