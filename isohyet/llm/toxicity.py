@@ -7,7 +7,7 @@ window of WINDOW words in both directions, attention pools its states, and a lin
 All windows, overlapping by half, are scored; the largest logit, calibrated, is the document's score. The network is
 trained in numpy by back-propagation; of a document its highest window is taken, and of clean ones a random one too.
 
-Fitted on the driver on at most SAMPLE[1] toxic and SAMPLE[0] clean labelled documents, those with the smallest hash of
+Fitted in one task on at most SAMPLE[1] toxic and SAMPLE[0] clean labelled documents, those with the smallest hash of
 their id, none held out (crc32 of the id modulo 5 is 0). Only the text is an input. Scoring covers every document and
 every word; words of more than 32 bytes are read in pieces of 32. The model, about 4 MB, is broadcast.
 
@@ -17,6 +17,8 @@ scored alike. Without labels of both kinds every score is the share of toxic one
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -53,7 +55,7 @@ def buckets_of(types: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rolling = (rolling ^ blob[k : n + k]) * mult
         rolling ^= rolling >> np.uint64(29)
         if k >= 3:
-            grams.append(((rolling * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64))
+            grams.append(((rolling * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32))
     # An n-gram starts at a byte of its word; those that would pass the end read the padding and so the last one's tail.
     last = np.repeat(starts + sizes - 4, sizes)
     at = np.arange(n)
@@ -279,9 +281,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y")).where(~held_out(F.col("doc_id")))
     few = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[y])
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(few(0).union(few(1))), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")).toArrow()
-    rows = rows.sort_by("doc_id")
-    return fit(rows["text"].to_pylist(), rows["y"].to_pylist())
+    rows = texts.join(F.broadcast(few(0).union(few(1))), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("doc_id")
+        return pa.table({"model": [pickle.dumps(fit(t["text"].to_pylist(), t["y"].to_pylist()))]})
+
+    found = rows.groupBy(F.isnull("y").alias("one_group")).applyInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit([], [])
 
 
 def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
