@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .runtime import cut
 
@@ -36,7 +36,8 @@ WORDS, NUM, DEN = 5, 80, 100
 _ENTRY, _BUCKET_BYTES, _FLUSH = 16, 2 << 20, 2 << 20
 #: Ids of documents whose sets are fetched are broadcast up to this many, counted first.
 MAX_BROADCAST = 500_000
-_BLOCK = 1024
+#: Members of a block of a group; nearest classes of other components compared in each round, None for all.
+_BLOCK, ROUNDS = 1024, (2, 16, None)
 _U = np.uint64
 _MULT = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -276,18 +277,43 @@ def _prune(batches):
         yield b.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _pairs(t: pa.Table) -> pa.Table:
-    """Pairs of a block pair that lie in different components and may link."""
-    fp, label, n = (t[c].to_numpy() for c in ("fp", "label", "n"))
-    size = 8 * min(len(x.as_buffer()) for x in t["sketch"])
-    bits = np.stack([_bits(x, size) for x in t["sketch"].to_pylist()]).astype(np.float32)
-    left, right = np.flatnonzero(t["first"].to_numpy(zero_copy_only=False)), np.flatnonzero(t["second"].to_numpy(zero_copy_only=False))
-    ones = bits.sum(axis=1)
-    apart = ones[left][:, None] + ones[right] - 2 * bits[left] @ bits[right].T
-    keep = _may_link(n[left][:, None], n[right], apart) & (label[left][:, None] != label[right]) & (fp[left][:, None] != fp[right])
-    i, j = np.nonzero(keep)
-    x, y = fp[left[i]], fp[right[j]]
-    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+def _pairs(keep: int):
+    """From blocks of groups: for each class its `keep` nearest classes of other components that may link, by sketches."""
+
+    def run(t: pa.Table) -> pa.Table:
+        names = ("gid", "i", "j", "fp", "label", "n")
+        gid, bi, bj, fp, label, n = (t[c].to_numpy() for c in names)
+        one, two = (t[c].to_numpy(zero_copy_only=False) for c in ("first", "second"))
+        marks = t["sketch"].to_pylist()
+        order = np.lexsort((bj, bi, gid))
+        new = np.r_[True, (np.diff(gid[order]) != 0) | (np.diff(bi[order]) != 0) | (np.diff(bj[order]) != 0)]
+        starts = np.r_[np.flatnonzero(new), len(order)]
+        found = []
+        for a, b in zip(starts, starts[1:], strict=False):
+            at = order[a:b]
+            size = 8 * min(len(marks[k]) for k in at)
+            bits = np.stack([_bits(marks[k], size) for k in at]).astype(np.float32)
+            left, right = np.flatnonzero(one[at]), np.flatnonzero(two[at])
+            f, l, m, ones = fp[at], label[at], n[at], bits.sum(axis=1)
+            apart = ones[left][:, None] + ones[right] - 2 * bits[left] @ bits[right].T
+            ok = _may_link(m[left][:, None], m[right], apart) & (l[left][:, None] != l[right])
+            if not ok.any():
+                continue
+            far = np.where(ok, apart / (m[left][:, None] + m[right]), np.inf)
+            for d, x, y in ((far, left, right), (far.T, right, left)):
+                k = min(keep, d.shape[1] - 1)
+                i, j = np.nonzero((d < np.inf) & (d <= np.partition(d, k, axis=1)[:, k : k + 1]))
+                found.append((f[x[i]], f[y[j]], d[i, j]))
+        if not found:
+            return _NEAR_PAIRS.empty_table()
+        x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
+        first = np.unique(np.stack([x, y]), axis=1, return_index=True)[1]
+        return pa.table([x[first], y[first], d[first].astype(np.float64)], schema=_NEAR_PAIRS)
+
+    return run
+
+
+_NEAR_PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("far", pa.float64())])
 
 
 def _fetch(batches):
@@ -350,20 +376,30 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = _linked(docs, stars, classes)
     labels = components(links, "a", "b")
 
-    # Groups still in several components: what the stars have not compared.
-    told = groups.join(labels.withColumnRenamed("id", "fp"), "fp", "left").select("gid", "fp", F.coalesce("label", "fp").alias("label"))
-    open_ = told.groupBy("gid").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    open_ = open_.select("gid", F.ceil(F.col("members") / _BLOCK).cast("int").alias("blocks"))
-    rows = told.join(open_, "gid").join(known, "fp")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("gid", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("first"), (F.col("mine") >= F.col("other")).alias("second"), "fp", "label", "n", "sketch")
-    # Members of very unlike sizes cannot link, but all of a group's sizes lie in two bands, so blocks stay whole.
-    more = rows.groupBy("gid", "i", "j").applyInArrow(_pairs, "a long, b long").distinct()
-    more = cut(more.join(stars, ["a", "b"], "left_anti"), "jaccard-more")
-    if not more.isEmpty():
+    # Groups still in several components hold pairs that the stars have not compared. Each class first meets its nearest
+    # few of other components, which joins most of them; the last round takes whatever pairs are left between components.
+    tested = stars
+    for keep in ROUNDS:
+        told = groups.join(labels.withColumnRenamed("id", "fp"), "fp", "left").select("gid", "fp", F.coalesce("label", "fp").alias("label"))
+        open_ = told.groupBy("gid").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        open_ = open_.select("gid", F.ceil(F.col("members") / _BLOCK).cast("int").alias("blocks"))
+        rows = told.join(open_, "gid").join(known, "fp")
+        rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("gid", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("first"), (F.col("mine") >= F.col("other")).alias("second"), "fp", "label", "n", "sketch")
+        near = rows.groupBy(F.pmod(F.xxhash64("gid", "i", "j"), F.lit(buckets))).applyInArrow(_pairs(keep or 1 << 30), "x long, y long, far double")
+        near = near.groupBy("x", "y").agg(F.min("far").alias("far"))
+        if keep:
+            near = near.withColumn("k", F.row_number().over(W.partitionBy("x").orderBy("far", "y")))
+        near = cut(near, "jaccard-near")
+        more = (near.where(F.col("k") <= keep) if keep else near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        more = cut(more.join(tested, ["a", "b"], "left_anti"), "jaccard-more")
         found = _linked(docs, more, classes)
         if not found.isEmpty():
             links = links.union(found)
+            labels = components(links, "a", "b")
+        if not keep or near.where(F.col("k") > keep).isEmpty():
+            break
+        tested = tested.union(more)
 
     ids = classes.select("fp", "rep")
     named = links.join(ids.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(ids.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b")
