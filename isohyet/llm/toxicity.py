@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Most clean and toxic documents the model is fitted on.
-SAMPLE = (2000, 1000)
+SAMPLE = (1600, 800)
 WINDOW, STRIDE, HIDDEN, ATTENTION = 64, 32, 8, 8
 #: Updates of the network, in whole epochs, 3 at least.
 BUCKETS, PRIOR, UPDATES = 1 << 20, 2.0, 350
 _STRIP = b".,!?;:\"'()[]*&%#$|"
-_PIECE, _BATCH = 32, 4096
+_PIECE, _BATCH, _TYPES = 32, 1024, 40_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -84,13 +84,14 @@ def log_odds(pos: np.ndarray, neg: np.ndarray, share: float) -> np.ndarray:
 def inputs_of(types: list[bytes], tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The network's inputs for each type; the last row is the padding's."""
     out = np.zeros((len(types) + 1, 6), np.float32)
-    if types:
-        word, grams, begin = buckets_of(types)
+    for a in range(0, len(types), _TYPES):
+        word, grams, begin = buckets_of(types[a : a + _TYPES])
+        b = a + len(word)
         value = tables[1][grams].astype(np.float32)
-        out[:-1, 0] = tables[0][word]
-        out[:-1, 1:4] = np.maximum.reduceat(value, begin)
-        out[:-1, 4] = np.add.reduceat(value.mean(axis=1), begin) / np.diff(np.r_[begin, len(value)])
-        out[:-1, 5] = 1
+        out[a:b, 0] = tables[0][word]
+        out[a:b, 1:4] = np.maximum.reduceat(value, begin)
+        out[a:b, 4] = np.add.reduceat(value.mean(axis=1), begin) / np.diff(np.r_[begin, len(value)])
+        out[a:b, 5] = 1
     return out / np.array([3, 3, 3, 3, 1, 1], np.float32)
 
 
@@ -217,7 +218,13 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> dict:
     if not 0 < share < 1:
         return {"constant": share}
     types, ids, bounds = index_texts(texts)
-    word, grams, begin = buckets_of(types)
+    if not types:
+        return {"constant": share}
+    chunks = [buckets_of(types[a : a + _TYPES]) for a in range(0, len(types), _TYPES)]
+    sizes = np.cumsum([0, *(len(c[1]) for c in chunks)])
+    word, grams = np.concatenate([c[0] for c in chunks]), np.concatenate([c[1] for c in chunks])
+    begin = np.concatenate([c[2] + k for c, k in zip(chunks, sizes, strict=False)])
+    del chunks
     ends = np.r_[begin[1:], len(grams)]
     counts = np.zeros((2, 2, BUCKETS), np.float32)  # word or gram, label
     for i, label in enumerate(toxic):
@@ -226,6 +233,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> dict:
         flat = np.concatenate([grams[begin[k] : ends[k]].ravel() for k in own]) if len(own) else np.zeros(0, np.int64)
         counts[1, label, np.unique(flat)] += 1
     tables = lambda less: tuple(log_odds(c[1] - less * 1.0, c[0] - (1 - less) * 1.0, share) for c in counts) if less is not None else tuple(log_odds(c[1], c[0], share) for c in counts)
+    del word, grams, begin, ends
     # A training document is read with its own label taken out of the counts: one table a label does that for all.
     pad = len(types)
     inputs = np.concatenate([inputs_of(types, tables(0)), inputs_of(types, tables(1))])
