@@ -8,11 +8,12 @@ d(size) + 1 + t parts (the subsets enumerated are single parts: the second level
 Empty parts agree without meaning; a set signs them only when so many of its parts are empty (more than its slack t)
 that no full one need agree, and a partner for which that matters has as many. No pair at or above the threshold is lost.
 
-Equal sets are one class from the start. Sets that share a signature form a group; each group is first compared as a
-star around its smallest member, so a group of thousands of near copies costs thousands of comparisons. Groups that this
-leaves in several components are then compared pair by pair between components, in blocks. Before sets are fetched, pairs
-are dropped by size and by parity sketches (one bit a shingle: differing bits are a lower bound of the difference, so
-none is lost). What is left is decided by the exact intersection. Only signatures, sketches and the sets of pairs that
+Equal sets are one class from the start. Sets that share a signature are tied to the smallest of them, their center, and are
+first compared with it alone, so thousands of near copies cost thousands of comparisons. All sets tied to a center that
+is left with several components are then compared pair by pair between components, in blocks: sets that share a
+signature have its center in common, so no pair is missed. Before sets are fetched, pairs
+are dropped by size and by parity sketches (four to eight bits a shingle: differing bits are a lower bound of the
+difference, so none is lost). What is left is decided by the exact intersection. Only signatures, sketches and the sets of pairs that
 pass are shuffled; nothing but counts reaches the driver.
 
 Defined results: texts that are null or have no words have an empty set and link with nothing. Rows with a null id take
@@ -132,8 +133,8 @@ def class_of(h: np.ndarray) -> int:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Parities of the elements' counts in 2^k cells of the hash range, at least one cell an element."""
-    k = max(6, math.ceil(math.log2(max(1, len(h)))))
+    """Parities of the elements' counts in 2^k cells of the hash range, at least four cells an element."""
+    k = max(6, math.ceil(math.log2(max(1, len(h)))) + 2)
     return np.packbits((np.bincount((h >> _U(64 - k)).astype(np.int64), minlength=1 << k) & 1).astype(np.uint8)).tobytes()
 
 
@@ -240,11 +241,11 @@ def _sign(buckets: int):
     return run
 
 
-_GROUPS = pa.schema([("gid", pa.int64()), ("center", pa.int64()), ("fp", pa.int64())])
+_GROUPS = pa.schema([("center", pa.int64()), ("fp", pa.int64())])
 
 
 def _group(t: pa.Table) -> pa.Table:
-    """The groups of a bucket: classes that share a signature, each group once however many signatures make it."""
+    """Classes of a bucket that share a signature with a smaller one: the smallest is the center. Each pair once, the center with itself."""
     raw = np.concatenate([np.frombuffer(x.as_buffer(), np.dtype([("s", "<u8"), ("f", "<i8")])) for x in t["entries"]])
     order = np.lexsort((raw["f"], raw["s"]))
     s, f = raw["s"][order], raw["f"][order]
@@ -252,14 +253,9 @@ def _group(t: pa.Table) -> pa.Table:
     s, f = s[new], f[new]
     starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
     sizes = np.diff(np.r_[starts, len(s)])
-    gid = mix(np.add.reduceat(mix(f.view(np.uint64) ^ _MULT[3]), starts) + sizes.astype(np.uint64))
-    some = np.flatnonzero(sizes > 1)
-    some = some[np.unique(gid[some], return_index=True)[1]]
-    if not len(some):
-        return _GROUPS.empty_table()
-    count = sizes[some]
-    at = np.repeat(starts[some] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-    return pa.table([np.repeat(gid[some].view(np.int64), count), np.repeat(f[starts[some]], count), f[at]], schema=_GROUPS)
+    many = np.repeat(sizes > 1, sizes)
+    pairs = np.unique(np.stack([np.repeat(f[starts], sizes)[many], f[many]], axis=1), axis=0)
+    return pa.table([pairs[:, 0], pairs[:, 1]], schema=_GROUPS)
 
 
 def _may_link(n1, n2, bits_apart) -> np.ndarray:
@@ -292,18 +288,29 @@ def _pairs(keep: int):
         for a, b in zip(starts, starts[1:], strict=False):
             at = order[a:b]
             size = 8 * min(len(marks[k]) for k in at)
-            bits = np.stack([_bits(marks[k], size) for k in at]).astype(np.float32)
+            packed = np.stack([np.frombuffer(marks[k], np.uint8) if 8 * len(marks[k]) == size else np.packbits(_bits(marks[k], size)) for k in at])
             left, right = np.flatnonzero(one[at]), np.flatnonzero(two[at])
-            f, l, m, ones = fp[at], label[at], n[at], bits.sum(axis=1)
-            apart = ones[left][:, None] + ones[right] - 2 * bits[left] @ bits[right].T
+            f, l, m = fp[at], label[at], n[at]
+            apart = np.zeros((len(left), len(right)), np.float32)
+            for c in range(0, packed.shape[1], 1024):  # bits apart, some columns at a time
+                bits = np.unpackbits(packed[:, c : c + 1024], axis=1).astype(np.float32)
+                ones = bits.sum(axis=1)
+                apart += ones[left][:, None] + ones[right] - 2 * (bits[left] @ bits[right].T)
             ok = _may_link(m[left][:, None], m[right], apart) & (l[left][:, None] != l[right])
             if not ok.any():
                 continue
-            far = np.where(ok, apart / (m[left][:, None] + m[right]), np.inf)
-            for d, x, y in ((far, left, right), (far.T, right, left)):
+            # Each pair is put forward by the member whose component is the smaller one here.
+            counts = dict(zip(*np.unique(l, return_counts=True), strict=True))
+            rank = np.argsort(np.lexsort((l, np.array([counts[v] for v in l]))))
+            by_left = rank[left][:, None] < rank[right]
+            far = apart / (m[left][:, None] + m[right])
+            for d, x, y in ((np.where(ok & by_left, far, np.inf), left, right), (np.where(ok & ~by_left, far, np.inf).T, right, left)):
+                some = np.flatnonzero(d.min(axis=1) < np.inf)
                 k = min(keep, d.shape[1] - 1)
-                i, j = np.nonzero((d < np.inf) & (d <= np.partition(d, k, axis=1)[:, k : k + 1]))
-                found.append((f[x[i]], f[y[j]], d[i, j]))
+                best = np.argpartition(d[some], k, axis=1)[:, : k + 1] if k < d.shape[1] - 1 else np.tile(np.arange(d.shape[1]), (len(some), 1))
+                value = np.take_along_axis(d[some], best, axis=1)
+                i, j = np.nonzero(value < np.inf)
+                found.append((f[x[some[i]]], f[y[best[i, j]]], value[i, j]))
         if not found:
             return _NEAR_PAIRS.empty_table()
         x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -364,23 +371,23 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = min(1 << 16, max(64, math.ceil(shingles * 0.5 * _ENTRY / _BUCKET_BYTES)))
 
     signed = docs.where("doc_id is not null").select("text").mapInArrow(_sign(buckets), "bucket int, entries binary")
-    groups = signed.groupBy("bucket").applyInArrow(_group, "gid long, center long, fp long").distinct()
+    groups = signed.groupBy("bucket").applyInArrow(_group, "center long, fp long").distinct()
     groups = cut(groups, "jaccard-groups")
 
     known = classes.where("sketch is not null").select("fp", "n", "sketch")
     one = known.select(F.col("fp").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
     two = known.select(F.col("fp").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
-    stars = groups.where("center <> fp").select(F.col("center").alias("a"), F.col("fp").alias("b")).distinct()
+    stars = groups.where("center <> fp").select(F.col("center").alias("a"), F.col("fp").alias("b"))
     stars = stars.join(one, "a").join(two, "b").where(f"least(n1, n2) * {DEN} >= greatest(n1, n2) * {NUM}")
     stars = cut(stars.select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(_prune, "a long, b long"), "jaccard-stars")
     links = _linked(docs, stars, classes)
     labels = components(links, "a", "b")
 
-    # Groups still in several components hold pairs that the stars have not compared. Each class first meets its nearest
+    # Centers whose sets are still in several components hold pairs that the stars have not compared. Each class first meets its nearest
     # few of other components, which joins most of them; the last round takes whatever pairs are left between components.
     tested = stars
     for keep in ROUNDS:
-        told = groups.join(labels.withColumnRenamed("id", "fp"), "fp", "left").select("gid", "fp", F.coalesce("label", "fp").alias("label"))
+        told = groups.join(labels.withColumnRenamed("id", "fp"), "fp", "left").select(F.col("center").alias("gid"), "fp", F.coalesce("label", "fp").alias("label"))
         open_ = told.groupBy("gid").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         open_ = open_.select("gid", F.ceil(F.col("members") / _BLOCK).cast("int").alias("blocks"))
         rows = told.join(open_, "gid").join(known, "fp")
