@@ -88,38 +88,51 @@ def materialise(df: DataFrame, folder: str, length: int, width: int = 1, shard_b
                     bodies.append(body[k : k + step])
             slots = permute(np.arange(len(docs)) + (starts.get(p, 0) + done), total, keys)
             done += len(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), pa.array(docs, pa.int64()), pa.array(parts, pa.int32()), pa.array(bodies, pa.binary())], ["shard", "slot", "doc_id", "part", "body"])
+            yield _packed(slots, docs, parts, bodies, per_shard)
         if done != counted.get(p, 0):
             raise RuntimeError(f"partition {p} has {done} sequences where {counted.get(p, 0)} were counted: its files have changed")
 
-    def write(batches):
+    def write(t: pa.Table) -> pa.Table:
+        shard, rows = t["shard"][0].as_py(), []
+        for packed, raw in zip(t["packed"], t["raw"].to_pylist(), strict=True):
+            rows += _unpacked(pa.decompress(packed.as_buffer(), raw, "zstd", asbytes=True))
+        rows.sort(key=lambda r: r[0])
+        first = shard * per_shard
+        if [r[0] for r in rows] != list(range(first, min(first + per_shard, total))):
+            raise RuntimeError(f"shard {shard} lacks slots")
         fs, root = open_fs(folder)
-        now = out = name = None
-        first = n = 0
-
-        def closed():
-            out.close()
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([name]), pa.array([first]), pa.array([n])], ["shard", "file", "first_slot", "records"])
-
-        for b in batches:
-            for shard, slot, d, part, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if shard != now:
-                    if out is not None:
-                        yield closed()
-                    now, first, n = shard, slot, 0
-                    name = attempt_name(f"shard-{shard:07d}", ".bin")
-                    out = fs.open_output_stream(f"{root}/{name}", compression=None, buffer_size=1 << 20)
-                if slot != first + n:
-                    raise RuntimeError(f"shard {shard}: slot {slot} where {first + n} was due")
-                out.write(struct.pack(_HEADER, 0 if d is None else d, part, len(body) // width | (_NULL if d is None else 0)) + body.ljust(step, b"\0"))
-                n += 1
-        if out is not None:
-            yield closed()
-
-    shards = max(1, -(-total // per_shard))
-    sequences = df.mapInArrow(cut_up, "shard long, slot long, doc_id long, part int, body binary")
-    placed = sequences.repartition(shards, "shard").sortWithinPartitions("slot")
-    return cut(placed.mapInArrow(write, "shard long, file string, first_slot long, records long"), "order-manifest")
+        name = attempt_name(f"shard-{shard:07d}", ".bin")
+        with fs.open_output_stream(f"{root}/{name}", compression=None, buffer_size=1 << 20) as out:
+            for _, d, null, part, body in rows:
+                out.write(struct.pack(_HEADER, d, part, len(body) // width | (_NULL if null else 0)) + body.ljust(step, b"\0"))
+        return pa.table({"shard": [shard], "file": [name], "first_slot": [first], "records": [len(rows)]})
+
+    # What one batch has for a shard travels as one compressed block; a task holds one shard.
+    blocks = df.mapInArrow(cut_up, "shard long, raw long, packed binary")
+    return cut(blocks.groupBy("shard").applyInArrow(write, "shard long, file string, first_slot long, records long"), "order-manifest")
+
+
+def _packed(slots: np.ndarray, docs: list, parts: list, bodies: list, per_shard: int) -> pa.RecordBatch:
+    """A row for each shard: its sequences (slot, document, null flag, part, length, then the bodies), compressed."""
+    order = np.argsort(slots, kind="stable")
+    shard = slots[order] // per_shard
+    bounds = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(order)] if len(order) else np.zeros(1, int)
+    ids = np.array([d or 0 for d in docs], np.int64)
+    null, part, size = np.array([d is None for d in docs], np.int32), np.array(parts, np.int32), np.array([len(x) for x in bodies], np.int32)
+    out = []
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        at = order[a:b]
+        raw = b"".join([np.int64(len(at)).tobytes(), slots[at].tobytes(), ids[at].tobytes(), null[at].tobytes(), part[at].tobytes(), size[at].tobytes(), *[bodies[k] for k in at]])
+        out.append((int(shard[a]), len(raw), pa.compress(raw, "zstd", asbytes=True)))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["shard", "raw", "packed"])
+
+
+def _unpacked(raw: bytes) -> list[tuple]:
+    n = int.from_bytes(raw[:8], "little")
+    slots, ids = np.frombuffer(raw, np.int64, n, 8).tolist(), np.frombuffer(raw, np.int64, n, 8 + 8 * n).tolist()
+    null, part, size = (np.frombuffer(raw, np.int32, n, 8 + 16 * n + 4 * n * k) for k in range(3))
+    ends = 8 + 28 * n + np.cumsum(size)
+    return [(s, d, z, p, raw[e - w : e]) for s, d, z, p, w, e in zip(slots, ids, null.tolist(), part.tolist(), size.tolist(), ends.tolist(), strict=True)]
 
 
 def read(manifest: DataFrame, folder: str, length: int, width: int = 1, bodies: bool = True) -> DataFrame:
