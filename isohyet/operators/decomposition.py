@@ -36,7 +36,7 @@ def emd(df: DataFrame, keys: list[str], time: str = "date", value: str = "value"
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, s = _prepared(pdf, time, value)
         if s is None:
-            return pd.DataFrame({c: [] for c in [*keys, time, "component", "is_residual", "value"]})
+            return pd.DataFrame({c: [] for c in [*keys, time, "component", "is_residual", "value"]}, dtype=object)
         return _modes(pdf, keys, time, K.emd(s, **options), s)
 
     return df.select(*keys, time, value).groupBy(*keys).applyInPandas(run, schema)
@@ -55,7 +55,7 @@ def eemd(df: DataFrame, keys: list[str], trials: int = 2000, seed: int = 12345,
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, s = _prepared(pdf, time, value)
         if s is None:
-            return pd.DataFrame({c: [] for c in [*keys, time, "component", "total", "squares", "n", "original"]})
+            return pd.DataFrame({c: [] for c in [*keys, time, "component", "total", "squares", "n", "original"]}, dtype=object)
         sums: dict[int, list] = {}
         first = int(pdf["part"].iloc[0]) * per_task
         for k in range(first, min(first + per_task, trials)):
@@ -80,7 +80,7 @@ def ceemdan(df: DataFrame, keys: list[str], time: str = "date", value: str = "va
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, s = _prepared(pdf, time, value)
         if s is None:
-            return pd.DataFrame({c: [] for c in [*keys, time, "component", "is_residual", "value"]})
+            return pd.DataFrame({c: [] for c in [*keys, time, "component", "is_residual", "value"]}, dtype=object)
         modes = K.ceemdan(s, **options)
         return _rows(pdf, keys, time, [(i + 1, i == len(modes) - 1, m) for i, m in enumerate(modes)])
 
@@ -111,7 +111,7 @@ def stl(df: DataFrame, keys: list[str], period: int = 12, seasonal: int = 13, tr
         pdf = pdf.sort_values(time).reset_index(drop=True)
         s = L.interpolated(pdf[value].to_numpy(float), min(most_missing, 0.999999))
         if s is None or len(s) < 2 * period:
-            return pd.DataFrame({c: [] for c in [*keys, time, "component", "is_residual", "value"]})
+            return pd.DataFrame({c: [] for c in [*keys, time, "component", "is_residual", "value"]}, dtype=object)
         t, c, r = L.stl(s, period, seasonal, trend, **options)
         return _rows(pdf, keys, time, [(1, False, t), (2, False, c), (3, True, r)])
 

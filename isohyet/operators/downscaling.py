@@ -24,7 +24,7 @@ def fit_linear(df: DataFrame, keys: list[str], predictors: list[str], targets: l
         use = use.dropna(subset=[*predictors, *targets])
         head = {k: pdf[k].iloc[0] for k in keys}
         if len(use) < 3:
-            return pd.DataFrame({c: [] for c in [*keys, "target", "predictor", "coefficient"]})
+            return pd.DataFrame({c: [] for c in [*keys, "target", "predictor", "coefficient"]}, dtype=object)
         x, y = use[predictors].to_numpy(float), use[targets].to_numpy(float)
         at = R.forward_selection(x, y, most)
         c = R.least_squares(x[:, at], y)
