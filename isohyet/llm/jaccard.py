@@ -34,7 +34,7 @@ from .runtime import cut
 
 WORDS, NUM, DEN = 5, 80, 100
 #: Bytes of one signature entry; bytes a bucket of signatures should hold; entries gathered before they are sent.
-_ENTRY, _BUCKET_BYTES, _FLUSH = 16, 2 << 20, 2 << 20
+_ENTRY, _BUCKET_BYTES, _FLUSH = 16, 2 << 20, 3 << 18
 #: Ids of documents whose sets are fetched are broadcast up to this many, counted first.
 MAX_BROADCAST = 500_000
 #: Members of a block of a group; nearest classes of other components compared in each round, None for all.
@@ -214,7 +214,9 @@ def _sign(buckets: int):
         sigs, fps, held = [], [], 0
 
         def flush():
-            sig, fp = np.concatenate(sigs), np.repeat(np.array([x for x, _ in fps], np.int64), [k for _, k in fps])
+            sig = np.concatenate(sigs)
+            sigs.clear()
+            fp = np.repeat(np.array([x for x, _ in fps], np.int64), [k for _, k in fps])
             to = ((sig >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             entries = np.empty(len(sig), np.dtype([("s", "<u8"), ("f", "<i8")]))

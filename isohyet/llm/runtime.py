@@ -13,8 +13,14 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 _made: list[tuple[SparkSession, str]] = []
 
 
+#: Rows and bytes of an Arrow batch, so that a worker's memory is bounded whatever the lengths of texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started."""
+    """Let Python workers import this package wherever the driver was started, and bound their batches."""
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if _ROOT not in paths:

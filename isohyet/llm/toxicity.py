@@ -29,7 +29,7 @@ WINDOW, STRIDE, HIDDEN, ATTENTION = 64, 32, 8, 8
 #: Updates of the network, in whole epochs, 3 at least.
 BUCKETS, PRIOR, UPDATES = 1 << 20, 2.0, 350
 _STRIP = b".,!?;:\"'()[]*&%#$|"
-_PIECE, _BATCH, _TYPES = 32, 1024, 40_000
+_PIECE, _BATCH, _TYPES, _TEXT = 32, 1024, 40_000, 3_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -330,7 +330,7 @@ def _in_groups(model: dict, column: pa.Array) -> np.ndarray:
     """Scores of a batch, a bounded amount of text at a time."""
     out, group, size = [np.zeros(0)], [], 0
     for t in (x or "" for x in column.to_pylist()):
-        if group and size + len(t) > 8_000_000:
+        if group and size + len(t) > _TEXT:
             out.append(score_texts(model, group))
             group, size = [], 0
         group.append(t)
