@@ -34,7 +34,7 @@ def gauges(spark: SparkSession, path: str, pair: dict[str, tuple[str, str]] | No
     pair = {"TEM": ("MAXTEM", "MINTEM")} if pair is None else pair
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True)
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1)
-    rows = files.select(F.regexp_extract(name, r"^([A-Za-z]+)", 1).alias("file_var"), F.regexp_extract(name, r"^[A-Za-z]+(.+)$", 1).alias("station"), F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n").alias("lines"))
+    rows = files.select(F.regexp_extract(name, r"^([A-Za-z]+)", 1).alias("file_var"), F.regexp_extract(name, r"^[A-Za-z]+(.+)$", 1).alias("station"), F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), r"\s+$", ""), "\n").alias("lines"))
     rows = rows.select("file_var", "station", F.to_date(F.trim(F.element_at("lines", 1)), "yyyyMMdd").alias("first"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("k", "line"))
     cells = F.split(F.trim("line"), r"\s*,\s*")
     names = reduce(lambda c, kv: F.when(F.col("file_var") == kv[0], F.array(*[F.lit(v) for v in kv[1]])).otherwise(c), pair.items(), F.array("file_var"))
