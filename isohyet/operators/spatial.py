@@ -63,6 +63,8 @@ def nearest_cell(points: DataFrame, cells: DataFrame, point: str = "station", la
         if last:
             return found.select(point, "y", "x", "distance")
         left = left.join(done.select(point), point, "left_anti")
+        if left.isEmpty():
+            return found.select(point, "y", "x", "distance")
         size *= 4
 
 

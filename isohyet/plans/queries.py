@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions import calendar as C, landscape as L
+from ..functions import calendar as C, display as V, landscape as L
 from ..operators import decomposition as D, downscaling as DS, dynamic as DY, ensemble as E, skill as K, spatial as SP, temporal as T, trend as R, weather as G
 from . import inputs as I, pipelines
 
@@ -571,6 +571,19 @@ def budyko_elasticities(spark, sf):
     return rounded(b.withColumns(L.elasticities(F.col("n"), F.col("p"), F.col("et0"))).select("y", "x", "ep", "ee", "en"), "ep", "ee", "en")
 
 
+@query(f"WITH {I.GRID}, v AS (SELECT y, x, value / 2200 AS t FROM g), k AS (SELECT *, least(floor(t * 2), 1) AS i FROM v WHERE t BETWEEN 0 AND 1) SELECT y, x, round(CASE WHEN i = 0 THEN t * 2 ELSE 1 END, 6) AS red, round(CASE WHEN i = 0 THEN 0.5 * t * 2 ELSE 0.5 + 0.5 * (t * 2 - 1) END, 6) AS green FROM k")
+def colours(spark, sf):
+    """P12."""
+    g = I.grid(spark, sf).withColumn("c", V.interpolate([(0, 0, 0), (1, 0.5, 0), (1, 1, 1)], F.col("value") / 2200)).where("c is not null")
+    return g.select("y", "x", F.round(F.col("c")[0], 6).alias("red"), F.round(F.col("c")[1], 6).alias("green"))
+
+
+@query("SELECT CAST(a AS INTEGER) AS y, CAST(b AS INTEGER) AS x, true AS inside FROM range(20) p(a), range(30) q(b)")
+def random_table(spark, sf):
+    """P14."""
+    return V.random_integers(spark, 20, 30, -5, 5, 3).select("y", "x", F.col("value").between(-5, 5).alias("inside"))
+
+
 # Ensembles. --------------------------------------------------------------------------------------------------------
 
 QUICK = f"WITH {I.ENSEMBLE}, sd AS (SELECT station, gcm, stddev_pop(value - obs) AS sd FROM e GROUP BY ALL), w AS (SELECT station, gcm, (1 / nullif(sd, 0)) / sum(1 / nullif(sd, 0)) OVER (PARTITION BY station) AS weight FROM sd)"
