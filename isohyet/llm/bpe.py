@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .runtime import trim
+
 #: Characters of a leaf.
 LEAF = 16_384
 
@@ -135,18 +137,23 @@ def decode_ids(ids: list[int], tokens: list[bytes]) -> bytes:
     return decode_ids(ids[:half], tokens) + decode_ids(ids[half:], tokens)
 
 
-def encode(df: DataFrame, text: str = "text", *, path: str, pattern: str, ids: str = "ids", leaf_chars: int = LEAF) -> DataFrame:
-    """df with the packed ids of column text in place of it."""
-    rest = [c for c in df.columns if c not in (text, ids)]
+def encode(df: DataFrame, text: str = "text", *, path: str, pattern: str, ids: str = "ids", decoded: str | None = None, leaf_chars: int = LEAF) -> DataFrame:
+    """df with the packed ids of column text in place of it; with `decoded`, also the bytes that the packed ids stand for, decoded in the same task."""
+    rest = [c for c in df.columns if c not in (text, ids, decoded)]
     df = df.select(*rest, F.coalesce(text, F.lit("")).alias(ids))
 
     def run(batches):
-        encoding, compiled, _ = codec(path, pattern)
+        encoding, compiled = codec(path, pattern)[:2]
         for b in batches:
-            out = [encode_text(t, encoding, compiled, leaf_chars).astype("<u4").tobytes() for t in b[ids].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in rest), pa.array(out, pa.binary())], [*rest, ids])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in rest), f"`{ids}` binary"])
+            packed = [encode_text(t.as_py(), encoding, compiled, leaf_chars).astype("<u4").tobytes() for t in b[ids]]
+            out = [*(b[c] for c in rest), pa.array(packed, pa.binary())]
+            if decoded:
+                tokens = codec(path, pattern)[2]
+                out.append(pa.array([decode_ids(np.frombuffer(x, "<u4").tolist(), tokens) for x in packed], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, [*rest, ids, *([decoded] if decoded else [])])
+        trim()
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in rest), f"`{ids}` binary", *([f"`{decoded}` binary"] if decoded else [])])
     return df.mapInArrow(run, schema)
 
 

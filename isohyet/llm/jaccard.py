@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .runtime import cut
+from .runtime import cut, trim
 
 WORDS, NUM, DEN = 5, 80, 100
 #: Bytes of one signature entry; bytes a bucket of signatures should hold; entries gathered before they are sent.
@@ -206,6 +206,7 @@ def _describe(batches):
             fp.append(class_of(h) if len(h) else None)
             marks.append(sketch(h) if bands_of(len(h)) else None)
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(marks, pa.binary())], ["doc_id", "n", "fp", "sketch"])
+    trim()
 
 
 def _sign(buckets: int):
@@ -239,6 +240,7 @@ def _sign(buckets: int):
                     sigs, fps, held = [], [], 0
         if held:
             yield flush()
+        trim()
 
     return run
 
@@ -332,6 +334,7 @@ def _fetch(batches):
             fps.append(class_of(h) if len(h) else 0)
             sets.append(h.view(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["fp", "items"])
+    trim()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -63,8 +63,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded, and its ids decoded again."""
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", **tokenizer())
-    both = bpe.decode(ids, "ids", **tokenizer())
+    both = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", decoded="decoded", **tokenizer())
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .runtime import trim
+
 #: Most clean and toxic documents the model is fitted on.
 SAMPLE = (1600, 800)
 WINDOW, STRIDE, HIDDEN, ATTENTION = 64, 32, 8, 8
@@ -307,8 +309,9 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
     at = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_in_groups(shared.value, b.column(at)))], [*rest, "score"])
+        for b, found in _scored(shared.value, batches, at):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], [*rest, "score"])
+        trim()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"])
     return docs.mapInArrow(run, schema).withColumns({"held_out": held_out(F.col(doc_id)), "predicted": (F.col("score") >= 0.5).cast("int")})
@@ -320,19 +323,29 @@ def accept(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(_in_groups(shared.value, b.column(at)) < 0.5))
+        for b, found in _scored(shared.value, batches, at):
+            yield b.filter(pa.array(found < 0.5))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _in_groups(model: dict, column: pa.Array) -> np.ndarray:
-    """Scores of a batch, a bounded amount of text at a time."""
-    out, group, size = [np.zeros(0)], [], 0
-    for t in (x or "" for x in column.to_pylist()):
-        if group and size + len(t) > _TEXT:
-            out.append(score_texts(model, group))
-            group, size = [], 0
-        group.append(t)
-        size += len(t)
-    return np.concatenate([*out, score_texts(model, group)] if group else out)
+def _scored(model: dict, batches, at: int):
+    """Batches with the scores of their column, some batches of a bounded amount of text at a time: they share words."""
+    held, texts, size = [], [], 0
+    for b in batches:
+        held.append(b)
+        texts += [x or "" for x in b.column(at).to_pylist()]
+        size += b.column(at).nbytes
+        if size > _TEXT:
+            yield from _apart(model, held, texts)
+            held, texts, size = [], [], 0
+    if held:
+        yield from _apart(model, held, texts)
+
+
+def _apart(model: dict, held: list, texts: list[str]):
+    found, k = score_texts(model, texts) if texts else np.zeros(0), 0
+    for b in held:
+        yield b, found[k : k + b.num_rows]
+        k += b.num_rows
