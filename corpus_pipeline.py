@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the packed ids, their digest and that of the bytes they decode to, a row for each row of docs."""
     ship(spark)
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), "text", **tokenizer()), "ids", **tokenizer())
+    both = bpe.encode(docs.select("doc_id", "text"), "text", decoded="decoded", **tokenizer())
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
