@@ -37,6 +37,12 @@ def _index(x: Column, start: int = 0, less: int = 1) -> Column:
     return F.filter(F.sequence(F.lit(start), F.greatest(F.size(x) - less, F.lit(start))), lambda i: i <= F.size(x) - less)
 
 
+def running_sum(x: Column) -> Column:
+    start = F.struct(F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("out"))
+    step = lambda a, v: F.struct((a["last"] + v).alias("last"), F.array_append(a["out"], a["last"] + v).alias("out"))
+    return F.aggregate(x, start, step, lambda a: a["out"])
+
+
 def mk_s(x: Column) -> Column:
     """Mann-Kendall S: sum of the signs of later minus earlier values."""
     return _sum(F.transform(_index(x), lambda i: _sum(F.transform(F.slice(x, i + 1, F.size(x)), lambda v: F.signum(v - _at(x, i))))))
@@ -72,24 +78,23 @@ def sen_slope(x: Column) -> Column:
     return median(F.filter(pair_slopes(x), lambda v: v.isNotNull()))
 
 
-def pettitt(x: Column) -> Column:
-    """struct(k, u, p, class): the point of the largest |U|, U there, its probability, and 0, 1 (p < .05), 2 (p < .01).
+def pettitt_u(x: Column) -> Column:
+    """Running sums, from the second value on, of the signs of the value minus each other one."""
+    return running_sum(F.transform(_index(x, 1), lambda t: _sum(F.transform(x, lambda v: F.signum(_at(x, t) - v)))))
 
-    U adds up, from the second value on, the signs of the value minus each other one; k counts from there, from 0.
-    """
-    n = F.size(x).cast("double")
-    steps = F.transform(_index(x, 1), lambda t: _sum(F.transform(x, lambda v: F.signum(_at(x, t) - v))))
-    u = F.transform(_index(x, 0, 2), lambda t: _sum(F.slice(steps, F.lit(1), t + 1)))
-    top = F.array_max(F.transform(u, lambda v: F.abs(v)))
-    k = F.array_position(F.transform(u, lambda v: F.abs(v)), top) - 1
-    p = 2 * F.exp(-6 * top * top / (n * n * n + n * n))
-    return F.struct(k.cast("int").alias("k"), _at(u, k).alias("u"), p.alias("p"), F.when(p < 0.01, 2).when(p < 0.05, 1).otherwise(0).alias("class"))
+
+def pettitt(u: Column) -> Column:
+    """struct(k, u, p, class) of the running sums u: the place of the largest |u| from 0, u there, its probability, and 0, 1 (p < .05), 2 (p < .01)."""
+    n = (F.size(u) + 1).cast("double")
+    best = F.array_max(F.transform(u, lambda v, i: F.struct(F.abs(v).alias("size"), (-i).alias("back"), v.alias("u"))))
+    p = 2 * F.exp(-6 * best["u"] * best["u"] / (n * n * n + n * n))
+    return F.struct((-best["back"]).cast("int").alias("k"), best["u"].alias("u"), p.alias("p"), F.when(p < 0.01, 2).when(p < 0.05, 1).otherwise(0).alias("class"))
 
 
 def prefix_counts(x: Column) -> Column:
     """For each place i, how many pairs up to it rise: earlier value below later one."""
     rises = F.transform(_index(x), lambda a: F.size(F.filter(F.slice(x, F.lit(1), a), lambda v: v < _at(x, a))).cast("double"))
-    return F.transform(_index(x), lambda i: _sum(F.slice(rises, F.lit(1), i + 1)))
+    return running_sum(rises)
 
 
 def sequential_mk(x: Column, textbook: bool = False) -> tuple[Column, Column]:

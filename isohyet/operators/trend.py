@@ -33,7 +33,8 @@ def pettitt(df: DataFrame, keys: list[str], time: str = "date", value: str = "va
         r = F.try_divide(F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["a"] * p["b"]), F.aggregate("c", F.lit(0.0), lambda a, v: a + v * v))
         x = x.withColumn("r", r)
         x = x.withColumn("x", F.transform(F.sequence(F.lit(1), F.size("flat") - 1), lambda i: F.element_at("flat", i + 1) - F.col("r") * F.element_at("flat", i) + F.col("slope") * i))
-    return x.select(*keys, S.pettitt(F.col("x")).alias("p")).select(*keys, "p.*")
+    x = x.withColumn("u", S.pettitt_u(F.col("x")))
+    return x.select(*keys, S.pettitt(F.col("u")).alias("p")).select(*keys, "p.*")
 
 
 def sequential_mk(df: DataFrame, keys: list[str], time: str = "date", value: str = "value", textbook: bool = False) -> DataFrame:
