@@ -329,7 +329,7 @@ def filter6(v: np.ndarray, alpha: float) -> np.ndarray:
 def emd2d(image: np.ndarray, max_imf: int = -1, mse: float = 0.01, mean: float = 0.01, passes: int = 20, radial: bool = False) -> np.ndarray:
     """Two-dimensional modes, the residue last. Envelopes are smooth surfaces through local extrema of the image tiled by mirrors 3 x 3.
 
-    The surfaces are thin-plate splines on the extrema nearest the image (cubic radial functions if radial).
+    The surfaces are thin-plate splines on all extrema of all tiles (cubic radial functions if radial).
     """
     low, span = image.min(), (image.max() - image.min()) or 1.0
     rest, modes = (image - low) / span, []
@@ -363,30 +363,110 @@ def _surface_extrema(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.argwhere(z > around.max(0)), np.argwhere(z < around.min(0))
 
 
-def _surface(z: np.ndarray, points: np.ndarray, radial: bool, most: int = 400) -> np.ndarray:
+#: Knots up to which a surface is one dense system; above, it is solved by iterations that hold no matrix.
+MAX_DENSE = 6000
+#: Values of kernels held at a time, knots of a local solve, residual (relative) and steps at which the iterations end.
+_HELD, _LOCAL, _RESIDUAL, _STEPS = 4_000_000, 60, 1e-8, 400
+
+
+def _kernel(r: np.ndarray, radial: bool) -> np.ndarray:
+    if radial:
+        return r**3
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(r > 0, r * r * np.log(r), 0.0)
+
+
+def _product(at: np.ndarray, c: np.ndarray, w: np.ndarray, radial: bool) -> np.ndarray:
+    """Kernels between `at` and c times w, a block of rows at a time."""
+    out, step = np.empty(len(at)), max(1, _HELD // len(c))
+    for a in range(0, len(at), step):
+        b = at[a : a + step]
+        out[a : a + step] = _kernel(np.hypot(b[:, :1] - c[:, 0], b[:, 1:] - c[:, 1]), radial) @ w
+    return out
+
+
+def _surface(z: np.ndarray, points: np.ndarray, radial: bool) -> np.ndarray:
+    """The surface through every point of the image and of its eight mirrors."""
     h, w = z.shape
     tiles = [(points[:, 0] * a + b, points[:, 1] * c + d) for a, b in ((1, 0), (-1, 0), (-1, 2 * h - 2)) for c, d in ((1, 0), (-1, 0), (-1, 2 * w - 2))]
     y, x = np.concatenate([t[0] for t in tiles]), np.concatenate([t[1] for t in tiles])
-    v = np.tile(z[points[:, 0], points[:, 1]], 9)
-    far = np.maximum(np.maximum(-y, y - h + 1), 0) + np.maximum(np.maximum(-x, x - w + 1), 0)
-    keep = np.argsort(far, kind="stable")[:most]
-    at = np.unique(np.stack([y[keep], x[keep]], 1), axis=0, return_index=True)[1]
-    c, v = np.stack([y[keep][at], x[keep][at]], 1).astype(float), v[keep][at]
+    at = np.unique(np.stack([y, x], 1), axis=0, return_index=True)[1]
     scale = max(h, w)
+    c, v = np.stack([y[at], x[at]], 1) / scale, np.tile(z[points[:, 0], points[:, 1]], 9)[at]
+    weights, plane = (_dense if len(c) <= MAX_DENSE else _iterated)(c, v, radial)
+    gy, gx = np.mgrid[0:h, 0:w]
+    g = np.stack([gy.ravel(), gx.ravel()], 1) / scale
+    return (_product(g, c, weights, radial) + plane[0] + g @ plane[1:]).reshape(h, w)
 
-    def kernel(r: np.ndarray) -> np.ndarray:
-        if radial:
-            return r**3
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(r > 0, r * r * np.log(r), 0.0)
 
+def _dense(c: np.ndarray, v: np.ndarray, radial: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the knots c and the plane beneath, by one dense system."""
     n = len(c)
-    r = np.sqrt(((c[:, None] - c) ** 2).sum(2)) / scale
     a = np.zeros((n + 3, n + 3))
-    a[:n, :n], a[:n, n], a[:n, n + 1 :] = kernel(r), 1, c / scale
+    a[:n, :n], a[:n, n], a[:n, n + 1 :] = _kernel(np.hypot(c[:, :1] - c[:, 0], c[:, 1:] - c[:, 1]), radial), 1, c
     a[n:, :n] = a[:n, n:].T
-    coef = np.linalg.lstsq(a + 1e-10 * np.eye(n + 3), np.r_[v, np.zeros(3)], rcond=None)[0]
-    gy, gx = np.mgrid[0:h, 0:w]
-    g = np.stack([gy.ravel(), gx.ravel()], 1).astype(float)
-    out = kernel(np.sqrt(((g[:, None] - c) ** 2).sum(2)) / scale) @ coef[:n] + coef[n] + g / scale @ coef[n + 1 :]
-    return out.reshape(h, w)
+    a[np.arange(n + 3), np.arange(n + 3)] += 1e-10
+    rhs = np.r_[v, np.zeros(3)]
+    if n <= 400 or np.linalg.matrix_rank(a[:n, n:]) < 3:  # knots on a line leave the plane open
+        coef = np.linalg.lstsq(a, rhs, rcond=None)[0]
+    else:
+        coef = np.linalg.solve(a, rhs)
+    return coef[:n], coef[n:]
+
+
+def _iterated(c: np.ndarray, v: np.ndarray, radial: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The same by restarted GMRES on the weights orthogonal to planes, with local cardinal functions to precondition."""
+    n = len(c)
+    q = np.linalg.qr(np.c_[np.ones(n), c])[0]
+    free = lambda x: x - q @ (q.T @ x)
+    near = _nearest(c, min(_LOCAL, n))
+    cardinal = np.empty(near.shape)
+    e = np.zeros(near.shape[1] + 3)
+    e[0] = 1
+    for i in range(n):
+        m = c[near[i]]
+        k = len(m)
+        a = np.zeros((k + 3, k + 3))
+        a[:k, :k], a[:k, k], a[:k, k + 1 :] = _kernel(np.hypot(m[:, :1] - m[:, 0], m[:, 1:] - m[:, 1]), radial), 1, m - m[0]
+        a[k:, :k] = a[:k, k:].T
+        cardinal[i] = np.linalg.lstsq(a, e, rcond=None)[0][:k]
+
+    def ready(r: np.ndarray) -> np.ndarray:
+        return free(np.bincount(near.ravel(), weights=(cardinal * r[:, None]).ravel(), minlength=n))
+
+    x, goal, used = np.zeros(n), _RESIDUAL * (np.linalg.norm(free(v)) or 1.0), 0
+    while True:
+        r = free(v - _product(c, c, x, radial))
+        beta = np.linalg.norm(r)
+        if beta <= goal:
+            break
+        if used >= _STEPS:
+            raise ArithmeticError(f"a surface through {n} extrema has residual {beta:g} after {used} steps")
+        basis, solved, upper = [r / beta], [], np.zeros((41, 40))
+        for k in range(40):
+            solved.append(ready(basis[k]))
+            w = free(_product(c, c, solved[k], radial))
+            for _ in range(2):
+                for j, b in enumerate(basis):
+                    upper[j, k] += (d := b @ w)
+                    w = w - d * b
+            upper[k + 1, k] = np.linalg.norm(w)
+            used += 1
+            rhs = np.r_[beta, np.zeros(k + 1)]
+            y = np.linalg.lstsq(upper[: k + 2, : k + 1], rhs, rcond=None)[0]
+            if np.linalg.norm(upper[: k + 2, : k + 1] @ y - rhs) <= goal / 2 or upper[k + 1, k] == 0 or used >= _STEPS:
+                break
+            basis.append(w / upper[k + 1, k])
+        x = x + np.array(solved).T @ y
+    return x, np.linalg.lstsq(np.c_[np.ones(n), c], v - _product(c, c, x, radial), rcond=None)[0]
+
+
+def _nearest(c: np.ndarray, k: int) -> np.ndarray:
+    """Each knot's k nearest, itself first."""
+    out, step = np.empty((len(c), k), np.int64), max(1, _HELD // len(c))
+    for a in range(0, len(c), step):
+        d = np.hypot(c[a : a + step, :1] - c[:, 0], c[a : a + step, 1:] - c[:, 1])
+        d[np.arange(len(d)), np.arange(a, a + len(d))] = -1
+        part = np.argpartition(d, k - 1, axis=1)[:, :k]
+        out[a : a + step] = np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, 1), axis=1), 1)
+    return out

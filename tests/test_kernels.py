@@ -55,6 +55,36 @@ def test_image_modes_add_up():
         assert np.allclose(emd.emd2d(z, 2, radial=radial).sum(0), z)
 
 
+def direct_surface(z, points, radial):
+    """Through every local extremum of the image and of its mirrors, by one dense system."""
+    h, w = z.shape
+    known = {(int(a), int(b)): z[i, j] for i, j in points for a in (i, -i, 2 * h - 2 - i) for b in (j, -j, 2 * w - 2 - j)}
+    c, v = np.array(list(known)) / max(h, w), np.array(list(known.values()))
+    kernel = (lambda r: r**3) if radial else (lambda r: r * r * np.log(np.where(r > 0, r, 1)))
+    rows = lambda at: np.c_[kernel(np.hypot(*(at[:, None] - c).transpose(2, 0, 1))), np.ones(len(at)), at]
+    flat = np.c_[np.ones(len(c)), c]
+    coef = np.linalg.solve(np.r_[rows(c), np.c_[flat.T, np.zeros((3, 3))]], np.r_[v, np.zeros(3)])
+    return (rows(np.argwhere(np.ones_like(z)) / max(h, w)) @ coef).reshape(h, w)
+
+
+@pytest.mark.parametrize("radial", [False, True])
+def test_image_modes_use_every_extremum(radial):
+    z = np.random.default_rng(3).random((62, 62))
+    found = emd._surface_extrema(z)
+    assert min(map(len, found)) > 400
+    scaled = (z - z.min()) / (z.max() - z.min())
+    mode = scaled - sum(direct_surface(scaled, p, radial) for p in found) / 2
+    assert np.allclose(emd.emd2d(z, 1, passes=1, radial=radial)[0], mode * (z.max() - z.min()), atol=1e-4)
+
+
+@pytest.mark.parametrize("radial", [False, True])
+def test_surface_without_a_matrix(monkeypatch, radial):
+    z = np.random.default_rng(4).random((30, 26))
+    points = emd._surface_extrema(z)[0]
+    monkeypatch.setattr(emd, "MAX_DENSE", 100)
+    assert np.allclose(emd._surface(z, points, radial), direct_surface(z, points, radial), atol=1e-5)
+
+
 def test_stl():
     n = np.arange(180)
     y = 0.1 * n + 3 * np.sin(2 * np.pi * n / 12)
