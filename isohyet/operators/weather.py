@@ -125,7 +125,9 @@ def multi_site(obs: DataFrame, gen: DataFrame, keys: list[str], station: str = "
         names = sorted(set(side.get("obs", pd.DataFrame()).columns) & set(side.get("gen", pd.DataFrame()).columns))
         if len(names) < 2:
             return pd.DataFrame({c: [] for c in [*keys, station, time, value]}, dtype=object)
-        out, _ = K.multi_site(side["obs"][names].to_numpy(), side["gen"][names].to_numpy(), fill, threshold, rate, seed)
+        obs, out = side["obs"][names].to_numpy(), side["gen"][names].to_numpy()
+        if min(len(obs), len(out)) > 1:  # else there is no order to put them in
+            out, _ = K.multi_site(obs, out, fill, threshold, rate, seed)
         long = pd.DataFrame(out, index=side["gen"].index, columns=names).rename_axis(columns=station).stack().rename(value).reset_index()
         return long.assign(**{k: pdf[k].iloc[0] for k in keys})
 

@@ -688,8 +688,8 @@ def wet_dry_moments(spark, sf):
 
 
 def _weather(spark, sf):
-    """Three synthetic years of six variables for a few stations, from the parts' prices."""
-    s = I.table(spark, sf, "nation").where("n_nationkey < 4").select(F.col("n_nationkey").alias("station"))
+    """Three synthetic years of six variables for each station."""
+    s = I.table(spark, sf, "nation").select(F.col("n_nationkey").alias("station"))
     d = s.withColumn("date", F.explode(F.sequence(F.lit("2001-01-01").cast("date"), F.lit("2003-12-31").cast("date"))))
     u = lambda k: F.pmod(F.xxhash64("station", "date", F.lit(k)), F.lit(10_000)) / 10_000.0
     wave = F.sin(F.dayofyear("date") * (2 * 3.141592653589793 / 365))
@@ -702,7 +702,10 @@ VARIABLES = ["PRE", "MAXTEM", "MINTEM", "RHU", "RS", "WIN"]
 @query()
 def weather_generator(spark, sf):
     """Fitted on days, generated for their months, A11 in it."""
-    d = _weather(spark, sf)
+    return _generated(_weather(spark, sf))
+
+
+def _generated(d):
     months = d.groupBy("station", F.trunc("date", "MM").alias("date")).agg(*[(F.sum(v) if G.RULES[v][0] == "sum" else F.avg(v)).alias(v) for v in VARIABLES])
     return rounded(G.generate(G.fit_generator(d, ["station"], VARIABLES), months, ["station"], VARIABLES, seed=7), *VARIABLES)
 
@@ -710,14 +713,26 @@ def weather_generator(spark, sf):
 @query("WITH s AS (SELECT n_nationkey AS station FROM nation WHERE n_nationkey < 4), k AS (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS month) SELECT station, CAST(y AS INTEGER) AS year, month, 1 AS met FROM s, k, (SELECT unnest([2001, 2002, 2003]) AS y)")
 def generated_months(spark, sf):
     """Generated daily temperatures are ordered, and rain stays non-negative, in every month."""
-    g = weather_generator(spark, sf)
+    return _months_met(_generated(_weather(spark, sf).where("station < 4")))
+
+
+@query("WITH s AS (SELECT n_nationkey AS station FROM nation), k AS (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS month) SELECT station, CAST(y AS INTEGER) AS year, month, 1 AS met FROM s, k, (SELECT unnest([2001, 2002, 2003]) AS y)")
+def generated_months_all(spark, sf):
+    """G8, as generated_months, of all stations."""
+    return _months_met(weather_generator(spark, sf))
+
+
+def _months_met(g):
     return g.groupBy("station", F.year("date").alias("year"), F.month("date").alias("month")).agg(F.min(((F.col("MINTEM") <= F.col("MAXTEM")) & (F.col("PRE") >= 0) & (F.col("RHU") <= 0.95)).cast("int")).alias("met"))
 
 
 @query()
 def multi_site_shuffle(spark, sf):
-    """R1 to R3."""
-    m = I.monthly(spark, sf).where("station < 6").withColumn("var", F.lit("PRE"))
+    """R1 to R3, of all stations; months a station lacks have the mean of its other such months, or of all its months."""
+    m = I.monthly(spark, sf)
+    m = m.select("station").distinct().crossJoin(m.select("date").distinct()).join(m, ["station", "date"], "left")
+    means = [F.avg("value").over(W.partitionBy("station", *k)) for k in ([F.month("date")], [])]
+    m = m.withColumn("value", F.coalesce("value", *means)).withColumn("var", F.lit("PRE"))
     gen = m.withColumn("value", F.pmod(F.xxhash64("station", "date"), F.lit(1000)) / 10.0)
     return rounded(G.multi_site(m, gen, ["var"]), "value")
 
@@ -725,7 +740,17 @@ def multi_site_shuffle(spark, sf):
 @query(f"WITH {I.MONTHLY}, o AS (SELECT m.station, m.date FROM m WHERE station < 6), n AS (SELECT date FROM o GROUP BY 1 HAVING count(*) = 6) SELECT station, count(*) AS n FROM o SEMI JOIN n USING (date) GROUP BY 1")
 def shuffle_keeps_values(spark, sf):
     """R2: each station keeps its generated values."""
-    m = I.monthly(spark, sf).where("station < 6").withColumn("var", F.lit("PRE"))
+    return _values_kept(I.monthly(spark, sf).where("station < 6"))
+
+
+@query(f"WITH {I.MONTHLY}, n AS (SELECT date FROM m GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT station) FROM m)) SELECT station, count(*) AS n FROM m SEMI JOIN n USING (date) GROUP BY 1")
+def shuffle_keeps_all(spark, sf):
+    """R2, as shuffle_keeps_values, over all stations."""
+    return _values_kept(I.monthly(spark, sf))
+
+
+def _values_kept(m):
+    m = m.withColumn("var", F.lit("PRE"))
     gen = m.withColumn("value", F.pmod(F.xxhash64("station", "date"), F.lit(1000)) / 10.0)
     out = G.multi_site(m, gen, ["var"]).select("station", F.round("value", 4).alias("value"))
     return out.join(gen.select("station", F.round("value", 4).alias("value")).distinct(), ["station", "value"]).groupBy("station").agg(F.count("*").alias("n"))
@@ -816,6 +841,18 @@ def bemd_sum(spark, sf):
     return D.emd2d(g, ["image"], max_imf=1, radial=True).groupBy("y", "x").agg(F.round(F.sum("value") + NUDGE, 3).alias("total"))
 
 
+@query()
+def emd2d_grid(spark, sf):
+    """The modes of the whole grid."""
+    return rounded(D.emd2d(I.grid(spark, sf).withColumn("image", F.lit(1)), ["image"]), "value", places=4).drop("image")
+
+
+@query()
+def bemd_grid(spark, sf):
+    """C11: the modes of the whole grid."""
+    return rounded(D.emd2d(I.grid(spark, sf).withColumn("image", F.lit(1)), ["image"], radial=True), "value", places=4).drop("image")
+
+
 # Filters and downscaling. ------------------------------------------------------------------------------------------
 
 @query()
@@ -852,7 +889,7 @@ def downscaling_linear(spark, sf):
 @query()
 def downscaling_perceptron(spark, sf):
     """M3."""
-    rows = _predictors(spark, sf).where("station < 5")
+    rows = _predictors(spark, sf)
     return rounded(DS.perceptron(rows, ["station"], ["x1", "x2", "x3", "x4"], "y", layers=(32, 16), epochs=60, subsets=[["x1", "x2", "x3"], ["x2", "x4"]]), "prediction", places=4)
 
 

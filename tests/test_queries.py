@@ -3,8 +3,12 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
+from test_kernels import direct_surface
 
+from isohyet.operators.kernels import emd
+from isohyet.plans import inputs
 from isohyet.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -54,6 +58,26 @@ def test_repeats(spark, name):
     assert first or name == "stl_robust_residual"
 
 
+@pytest.mark.parametrize("name", ["weather_generator", "generated_months_all", "multi_site_shuffle", "downscaling_perceptron"])
+def test_every_station(spark, name):
+    assert QUERIES[name](spark, SF).select("station").distinct().count() == 25
+
+
+def test_every_station_has_lines(spark):
+    assert QUERIES["swat_lines"](spark, SF).count() == 25 * 5 * 1096
+
+
+@pytest.mark.parametrize("name", ["emd2d_grid", "bemd_grid"])
+def test_whole_grid_is_decomposed(spark, monkeypatch, name):
+    sf = "/root/testdata/sf0.1"
+    z = inputs.grid(spark, sf).toPandas().pivot_table(index="y", columns="x", values="value").to_numpy()
+    z = np.where(np.isfinite(z), z, np.nanmean(z))
+    monkeypatch.setattr(emd, "_surface", direct_surface)
+    wanted = emd.emd2d(z, radial=name == "bemd_grid")
+    got = QUERIES[name](spark, sf).toPandas().sort_values(["component", "y", "x"])["value"].to_numpy().reshape(wanted.shape)
+    assert len(got) > 1 and np.allclose(got, wanted, atol=1e-3)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
