@@ -8,7 +8,7 @@ right half does, the right half's matches from there on are those of the joined
 begins after the left's last final match and grows, doubling, until it meets such a start; the tokens outside it are then
 proved stable. Each match is merged by the ranks on its own, as the public tiktoken library does. Decoding concatenates the tokens' bytes up the tree.
 
-Defined results: a null text is an empty one: no ids, no bytes. Ids are packed as little-endian unsigned 32-bit integers.
+Defined results: a null text is an empty one: no ids, no bytes. Ids are packed as little-endian unsigned 32-bit integers, or 16-bit ones where asked.
 """
 
 from __future__ import annotations
@@ -137,19 +137,25 @@ def decode_ids(ids: list[int], tokens: list[bytes]) -> bytes:
     return decode_ids(ids[:half], tokens) + decode_ids(ids[half:], tokens)
 
 
-def encode(df: DataFrame, text: str = "text", *, path: str, pattern: str, ids: str = "ids", decoded: str | None = None, leaf_chars: int = LEAF) -> DataFrame:
-    """df with the packed ids of column text in place of it; with `decoded`, also the bytes that the packed ids stand for, decoded in the same task."""
+def encode(df: DataFrame, text: str = "text", *, path: str, pattern: str, ids: str = "ids", decoded: str | None = None, leaf_chars: int = LEAF, width: int = 4) -> DataFrame:
+    """df with the packed ids of column text in place of it; with `decoded`, also the bytes that the packed ids stand for, decoded in the same task.
+
+    width: bytes of an id, 4 or 2; a vocabulary with larger ids than fit is refused.
+    """
+    kind = {2: "<u2", 4: "<u4"}[width]
     rest = [c for c in df.columns if c not in (text, ids, decoded)]
     df = df.select(*rest, F.coalesce(text, F.lit("")).alias(ids))
 
     def run(batches):
         encoding, compiled = codec(path, pattern)[:2]
+        if encoding.max_token_value >= 256**width:
+            raise ValueError(f"ids up to {encoding.max_token_value} do not fit {width} bytes")
         for b in batches:
-            packed = [encode_text(t.as_py(), encoding, compiled, leaf_chars).astype("<u4").tobytes() for t in b[ids]]
+            packed = [encode_text(t.as_py(), encoding, compiled, leaf_chars).astype(kind).tobytes() for t in b[ids]]
             out = [*(b[c] for c in rest), pa.array(packed, pa.binary())]
             if decoded:
                 tokens = codec(path, pattern)[2]
-                out.append(pa.array([decode_ids(np.frombuffer(x, "<u4").tolist(), tokens) for x in packed], pa.binary()))
+                out.append(pa.array([decode_ids(np.frombuffer(x, kind).tolist(), tokens) for x in packed], pa.binary()))
             yield pa.RecordBatch.from_arrays(out, [*rest, ids, *([decoded] if decoded else [])])
         trim()
 

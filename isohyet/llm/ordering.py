@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from .storage import attempt_name, open_fs
 #: Document id, part, number of ids.
 _HEADER, _HEADER_BYTES = "<qII", 16
 _NULL = 1 << 31
+#: Level of zstd for ids on disk between the passes, and bytes of ids that a task compresses together, a block for each shard.
+LEVEL, TOGETHER = 9, 16 << 20
 _U = np.uint64
 
 
@@ -66,7 +69,7 @@ def materialise(df: DataFrame, folder: str, length: int, width: int = 1, shard_b
     """
     df = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids"))
     if not is_table:
-        df = cut(df, "order-ids")
+        df = cut(df, "order-ids", **{"compression": "zstd", "parquet.compression.codec.zstd.level": str(LEVEL)})
     fs, root = open_fs(folder)
     fs.create_dir(root, recursive=True)
     step, stride, keys = length * width, _HEADER_BYTES + length * width, round_keys(seed)
@@ -79,16 +82,19 @@ def materialise(df: DataFrame, folder: str, length: int, width: int = 1, shard_b
 
     def cut_up(batches):
         p, done = TaskContext.get().partitionId(), 0
-        for b in batches:
-            docs, parts, bodies = [], [], []
-            for d, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        docs, parts, bodies, held = [], [], [], 0
+        for b in chain(batches, [None]):
+            if docs and (b is None or held >= TOGETHER):
+                slots = permute(np.arange(len(docs)) + (starts.get(p, 0) + done), total, keys)
+                done += len(docs)
+                yield _packed(slots, docs, parts, bodies, per_shard)
+                docs, parts, bodies, held = [], [], [], 0
+            for d, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if b else ():
+                held += len(body or b"")
                 for k in range(0, len(body or b""), step):
                     docs.append(d)
                     parts.append(k // step)
                     bodies.append(body[k : k + step])
-            slots = permute(np.arange(len(docs)) + (starts.get(p, 0) + done), total, keys)
-            done += len(docs)
-            yield _packed(slots, docs, parts, bodies, per_shard)
         if done != counted.get(p, 0):
             raise RuntimeError(f"partition {p} has {done} sequences where {counted.get(p, 0)} were counted: its files have changed")
 
@@ -107,7 +113,7 @@ def materialise(df: DataFrame, folder: str, length: int, width: int = 1, shard_b
                 out.write(struct.pack(_HEADER, d, part, len(body) // width | (_NULL if null else 0)) + body.ljust(step, b"\0"))
         return pa.table({"shard": [shard], "file": [name], "first_slot": [first], "records": [len(rows)]})
 
-    # What one batch has for a shard travels as one compressed block; a task holds one shard.
+    # What a task holds together for a shard travels as one compressed block; a task holds one shard.
     blocks = df.mapInArrow(cut_up, "shard long, raw long, packed binary")
     return cut(blocks.groupBy("shard").applyInArrow(write, "shard long, file string, first_slot long, records long"), "order-manifest")
 
@@ -119,11 +125,11 @@ def _packed(slots: np.ndarray, docs: list, parts: list, bodies: list, per_shard:
     bounds = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(order)] if len(order) else np.zeros(1, int)
     ids = np.array([d or 0 for d in docs], np.int64)
     null, part, size = np.array([d is None for d in docs], np.int32), np.array(parts, np.int32), np.array([len(x) for x in bodies], np.int32)
-    out = []
+    out, codec = [], pa.Codec("zstd", compression_level=LEVEL)
     for a, b in zip(bounds, bounds[1:], strict=False):
         at = order[a:b]
         raw = b"".join([np.int64(len(at)).tobytes(), slots[at].tobytes(), ids[at].tobytes(), null[at].tobytes(), part[at].tobytes(), size[at].tobytes(), *[bodies[k] for k in at]])
-        out.append((int(shard[a]), len(raw), pa.compress(raw, "zstd", asbytes=True)))
+        out.append((int(shard[a]), len(raw), codec.compress(raw, asbytes=True)))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["shard", "raw", "packed"])
 
 

@@ -45,9 +45,9 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text as byte-level ids (its UTF-8 bytes), in sequences of 512, written in training order and read back."""
-    ids = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("ids"))
-    return ordering.round_trip(ids, length=512, is_table=True)
+    """Every whole text as BPE ids of two bytes, in sequences of 512, written in training order and read back."""
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", width=2, **tokenizer())
+    return ordering.round_trip(ids, length=512, width=2)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,10 +46,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again, which ends its lineage and survives lost executors."""
+def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it again, which ends its lineage and survives lost executors. options are the writer's."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
