@@ -6,8 +6,9 @@ joined back by plain exchanges that Spark splits where one payload is a third of
 offset, length) are sorted by reversed-host URL key over all archives; ranges of them become files of gzip blocks of
 BLOCK lines, and the directory keeps one row a block: its first key, file, offset and length.
 
-Reading: a block is found by binary search in the directory, read as one range, and each of its lines names a record,
-read as one range. read_all goes over every block of the directory; lookup over those a URL can be in.
+Reading: lookup finds the blocks a key can be in by binary search in the sorted directory (one row a BLOCK captures, held
+by the caller as an Index), reads each as one range, finds the lines by binary search and reads each record as one range.
+read_all, which wants every record, searches for none: it goes over every block of the directory.
 
 Each attempt writes files of its own name, and captures and directory are tables in the shared folder, so a task that
 runs again leaves at worst a file that nothing refers to.
@@ -22,6 +23,7 @@ import bisect
 import gzip
 import hashlib
 import zlib
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -170,11 +172,27 @@ def read_all(directory: DataFrame, folder: str, payloads: bool = True) -> DataFr
     return blocks.mapInArrow(run, "id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
-def lookup(directory: DataFrame, folder: str, key: str) -> list[dict]:
-    """The records whose sort key is `key`, found by binary search in the directory's blocks that can hold it."""
-    blocks = directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key").collect()
+class Index:
+    """The directory sorted by key: its rows as a list, its keys as lists to bisect in."""
+
+    def __init__(self, directory: DataFrame):
+        columns = ["first_key", "last_key", "file", "offset", "length"]
+        rows = directory.select(*columns).toArrow().to_pylist()
+        # By code points, as Spark sorts by bytes of UTF-8.
+        self.blocks = sorted(rows, key=lambda b: (b["first_key"], b["last_key"]))
+        # Characters escaped in keys can put a block's last one out of order: the greatest so far never is.
+        self.first, self.last = [b["first_key"] for b in self.blocks], [*accumulate((b["last_key"] for b in self.blocks), max)]
+
+    def holding(self, key: str) -> list[dict]:
+        """The blocks that can hold key: two binary searches."""
+        return [b for b in self.blocks[bisect.bisect_left(self.last, key) : bisect.bisect_right(self.first, key)] if b["last_key"] >= key]
+
+
+def lookup(directory: DataFrame | Index, folder: str, key: str) -> list[dict]:
+    """The records whose sort key is `key`: its blocks by binary search in the sorted directory, its lines by binary search in each block."""
+    index = directory if isinstance(directory, Index) else Index(directory)
     ranges, out = Ranges(folder), []
-    for b in blocks:
+    for b in index.holding(key):
         lines = _lines(ranges, b["file"], b["offset"], b["length"])
         keys = [x[0] for x in lines]
         for x in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:

@@ -136,3 +136,21 @@ def test_pipeline(spark):
     for r in out[:50]:
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() and len(r.ids) == 4 * r.n_tokens
     assert zlib.crc32(b"") == 0
+
+
+def test_directory_is_bisected(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 3)
+    rows = [(i, f"http://h{i // 4 % 9}.org/p{i // 8 % 5}", f"body {i}") for i in range(120)]
+    folder = str(tmp_path / "w")
+    directory = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    index = warc.Index(directory)
+    monkeypatch.setattr(type(directory), "where", None)  # no scan by Spark
+    keys = [b["first_key"] for b in index.blocks]
+    for key in {*keys, "", "nowhere)", "\uffff"}:
+        assert index.holding(key) == [b for b in index.blocks if b["first_key"] <= key <= b["last_key"]]
+    monkeypatch.undo()
+    wanted = {}
+    for i, k in spark.createDataFrame(rows, "page_id long, url string, html string").select("page_id", warc.sort_key(F.col("url"))).collect():
+        wanted.setdefault(k, []).append(i)
+    for key, ids in wanted.items():
+        assert sorted(r["id"] for r in warc.lookup(index, folder, key)) == ids
