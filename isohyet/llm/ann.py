@@ -3,11 +3,12 @@
 Fitting, on the driver, on at most SAMPLE distinct vectors (those with the smallest hash of their id): a graph of each
 vector's GRAPH_K nearest is cut into PARTS balanced parts by recursive bisection (split at the median of a slow
 eigenvector of the graph, then swaps that cut fewer edges); a small network learns to predict in which parts a vector's
-neighbours lie; and the number of parts to probe is the least that finds TARGET_RECALL of the sample's own neighbours.
+neighbours lie; and the number of parts to probe is the least that finds TARGET_RECALL of the
+neighbours of other vectors, up to HELD, that neither graph nor network has seen.
 
 Indexing covers every row: its most probable part, in blocks of bounded size, so that a part in which one vector makes
-up a third of all rows is split too. A query goes to the blocks of its most probable parts and is reranked there by the
-exact inner product. The model (a few thousand floats) is all that travels to every task.
+up a third of all rows is split too. A query goes to the blocks of its most probable parts, to more of them where
+these hold too few rows, and is reranked there by the exact inner product. The model (a few thousand floats) is all that travels to every task.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do null ids; of
 rows with one id the smallest counts. Shorter vectors count as filled up with zeros. Ties go to the smaller id.
@@ -26,16 +27,18 @@ from .vectors import BLOCK_QUERIES, BLOCK_ROWS, best, finite, matrix, one_per_id
 
 #: Bound of the sample the index is fitted on, the graph's degree, and the parts.
 SAMPLE, GRAPH_K, PARTS = 6000, 16, 32
+#: Most vectors beside the sample that probes are chosen on; of small tables a sixth.
+HELD = 1000
 HIDDEN, EPOCHS, TARGET_RECALL = 96, 40, 0.95
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def neighbours(x: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of each row's k largest inner products, itself left out."""
-    k = min(k, len(x) - 1)
-    out = np.empty((len(x), k), np.int64)
-    for a in range(0, len(x), 512):
-        s = x[a : a + 512] @ x.T
+def neighbours(x: np.ndarray, k: int, rows: int | None = None) -> np.ndarray:
+    """Row numbers of the k largest inner products of each of the first `rows` rows (of all), itself left out."""
+    k, rows = min(k, len(x) - 1), len(x) if rows is None else rows
+    out = np.empty((rows, k), np.int64)
+    for a in range(0, rows, 512):
+        s = x[a : min(a + 512, rows)] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
         out[a : a + 512] = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else out[a : a + 512]
     return out
@@ -114,8 +117,11 @@ def train(x: np.ndarray, y: np.ndarray, seed: int) -> dict:
 
 
 def fit(x: np.ndarray, parts: int = PARTS, seed: int = 5, recall: float = TARGET_RECALL) -> dict:
-    """The router for distinct vectors x, with `probes`, the number of parts to search."""
+    """The router for distinct vectors x, with `probes`, the number of parts to search: chosen on a part of x left out of the training."""
     d = x.shape[1]
+    order = np.random.default_rng(seed).permutation(len(x))
+    every, aside = x[order], min(HELD, len(x) // 6)
+    x = every[aside:]
     while parts > 1 and len(x) < 4 * parts:
         parts //= 2
     if parts == 1:
@@ -126,10 +132,11 @@ def fit(x: np.ndarray, parts: int = PARTS, seed: int = 5, recall: float = TARGET
     np.add.at(y, (np.repeat(np.arange(len(x)), near.shape[1]), part[near].ravel()), 1.0)
     y[np.arange(len(x)), part] += near.shape[1] / 2
     model = train(x, y / y.sum(axis=1, keepdims=True), seed)
-    p = probabilities(model, x)
+    p = probabilities(model, every)
     home = p.argmax(axis=1)
-    position = np.argsort(np.argsort(-p, axis=1), axis=1)
-    rank = position[np.repeat(np.arange(len(x)), near.shape[1]), home[near].ravel()]
+    position = np.argsort(np.argsort(-p[:aside], axis=1), axis=1)
+    near = neighbours(every, GRAPH_K, aside)
+    rank = position[np.repeat(np.arange(aside), near.shape[1]), home[near].ravel()]
     found = np.cumsum(np.bincount(rank, minlength=parts)) / len(rank)
     return model | {"probes": int(np.searchsorted(found, recall) + 1)}
 
@@ -176,29 +183,33 @@ def search(df: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", vect
     clean = clean.where(finite(F.col("vector")) & F.exists("vector", lambda x: x != 0))
     rows = one_per_id(clean)
     width = rows.agg(F.max(F.size("vector"))).first()[0] or 1
-    sample = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).toArrow()
+    sample = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE + HELD).toArrow()
     x = np.unique(matrix(sample["vector"], width), axis=0) if sample.num_rows else np.zeros((0, width))
     model = fit(x, seed=seed, recall=recall)
 
     def route(batches):
         for b in batches:
             p = probabilities(model, matrix(b["vector"], width))
-            ranked = np.argsort(-p, axis=1, kind="stable")[:, : model["probes"]].astype(np.int32)
+            ranked = np.argsort(-p, axis=1, kind="stable").astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ranked.size + 1, ranked.shape[1], dtype=np.int32)), pa.array(ranked.ravel()))
             yield pa.RecordBatch.from_arrays([b["id"], b["vector"], lists], ["id", "vector", "parts"])
 
     index = cut(rows.mapInArrow(route, "id long, vector array<double>, parts array<int>"), "ann-index")
-    is_q = is_query(F.col("id"))
     home = F.element_at("parts", 1)
     held = {r["part"]: r["n"] for r in index.groupBy(home.alias("part")).agg(F.count("*").alias("n")).collect()}
-    asked = {r["part"]: r["n"] for r in index.where(is_q).select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()}
+    # The first `probes` parts, and more until they hold k rows beside the query's own or are all.
+    counts = F.array(*[F.lit(held.get(p, 0)).cast("long") for p in range(PARTS)])
+    none = F.struct(F.array().cast("array<int>").alias("p"), F.lit(0).cast("long").alias("n"))
+    more = lambda acc, part: F.when((F.size(acc["p"]) < model["probes"]) | (acc["n"] <= k), F.struct(F.concat(acc["p"], F.array(part)).alias("p"), (acc["n"] + F.element_at(counts, part + 1)).alias("n"))).otherwise(acc)
+    queries = index.where(is_query(F.col("id"))).select("id", "vector", F.explode(F.aggregate("parts", none, more)["p"]).alias("part"))
+    asked = {r["part"]: r["n"] for r in queries.groupBy("part").agg(F.count("*").alias("n")).collect()}
     blocks = F.array(*[F.lit(max(1, math.ceil(held.get(p, 0) / BLOCK_ROWS))) for p in range(PARTS)])
     groups = F.array(*[F.lit(max(1, math.ceil(asked.get(p, 0) / BLOCK_QUERIES))) for p in range(PARTS)])
     of = lambda array, part: F.element_at(array, part + 1)
     spread = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
     part = F.col("part")
     right = index.withColumn("part", home).select("id", "vector", "part", spread(2, of(blocks, part)).alias("cb"), F.explode(F.sequence(F.lit(0), of(groups, part) - 1)).alias("qb"))
-    left = index.where(is_q).select("id", "vector", F.explode("parts").alias("part")).where(part.isin([p for p in held]))
+    left = queries.where(part.isin([p for p in held]))
     left = left.select("id", "vector", "part", spread(1, of(groups, part)).alias("qb"), F.explode(F.sequence(F.lit(0), of(blocks, part) - 1)).alias("cb"))
     keys = ["part", "cb", "qb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda q, c: _search_block(q, c, k, width), "query_id long, vec_id long, score double")

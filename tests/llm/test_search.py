@@ -102,3 +102,28 @@ def test_parts_are_balanced():
     x = np.random.default_rng(0).normal(size=(1000, 16))
     parts = ann.balanced_parts(ann.neighbours(x, 10), 16, 1)
     assert np.ptp(np.bincount(parts)) <= 8 and ann.fit(x)["probes"] <= ann.PARTS
+
+
+def _vectors(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def test_ann_finds_k_in_small_clusters(spark):
+    r = np.random.default_rng(2)
+    x = np.repeat(r.standard_normal((40, 16)), 12, axis=0) + 0.01 * r.standard_normal((480, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = ann.search(_vectors(spark, x), lambda i: i % 20 == 0, 20).groupBy("query_id").count().collect()
+    assert len(got) == 24 and {r["count"] for r in got} == {20}
+
+
+def test_ann_recall_beyond_the_sample(spark):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((3 * ann.SAMPLE, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    found = {}
+    for q in ann.search(_vectors(spark, x), lambda i: i % 60 == 0, 20).collect():
+        found.setdefault(q.query_id, set()).add(q.vec_id)
+    s = x[::60] @ x.T
+    s[np.arange(len(s)), np.arange(0, len(x), 60)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([len(found[60 * k] & set(b.tolist())) / 20 for k, b in enumerate(best)]) >= 0.94
