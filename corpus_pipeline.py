@@ -23,27 +23,48 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with the one of smallest id of each group of near duplicates; of repeated rows of an id, one. Empty texts and null ids all stay."""
+    """docs with the row of smallest id of each group of near duplicates; of rows that repeat an id and its text, one. Empty texts and null ids all stay.
+
+    Rows that share an id and have different texts are rows of their own, told apart by a number in order of id and text.
+    """
     ship(spark)
-    found = cut(jaccard.join_components(docs).select("doc_id", "n_shingles", "component_id"), "pipeline-components")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    if gone.count() <= MAX_BROADCAST:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    first = again.withColumn("__k", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("__k = 1").drop("__k")
-    return kept.join(repeated.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(_linked_away(docs, "doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    known = docs.where("doc_id is not null").withColumn("__text", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = known.select("doc_id", "__text").distinct().repartitionByRange("doc_id", "__text").sortWithinPartitions("doc_id", "__text")
+    rows = cut(rows.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    known = cut(known.join(rows, ["doc_id", "__text"]), "pipeline-known")
+    kept = known.join(_linked_away(known, "__row"), "__row", "left_anti")
+    wordy = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)) > 0
+    repeated = cut(known.where(wordy).groupBy("__row").count().where("count > 1").select("__row"), "pipeline-repeated")
+    again = kept.join(repeated, "__row", "left_semi")
+    first = again.withColumn("__k", F.row_number().over(W.partitionBy("__row").orderBy(F.xxhash64(*docs.columns)))).where("__k = 1")
+    once = kept.join(repeated, "__row", "left_anti")
+    return once.select(*docs.columns).unionByName(first.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
+
+
+def _linked_away(docs: DataFrame, key: str) -> DataFrame:
+    """The keys whose component has a smaller one, broadcast where few."""
+    found = cut(jaccard.join_components(docs, key).select(F.col("doc_id").alias(key), "component_id"), "pipeline-components")
+    gone = found.where(F.col("component_id") != F.col(key)).select(key).distinct()
+    return F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs, each row as often as the mix takes it. Rows that share an id, or a null one, get the fewest copies drawn for any of them."""
+    """docs, each row as often as the mix takes it. Rows of one id, source and size are alike to the mix; what it takes of them is dealt out among them."""
     ship(spark)
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.min("copies").alias("__copies")).where("__copies > 0")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
+    drawn = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
+    drawn = drawn.agg(F.min("copies").alias("__low"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("__extra"))
+    drawn = cut(drawn, "pipeline-drawn")
+    same = docs["doc_id"].eqNullSafe(drawn["__id"]) & docs["source"].eqNullSafe(drawn["__source"]) & (mixing.words(docs["text"]) == drawn["__size"])
+    joined = docs.join(drawn.where("__low > 0 or __extra > 0"), same)
+    taken = joined.where("__extra = 0").withColumn("__copies", F.col("__low"))
+    if not drawn.where("__extra > 0").isEmpty():
+        place = F.row_number().over(W.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(*[docs[c] for c in docs.columns])))
+        uneven = joined.where("__extra > 0").withColumn("__place", place)
+        uneven = uneven.withColumn("__copies", F.col("__low") + (F.col("__place") <= F.col("__extra")).cast("long")).drop("__place")
+        taken = taken.unionByName(uneven.where("__copies > 0"))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
 
 
 def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,3 +154,31 @@ def test_directory_is_bisected(spark, tmp_path, monkeypatch):
         wanted.setdefault(k, []).append(i)
     for key, ids in wanted.items():
         assert sorted(r["id"] for r in warc.lookup(index, folder, key)) == ids
+
+
+PROSE = ["the quick brown fox jumps over the lazy dog near a river bank today", "rain falls on northern hills while shepherds count their sheep at dusk again", "many ships left the old harbour before winter storms closed every channel there"]
+
+
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = PROSE
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "y"), (5, c, "x"), (5, c, "x"), (7, b, "x"), (8, None, "x"), (8, "", "x"), (None, a, "x"), (None, a, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, a, "x"), (5, b, "y"), (5, c, "x"), *rows[6:]], key=str)
+
+
+def test_each_row_has_its_own_copies(spark):
+    from isohyet.llm import mixing
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(None if i % 3 == 0 else i // 6, f"{PROSE[i % 3]} {i} " + "more " * (i % 7), "xyz"[i % 3 if i % 2 else i % 2]) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wanted, got = {}, {}
+    for r in mixing.mix(docs).collect():
+        wanted[r.doc_id, r.source, r.size] = wanted.get((r.doc_id, r.source, r.size), 0) + r.copies
+    mixed = pipeline.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns
+    for r in mixed.select("doc_id", "source", mixing.words(F.col("text")).alias("size")).collect():
+        got[tuple(r)] = got.get(tuple(r), 0) + 1
+    assert got == {k: n for k, n in wanted.items() if n}
