@@ -1,20 +1,23 @@
 """N-gram Jaccard join by PartEnum signatures, and its connected components.
 
 A document's set is its distinct five-word shingles, as 64-bit hashes. Two sets of sizes a <= b with Jaccard at least
-num/den differ in at most (a + b)(den - num)/(den + num) elements. Sizes fall into bands; a set takes part in its own
-band and, if a partner could lie there, in the next. In a band the hash range is cut into P parts; sets that differ in
-at most d elements agree on at least one of any d + 1 parts, so each set signs the contents of its first
-d(size) + 1 + t parts (the subsets enumerated are single parts: the second level of PartEnum with n2 = 2, k2 = 1).
-Empty parts agree without meaning; a set signs them only when so many of its parts are empty (more than its slack t)
+num/den differ in at most d = (a + b)(den - num)/(den + num) elements. Sizes fall into bands; a set takes part in its own
+band and, if a partner could lie there, in the next. In a band the hash range is cut into n1 parts of n2 subparts; sets
+that differ in at most d elements differ by one at most (k2 = 1) in any part but d // 2 of them, so of any d // 2 + 1 + t
+parts at least 1 + t agree on all subparts but one. Each set signs, of its first d(size) // 2 + 1 + t parts, every subset
+of n2 - 1 subparts. n2 is what a band's cost table says (`scheme`): more subparts are more signatures, but wider and so
+rarer ones. With n2 = 2 the subsets are single subparts, any d + 1 + t of which hold 1 + t that agree.
+Empty subsets agree without meaning; a set signs them only when so many of its parts have some (more than its slack t)
 that no full one need agree, and a partner for which that matters has as many. No pair at or above the threshold is lost.
 
-Equal sets are one class from the start. Sets that share a signature are tied to the smallest of them, their center, and are
-first compared with it alone, so thousands of near copies cost thousands of comparisons. All sets tied to a center that
-is left with several components are then compared pair by pair between components, in blocks: sets that share a
-signature have its center in common, so no pair is missed. Before sets are fetched, pairs
-are dropped by size and by parity sketches (four to eight bits a shingle: differing bits are a lower bound of the
-difference, so none is lost). What is left is decided by the exact intersection. Only signatures, sketches and the sets of pairs that
-pass are shuffled; nothing but counts reaches the driver.
+Equal sets are one class from the start. Classes that share a signature are tied in two steps: within what a task signs
+together to the smallest, its local center, and the local centers to the smallest of them, so that one signature of N
+near copies is one entry for each of these lots, not N. Sets are first compared with their centers alone, so thousands of
+near copies cost thousands of comparisons. A center, what is tied to it and what is tied to that hold all sets that share
+a signature; where they are left with several components, they are compared pair by pair between components, in blocks.
+Before sets are fetched, pairs are dropped by size and by parity sketches (four to eight bits a shingle: differing
+bits are a lower bound of the difference, so none is lost). What is left is decided by the exact intersection. Only
+signatures, sketches and the sets of pairs that pass are shuffled; nothing but counts reaches the driver.
 
 Defined results: texts that are null or have no words have an empty set and link with nothing. Rows with a null id take
 no part in links and have a null component. Repeated rows stay and share a component. Hashes are 64-bit: two different
@@ -30,11 +33,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .runtime import cut, trim
+from .runtime import cut, release, trim
 
 WORDS, NUM, DEN = 5, 80, 100
-#: Bytes of one signature entry; bytes a bucket of signatures should hold; entries gathered before they are sent.
-_ENTRY, _BUCKET_BYTES, _FLUSH = 16, 2 << 20, 3 << 18
+#: Bytes of one signature entry; bytes a bucket of signatures should hold; entries signed together; classes a task remembers.
+_ENTRY, _BUCKET_BYTES, _FLUSH, _SEEN = 16, 2 << 20, 1 << 19, 1 << 17
 #: Ids of documents whose sets are fetched are broadcast up to this many, counted first.
 MAX_BROADCAST = 500_000
 #: Members of a block of a group; nearest classes of other components compared in each round, None for all.
@@ -70,8 +73,8 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(first)
     if not len(starts):
         return starts, np.zeros(0, np.uint64)
-    place = np.arange(len(data)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
-    code = (place << 8) | _LOWER[data]
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(np.r_[0, starts].astype(np.int32), np.diff(np.r_[0, starts, len(data)]))
+    code = (place.astype(np.int64) << 8) | _LOWER[data]
     far = place >= _NEAR
     value = _byte_table()[np.where(far, 0, code)]
     if far.any():
@@ -80,7 +83,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix(np.add.reduceat(value, starts))
 
 
-def shingle_sets(texts: pa.Array, segment: int = 1 << 20):
+def shingle_sets(texts: pa.Array, segment: int = 1 << 17):
     """Sorted distinct shingle hashes (uint64) of each text, whole texts, in order."""
     texts = texts.cast(pa.large_binary())
     group, size = [], 0
@@ -133,14 +136,20 @@ def class_of(h: np.ndarray) -> int:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Parities of the elements' counts in 2^k cells of the hash range, at least four cells an element."""
+    """Parities of the elements' counts in 2^k cells by their low bits, at least four cells an element, as 64-bit words."""
     k = max(6, math.ceil(math.log2(max(1, len(h)))) + 2)
-    return np.packbits((np.bincount((h >> _U(64 - k)).astype(np.int64), minlength=1 << k) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((h & _U((1 << k) - 1)).astype(np.int64), minlength=1 << k) & 1).astype(np.uint8)).tobytes()
 
 
-def _bits(s: bytes, size: int) -> np.ndarray:
-    """A sketch folded to `size` cells."""
-    return np.bitwise_xor.reduce(np.unpackbits(np.frombuffer(s, np.uint8)).reshape(size, -1), axis=1)
+def folded(s: bytes, words: int) -> np.ndarray:
+    """A sketch folded to so many words."""
+    x = np.frombuffer(s, "<u8")
+    return x if len(x) == words else np.bitwise_xor.reduce(x.reshape(-1, words), axis=0)
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    words = min(len(x), len(y)) // 8
+    return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
 
 
 # Bands of sizes. Band 0 starts at the smallest size that can link with a different set.
@@ -155,16 +164,42 @@ def band(j: int) -> tuple[int, int]:
     return low, low * DEN * DEN // (NUM * NUM)
 
 
-@lru_cache(maxsize=100_000)
-def shape(s: int, j: int) -> tuple[int, int, int]:
-    """For a set of size s in band j: parts of the range, parts it signs, and how many empty ones make it sign them too."""
-    top = band(j)[1]
+def difference(x: int, j: int) -> int:
+    """In how many elements a set of size x and a partner in band j differ at most."""
+    return min(x * (DEN - NUM) // NUM, (x + band(j)[1]) * (DEN - NUM) // (DEN + NUM))
+
+
+#: Elements a set shares by chance (a quoted passage) as a share of it, and what a false candidate costs in signatures.
+_COMMON, _FALSE = 0.5, 16.0
+
+
+def parts_of(x: int, j: int, n2: int) -> tuple[int, int]:
+    """Parts that a set of size x signs in band j with n2 subparts, and its slack."""
+    d = difference(x, j)
+    slack = d // 4 + 2 if n2 == 2 else d // 8 + 1
+    return (d if n2 == 2 else d // 2) + 1 + slack, slack
 
-    def d(x: int) -> int:
-        return min(x * (DEN - NUM) // NUM, (x + top) * (DEN - NUM) // (DEN + NUM))
 
-    slack = lambda x: d(x) // 4 + 2
-    return d(top) + 1 + slack(top), d(s) + 1 + slack(s), 1 + slack(least_partner(s))
+@lru_cache(maxsize=None)
+def scheme(j: int) -> int:
+    """n2 of band j: the cheapest by signatures and the false candidates they bring, of those whose subsets are seldom empty."""
+    low, top = band(j)
+
+    def cost(n2: int) -> float:
+        parts, slack = parts_of(top, j, n2)
+        subsets, held = (1, low / parts) if n2 == 2 else (n2, low / parts * (n2 - 1) / n2)
+        if n2 > 2 and parts * subsets * math.exp(-held) > (1 + slack) / 2:
+            return math.inf
+        return parts * subsets * (1 + _FALSE * _COMMON**held)
+
+    return min((2, 3, 4), key=cost)
+
+
+@lru_cache(maxsize=100_000)
+def shape(s: int, j: int) -> tuple[int, int, int, int]:
+    """For a set of size s in band j: subparts of a part, parts of the range, parts it signs, how many with an empty subset make it sign these."""
+    n2 = scheme(j)
+    return n2, parts_of(band(j)[1], j, n2)[0], parts_of(s, j, n2)[0], 1 + parts_of(least_partner(s), j, n2)[1]
 
 
 def bands_of(s: int) -> list[int]:
@@ -177,19 +212,23 @@ def bands_of(s: int) -> list[int]:
 
 
 def signatures(h: np.ndarray) -> np.ndarray:
-    """The signatures of a set, as 64-bit numbers that carry band and part."""
+    """The signatures of a set, as 64-bit numbers that carry band, part and subset."""
     out = []
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ _MULT[2]), dtype=np.uint64)])
     for j in bands_of(len(h)):
-        parts, signed, many = shape(len(h), j)
-        edges = (np.arange(signed + 1, dtype=np.uint64) * _U((1 << 64) // parts)).astype(np.uint64)
+        n2, parts, signed, many = shape(len(h), j)
+        cells = 1 if n2 == 2 else n2
+        edges = np.arange(signed * cells + 1, dtype=np.uint64) * _U((1 << 64) // (parts * cells))
         at = np.searchsorted(h, edges)
         if signed == parts:
             at[-1] = len(h)
-        content = total[at[1:]] - total[at[:-1]]
-        full = at[1:] > at[:-1]
-        sig = mix(content + mix(np.arange(signed, dtype=np.uint64) + _U((j + 1) << 32)))
-        out.append(sig if signed - full.sum() >= many else sig[full])
+        content, held = (total[at[1:]] - total[at[:-1]]).reshape(signed, cells), (at[1:] - at[:-1]).reshape(signed, cells)
+        if cells > 1:  # all subparts of a part but one
+            content, held = content.sum(axis=1, keepdims=True, dtype=np.uint64) - content, held.sum(axis=1, keepdims=True) - held
+        full = held > 0
+        place = np.arange(signed * cells, dtype=np.uint64).reshape(signed, cells) + _U((j + 1) << 32)
+        sig = mix(content + mix(place))
+        out.append(sig.ravel() if signed - full.all(axis=1).sum() >= many else sig[full])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -209,71 +248,97 @@ def _describe(batches):
     trim()
 
 
+_PAIR = np.dtype([("s", "<u8"), ("f", "<i8")])
+
+
+def _packed(to: np.ndarray, pairs: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Pairs by their buckets: ascending buckets and what goes to each."""
+    order = np.argsort(to, kind="stable")
+    to, pairs = to[order], pairs[order]
+    starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], len(to)]
+    return to[starts].tolist(), [pairs[a:b].tobytes() for a, b in zip(starts, ends, strict=False)]
+
+
+def _paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Distinct pairs, ordered."""
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])] if len(first) else np.zeros(0, bool)
+    out = np.empty(int(new.sum()), _PAIR)
+    out["s"], out["f"] = first[new].view(np.uint64), second[new]
+    return out
+
+
+def _tie(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct, ordered (signature, class): the first of each signature, and the pairs (first, other) within signatures."""
+    s, f = entries["s"], entries["f"]
+    new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
+    center = np.repeat(f[new], np.diff(np.r_[np.flatnonzero(new), len(s)]))
+    return entries[new], _paired(center[~new], f[~new])
+
+
 def _sign(buckets: int):
+    """Signatures in lots: one entry a signature of a lot for its smallest class, and the other classes tied to that."""
+
+    def flush(sigs, fps):
+        lot, tied = _tie(_paired(np.concatenate(sigs).view(np.int64), np.repeat(np.array([x for x, _ in fps], np.int64), [k for _, k in fps])))
+        of = lambda x: ((x >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+        to, entries = _packed(of(lot["s"]), lot)
+        to_tied, pairs = _packed(of(mix(tied["s"])), tied)
+        columns = [pa.array(to + to_tied, pa.int64()), pa.array(entries + [None] * len(pairs), pa.binary()), pa.array([None] * len(entries) + pairs, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "entries", "tied"])
+
     def run(batches):
         seen: set[int] = set()
         sigs, fps, held = [], [], 0
-
-        def flush():
-            sig = np.concatenate(sigs)
-            sigs.clear()
-            fp = np.repeat(np.array([x for x, _ in fps], np.int64), [k for _, k in fps])
-            to = ((sig >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            entries = np.empty(len(sig), np.dtype([("s", "<u8"), ("f", "<i8")]))
-            entries["s"], entries["f"] = sig[order], fp[order]
-            ends = np.searchsorted(to[order], np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(ends))
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([entries[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary())], ["bucket", "entries"])
-
         for b in batches:
             for h in shingle_sets(_columns(b, ["text"])[0]):
                 if not bands_of(len(h)) or (f := class_of(h)) in seen:
                     continue
-                if len(seen) < 1_000_000:
-                    seen.add(f)
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(f)
                 sigs.append(signatures(h))
                 fps.append((f, len(sigs[-1])))
                 held += len(sigs[-1])
                 if held >= _FLUSH:
-                    yield flush()
+                    yield flush(sigs, fps)
                     sigs, fps, held = [], [], 0
         if held:
-            yield flush()
+            yield flush(sigs, fps)
         trim()
 
     return run
 
 
-_GROUPS = pa.schema([("center", pa.int64()), ("fp", pa.int64())])
+_GROUPS = pa.schema([("center", pa.int64()), ("fp", pa.int64()), ("step", pa.int32())])
 
 
 def _group(t: pa.Table) -> pa.Table:
-    """Classes of a bucket that share a signature with a smaller one: the smallest is the center. Each pair once, the center with itself."""
-    raw = np.concatenate([np.frombuffer(x.as_buffer(), np.dtype([("s", "<u8"), ("f", "<i8")])) for x in t["entries"]])
-    order = np.lexsort((raw["f"], raw["s"]))
-    s, f = raw["s"][order], raw["f"][order]
-    new = np.r_[True, (s[1:] != s[:-1]) | (f[1:] != f[:-1])]
-    s, f = s[new], f[new]
-    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    sizes = np.diff(np.r_[starts, len(s)])
-    many = np.repeat(sizes > 1, sizes)
-    pairs = np.unique(np.stack([np.repeat(f[starts], sizes)[many], f[many]], axis=1), axis=0)
-    return pa.table([pairs[:, 0], pairs[:, 1]], schema=_GROUPS)
+    """A bucket's pairs (center, class): step 1 as its lots tied them, step 2 between the lots' entries of one signature."""
+    held = {c: [np.frombuffer(x.as_buffer(), _PAIR) for x in t[c] if x.is_valid] for c in ("entries", "tied")}
+    near, far = np.zeros(0, _PAIR), np.zeros(0, _PAIR)
+    if held["tied"]:
+        raw = np.concatenate(held["tied"])
+        near = _paired(raw["s"].view(np.int64), raw["f"])
+    if held["entries"]:
+        raw = np.concatenate(held["entries"])
+        far = _tie(_paired(raw["s"].view(np.int64), raw["f"]))[1]
+    both = np.concatenate([near, far])
+    step = np.repeat(np.array([1, 2], np.int32), [len(near), len(far)])
+    return pa.table([both["s"].view(np.int64), both["f"], step], schema=_GROUPS)
 
 
-def _may_link(n1, n2, bits_apart) -> np.ndarray:
-    return (bits_apart * (DEN + NUM) <= (n1 + n2) * (DEN - NUM)) & (np.minimum(n1, n2) * DEN >= np.maximum(n1, n2) * NUM)
+def _may_link(n1, n2, apart) -> np.ndarray:
+    return (apart * (DEN + NUM) <= (n1 + n2) * (DEN - NUM)) & (np.minimum(n1, n2) * DEN >= np.maximum(n1, n2) * NUM)
 
 
 def _prune(batches):
     for b in batches:
         n1, n2, s1, s2 = _columns(b, ["n1", "n2", "s1", "s2"])
-        apart = []
-        for x, y in zip(s1.to_pylist(), s2.to_pylist(), strict=True):
-            size = 8 * min(len(x), len(y))
-            apart.append(int((_bits(x, size) != _bits(y, size)).sum()))
-        keep = _may_link(n1.to_numpy(), n2.to_numpy(), np.array(apart))
+        apart = np.array([bits_apart(x, y) for x, y in zip(s1.to_pylist(), s2.to_pylist(), strict=True)], np.int64)
+        keep = _may_link(n1.to_numpy(), n2.to_numpy(), apart)
         yield b.select(["a", "b"]).filter(pa.array(keep))
 
 
@@ -291,15 +356,15 @@ def _pairs(keep: int):
         found = []
         for a, b in zip(starts, starts[1:], strict=False):
             at = order[a:b]
-            size = 8 * min(len(marks[k]) for k in at)
-            packed = np.stack([np.frombuffer(marks[k], np.uint8) if 8 * len(marks[k]) == size else np.packbits(_bits(marks[k], size)) for k in at])
+            words = min(len(marks[k]) for k in at) // 8
+            folds = np.stack([folded(marks[k], words) for k in at])
             left, right = np.flatnonzero(one[at]), np.flatnonzero(two[at])
             f, l, m = fp[at], label[at], n[at]
-            apart = np.zeros((len(left), len(right)), np.float32)
-            for c in range(0, packed.shape[1], 1024):  # bits apart, some columns at a time
-                bits = np.unpackbits(packed[:, c : c + 1024], axis=1).astype(np.float32)
-                ones = bits.sum(axis=1)
-                apart += ones[left][:, None] + ones[right] - 2 * (bits[left] @ bits[right].T)
+            apart = np.zeros((len(left), len(right)), np.int64)
+            for c in range(0, words, 256):  # bits apart, some columns at a time
+                some = np.ascontiguousarray(folds[:, c : c + 256])
+                for k, x in enumerate(left):
+                    apart[k] += np.bitwise_count(some[x] ^ some[right]).sum(axis=1, dtype=np.int64)
             ok = _may_link(m[left][:, None], m[right], apart) & (l[left][:, None] != l[right])
             if not ok.any():
                 continue
@@ -341,15 +406,18 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """id, label: each node of the edges with the smallest node it can reach. Smallest labels spread and are followed at once."""
     both = cut(edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).union(edges.select(b, a)).distinct(), "component-edges")
     labels = both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("id"), F.least("src", "m").alias("label"))
-    labels = cut(labels, "component-labels")
+    last = cut(labels, "component-labels")
     while True:
+        labels = last.select("id", "label")
         seen = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("label").alias("near"))
         moved = labels.join(seen, labels["id"] == seen["src"]).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
         after = cut(moved.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "component-labels")
-        labels = after.select("id", "label")
+        release(last)
+        last = after
         if after.where("old <> label").isEmpty():
-            return labels
+            release(both)
+            return after
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -363,7 +431,31 @@ def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     sets = cut(sets.join(needed.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "jaccard-sets")
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
-    return cut(both.where(F.col("i") * DEN >= (F.col("n") - F.col("i")) * NUM).select("a", "b"), "jaccard-links")
+    links = cut(both.where(F.col("i") * DEN >= (F.col("n") - F.col("i")) * NUM).select("a", "b"), "jaccard-links")
+    release(needed, sets)
+    return links
+
+
+def _open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """gid, fp of the groups that are still in several components, whole, and their blocks.
+
+    A group is a center that is tied to no other, the centers tied to it and the classes tied to these. Which are open is
+    told by labels summed up at each step, so only open groups are ever put together.
+    """
+    near, far = (groups.where(F.col("step") == k).select("center", "fp") for k in (1, 2))
+    label = labels.select(F.col("id").alias("fp"), "label")
+    told = lambda df: df.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    below = told(near).groupBy(F.col("center").alias("fp")).agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    tops = far.select("center").union(near.select("center").join(far.select(F.col("fp").alias("center")), "center", "left_anti")).distinct()
+    steps = far.select(F.col("center").alias("gid"), "fp").union(tops.select(F.col("center").alias("gid"), F.col("center").alias("fp")))
+    known = told(steps).join(below, "fp", "left").groupBy("gid")
+    known = known.agg(F.sum(F.coalesce("n", F.lit(0)) + 1).alias("members"), F.min(F.least("label", "low")).alias("low"), F.max(F.greatest("label", "high")).alias("high"))
+    open_ = cut(known.where("low <> high").select("gid", F.ceil(F.col("members") / _BLOCK).cast("int").alias("blocks")), "jaccard-open")
+    upper = steps.join(open_, "gid")
+    lower = upper.join(near.select(F.col("center").alias("fp"), F.col("fp").alias("tied")), "fp").select("gid", F.col("tied").alias("fp"), "blocks")
+    members = cut(told(upper.select("gid", "fp", "blocks").union(lower).distinct()), "jaccard-members")
+    release(open_)
+    return members
 
 
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -373,32 +465,32 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = described.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     classes = cut(classes, "jaccard-classes")
     shingles = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = min(1 << 16, max(64, math.ceil(shingles * 0.5 * _ENTRY / _BUCKET_BYTES)))
+    buckets = max(64, math.ceil(shingles * _ENTRY / _BUCKET_BYTES))
 
-    signed = docs.where("doc_id is not null").select("text").mapInArrow(_sign(buckets), "bucket int, entries binary")
-    groups = signed.groupBy("bucket").applyInArrow(_group, "center long, fp long").distinct()
-    groups = cut(groups, "jaccard-groups")
+    signed = docs.where("doc_id is not null").select("text").mapInArrow(_sign(buckets), "bucket long, entries binary, tied binary")
+    groups = cut(signed.groupBy("bucket").applyInArrow(_group, "center long, fp long, step int").distinct(), "jaccard-groups")
 
     known = classes.where("sketch is not null").select("fp", "n", "sketch")
     one = known.select(F.col("fp").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
     two = known.select(F.col("fp").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
-    stars = groups.where("center <> fp").select(F.col("center").alias("a"), F.col("fp").alias("b"))
+    stars = groups.select(F.col("center").alias("a"), F.col("fp").alias("b")).distinct()
     stars = stars.join(one, "a").join(two, "b").where(f"least(n1, n2) * {DEN} >= greatest(n1, n2) * {NUM}")
     stars = cut(stars.select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(_prune, "a long, b long"), "jaccard-stars")
     links = _linked(docs, stars, classes)
-    labels = components(links, "a", "b")
+    labels, kept = components(links, "a", "b"), [links]
 
-    # Centers whose sets are still in several components hold pairs that the stars have not compared. Each class first meets its nearest
+    # Groups whose sets are still in several components hold pairs that the stars have not compared. Each class first meets its nearest
     # few of other components, which joins most of them; the last round takes whatever pairs are left between components.
-    tested = stars
+    tested, spent = stars, [stars]
     for keep in ROUNDS:
-        told = groups.join(labels.withColumnRenamed("id", "fp"), "fp", "left").select(F.col("center").alias("gid"), "fp", F.coalesce("label", "fp").alias("label"))
-        open_ = told.groupBy("gid").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        open_ = open_.select("gid", F.ceil(F.col("members") / _BLOCK).cast("int").alias("blocks"))
-        rows = told.join(open_, "gid").join(known, "fp")
+        members = _open_groups(groups, labels)
+        if members.isEmpty():
+            release(members)
+            break
+        rows = members.select(F.col("gid"), "fp", "label", "blocks").join(known, "fp")
         rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("gid", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("first"), (F.col("mine") >= F.col("other")).alias("second"), "fp", "label", "n", "sketch")
-        near = rows.groupBy(F.pmod(F.xxhash64("gid", "i", "j"), F.lit(buckets))).applyInArrow(_pairs(keep or 1 << 30), "x long, y long, far double")
+        near = rows.groupBy(F.xxhash64("gid", "i", "j").alias("block")).applyInArrow(_pairs(keep or 1 << 30), "x long, y long, far double")
         near = near.groupBy("x", "y").agg(F.min("far").alias("far"))
         if keep:
             near = near.withColumn("k", F.row_number().over(W.partitionBy("x").orderBy("far", "y")))
@@ -406,18 +498,25 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         more = (near.where(F.col("k") <= keep) if keep else near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         more = cut(more.join(tested, ["a", "b"], "left_anti"), "jaccard-more")
         found = _linked(docs, more, classes)
+        last = not keep or near.where(F.col("k") > keep).isEmpty()
+        release(members, near)
+        spent.append(more)
+        kept.append(found)
         if not found.isEmpty():
             links = links.union(found)
+            release(labels)
             labels = components(links, "a", "b")
-        if not keep or near.where(F.col("k") > keep).isEmpty():
+        if last:
             break
         tested = tested.union(more)
+    release(groups, labels, *spent)
 
     ids = classes.select("fp", "rep")
     named = links.join(ids.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(ids.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b")
-    final = components(named.where("x <> y"), "x", "y")
-    final = ids.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component"))
+    reached = components(named.where("x <> y"), "x", "y")
+    final = ids.join(reached.select(F.col("id").alias("rep"), "label"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component"))
     final = cut(final, "jaccard-components")
+    release(classes, reached, *kept)
     out = described.select("doc_id", "n", "fp").join(final, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("fp").alias("class"), component.alias("component_id"))

@@ -6,13 +6,17 @@ import atexit
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _made: list[tuple[SparkSession, str]] = []
+#: The tables of cut that still lie in the shared folder, by the DataFrames that read them.
+_tables: dict[int, tuple] = {}
 
 
 #: Rows and bytes of an Arrow batch, so that a worker's memory is bounded whatever the lengths of texts.
@@ -30,13 +34,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share, as a whole URI: spark.checkpoint.dir, set here only where it is unset and all run on one machine."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="isohyet-")
         spark.conf.set("spark.checkpoint.dir", conf)
         _made.append((spark, conf))
-    return conf.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(conf.rstrip("/"))
+    # Without a scheme, Spark's default file system is meant; files written from tasks must go there as well.
+    return re.sub("^file:/(?!/)", "file:///", path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString())
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -50,7 +58,9 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again, which ends its lineage and survives lost executors. options are the writer's."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = (weakref.ref(out), path)
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -59,10 +69,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def drop(spark: SparkSession, df_path: str) -> None:
-    """Delete a scratch path that no later read needs."""
-    remove(spark, df_path)
-    _made[:] = [x for x in _made if x[1] != df_path]
+def release(*tables: DataFrame) -> None:
+    """Delete the tables that `cut` gave, which no later read needs."""
+    for df in tables:
+        ref, path = _tables.pop(id(df), (None, None))
+        if ref is None or ref() is not df:
+            raise ValueError("not a table of cut, or released before")
+        remove(df.sparkSession, path)
+        _made[:] = [x for x in _made if x[1] != path]
 
 
 @atexit.register

@@ -91,8 +91,41 @@ def test_linked_sets_share_a_signature():
             if 100 * both >= 80 * (len(a) + len(b) - both):
                 assert len(np.intersect1d(jaccard.signatures(a), jaccard.signatures(b))) or jaccard.class_of(a) == jaccard.class_of(b)
                 x, y = jaccard.sketch(a), jaccard.sketch(b)
-                size = 8 * min(len(x), len(y))
-                assert (jaccard._bits(x, size) != jaccard._bits(y, size)).sum() <= len(a) + len(b) - 2 * both
+                assert jaccard.bits_apart(x, y) <= len(a) + len(b) - 2 * both
+
+
+def test_subsets_of_parts_are_signed():
+    """Brute force over places of the differences: whichever elements go, a subset of n2 - 1 subparts stays whole."""
+    r = np.random.default_rng(1)
+    schemes = {jaccard.scheme(j) for j in range(14)}
+    assert 2 in schemes and schemes - {2}
+    for n in [40, 60, 200, 700]:
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        d = (len(a) * 2) // 10
+        for start in range(0, len(a) - d, max(1, len(a) // 40)):  # runs of neighbours and evenly spread ones
+            for gone in (np.arange(start, start + d), np.arange(start % 5, len(a), 5)[:d]):
+                b = np.delete(a, gone)
+                assert 100 * len(b) < 80 * len(a) or len(np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)))
+
+
+def test_jaccard_in_many_lots(spark, monkeypatch):
+    """Hot signatures: lots of few sets are tied in two steps, thousands of near copies and a passage that all share."""
+    r = random.Random(9)
+    passage = " ".join(words(r, 60))
+    texts = near_copies(r, 300, 60, 2) + [" ".join([*words(r, 8), passage, *words(r, 8)]) for _ in range(120)] + [" ".join([passage, *words(r, k % 30)]) for k in range(60)]
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(jaccard, "_FLUSH", 200)
+    monkeypatch.setattr(jaccard, "_SEEN", 3)
+    monkeypatch.setattr(jaccard, "_BLOCK", 16)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.join_components(df).collect())
+    assert got == brute(rows)
+
+
+def test_one_entry_a_lot_for_a_hot_signature():
+    pairs = jaccard._paired(np.array([7] * 5000 + [9], np.int64), np.arange(5001, dtype=np.int64))
+    entries, tied = jaccard._tie(pairs)
+    assert len(entries) == 2 and len(tied) == 4999 and set(tied["s"]) == {0}
 
 
 @pytest.fixture(scope="module")
