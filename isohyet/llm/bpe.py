@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .runtime import trim
 
-#: Characters of a leaf.
-LEAF = 16_384
+#: Characters of a leaf: about half of all documents of some hundred words are reduced over several.
+LEAF = 1024
 
 
 @lru_cache(maxsize=4)
@@ -50,7 +50,7 @@ class Element:
 
 
 #: Characters at either end of a leaf within which matches are kept one by one, for joins.
-_EDGE = 768
+_EDGE = 48
 #: A match that ends a character before a string's end is final unless it starts within this many of it: the longest contraction.
 _REACH = 3
 
@@ -83,7 +83,7 @@ def join(text: str, x: Element, y: Element, encoding, pattern) -> Element:
     while left and (left[-1][1] >= x.b or left[-1][0] > x.b - _REACH):  # these may reach on
         left.pop()
     begin = left[-1][1] if left else x.a
-    width, window = 256, []
+    width, window = 48, []
     while True:
         end = min(y.b, y.a + width)
         starts = {p[0]: k for k, p in enumerate(y.parts) if p[0] < end}
