@@ -63,6 +63,14 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def location(df: DataFrame) -> str:
+    """Where the table lies that cut gave."""
+    ref, path = _tables[id(df)]
+    if ref() is not df:
+        raise ValueError("not a table of cut")
+    return path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -34,3 +37,13 @@ class Ranges:
         f = self.open[name]
         f.seek(offset)
         return f.read(length)
+
+
+def batches_of(folder: str, columns: list[str], rows: int = 1024) -> Iterator[pa.Table]:
+    """The rows of a Parquet table in the shared folder, some at a time, file after file."""
+    fs, root = open_fs(folder)
+    for info in sorted(fs.get_file_info(pafs.FileSelector(root)), key=lambda x: x.path):
+        if info.is_file and info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                for batch in pq.ParquetFile(f).iter_batches(rows, columns=columns):
+                    yield pa.Table.from_batches([batch])

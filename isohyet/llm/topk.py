@@ -1,12 +1,14 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-Rows are sparse: parallel arrays of terms and integer weights. A block of rows becomes an inverted index; the queries
-of a block go through it term by term, each scattering its weight times the posting's weight into its dense array of
-scores; the best k are selected by partition, and the blocks' bests merged. Every query meets every row, in blocks of
-bounded size, so memory does not grow with the input; nothing is broadcast.
+Rows are sparse: parallel arrays of terms and integer weights. A block of rows, shuffled once, becomes an inverted index.
+The queries are files in the shared folder; each block's task reads them a batch at a time, as many times as there are
+blocks, so that no row is copied for the queries' sake. A batch goes through the index term by term, each query
+scattering its weight times the posting's weight into its dense array of scores; the best k are selected by partition,
+and the blocks' bests merged. Every query meets every row; memory is a block, a batch and the scores of CHUNK queries.
 
 Defined results: rows with a null id take no part; of rows with one id the smallest counts; an empty vector scores 0
 with all. A query's own row is never its candidate. Ties go to the smaller id. Fewer than k candidates: all of them.
+Sums that could pass 64 bits raise an error. An empty table has no results.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .vectors import best, in_blocks, one_per_id, ragged, select_top
+from .runtime import cut, location
+from .storage import batches_of
+from .vectors import best, one_per_id, ragged, row_blocks, select_top
 
 #: Queries whose dense score arrays are held at once.
 CHUNK = 64
@@ -58,7 +62,6 @@ def accumulate(query_postings: dict, n_queries: int, postings: dict, n_rows: int
 def _search_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     if not queries.num_rows or not rows.num_rows:
         return _FOUND.empty_table()
-    rows = rows.sort_by("id")
     ids, q_ids = rows["id"].to_numpy(), queries["id"].to_numpy()
     offsets, terms = ragged(rows["terms"])
     weights = ragged(rows["weights"])[1]
@@ -66,7 +69,10 @@ def _search_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     q_weights = ragged(queries["weights"])[1]
     # 32 bits hold every partial sum where the largest weight times the heaviest query's sum does not reach them.
     heaviest = np.add.reduceat(np.r_[np.abs(q_weights).astype(np.float64), 0.0], q_offsets[:-1]).max() if len(q_weights) else 0
-    narrow = heaviest * float(np.abs(weights.astype(np.float64)).max(initial=0)) < 2**31 - 1
+    bound = heaviest * float(np.abs(weights.astype(np.float64)).max(initial=0))
+    if bound >= 2**63 - 1:
+        raise OverflowError("weights whose products do not fit 64 bits")
+    narrow = bound < 2**31 - 1
     dtype = np.int32 if narrow else np.int64
     weights, q_weights = (weights.astype(dtype), q_weights.astype(dtype)) if narrow else (weights, q_weights)
     postings = index_postings(terms, np.repeat(np.arange(len(ids)), np.diff(offsets)), weights, len(ids))
@@ -87,7 +93,13 @@ def _search_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
 
 def search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """queries, rows: id long, terms array<int>, weights array<bigint> without nulls. Returns query_id, rank, vec_id, score."""
-    queries, rows = (one_per_id(x.select("id", "terms", "weights")) for x in (queries, rows))
-    left, right = in_blocks(queries, rows)
-    found = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(lambda q, c: _search_block(q, c, k), "query_id long, vec_id long, score long")
+    queries, rows = (cut(one_per_id(x.select("id", "terms", "weights")), f"topk-{n}") for x, n in ((queries, "queries"), (rows, "rows")))
+    asked = location(queries)
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("id")
+        found = [_search_block(q, block, k) for q in batches_of(asked, ["id", "terms", "weights"])]
+        return pa.concat_tables(found) if found else _FOUND.empty_table()
+
+    found = row_blocks(rows).groupBy("block").applyInArrow(run, "query_id long, vec_id long, score long")
     return best(found, k)

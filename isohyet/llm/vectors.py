@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Rows and queries that meet in one task at most, give or take the hash.
+#: Rows of a block and queries that meet them in one task, give or take the hash.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
 
@@ -45,12 +45,10 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def in_blocks(queries: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the columns qb and cb, each query once for every block of rows, each row once for every block of queries."""
-    nq, nc = max(1, math.ceil(queries.count() / BLOCK_QUERIES)), max(1, math.ceil(rows.count() / BLOCK_ROWS))
-    part = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    return queries.select("*", part(1, nq).alias("qb"), every(nc).alias("cb")), rows.select("*", part(2, nc).alias("cb"), every(nq).alias("qb"))
+def row_blocks(rows: DataFrame) -> DataFrame:
+    """rows with the number of their block, by a hash of their id."""
+    blocks = max(1, math.ceil(rows.count() / BLOCK_ROWS))
+    return rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int"))
 
 
 def best(found: DataFrame, k: int) -> DataFrame:

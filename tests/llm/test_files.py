@@ -63,6 +63,19 @@ def test_shards(spark, n, monkeypatch):
     assert sorted(map(str, out)) == sorted(map(str, sharding.shuffle_into_shards(df.repartition(5), ["doc_id", "text"], 16, seed=5).collect()))
 
 
+def test_equal_rows_are_shuffled_like_others(spark):
+    """A third of all rows equal: their counts by shard and by stretch of slots are those of a uniform shuffle."""
+    n = 12_000
+    df = spark.range(n).selectExpr("if(id % 3 = 0, 0, id) as doc_id", "if(id % 3 = 0, 'same', concat('t', id)) as text").repartition(7)
+    out = sharding.shuffle_into_shards(df, ["doc_id", "text"], 16, seed=5)
+    again = sharding.shuffle_into_shards(df.repartition(3), ["doc_id", "text"], 16, seed=5)
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
+    cells = collections.Counter((r.shard, r.slot // 125) for r in out.where("doc_id = 0").collect())
+    wanted = n / 3 / 96
+    chi = sum((cells.get((s, k), 0) - wanted) ** 2 for s in range(16) for k in range(6)) / (wanted * 2 / 3)  # without replacement
+    assert 50 < chi < 150  # 95 degrees of freedom: 99.98 % lie between
+
+
 def test_hypergeometric_law():
     r = random.Random(2)
     draws = [sharding.hypergeometric(r, 30, 70, 20) for _ in range(20000)]
@@ -101,6 +114,12 @@ def test_urls(spark):
     assert {r.verdict for r in urlfilter.judge(df, rules.where("false")).collect()} == {"allow"}
 
 
+def test_urls_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "BROADCAST_RULES", 0)
+    monkeypatch.setattr(urlfilter, "BROADCAST_PAIRS", 0)
+    test_urls(spark)
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(5000).selectExpr("concat('k', id) as k")
     words = urlfilter.bloom_words(keys, "k", 1024).first().words
