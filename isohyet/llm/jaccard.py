@@ -10,11 +10,12 @@ rarer ones. With n2 = 2 the subsets are single subparts, any d + 1 + t of which
 Empty subsets agree without meaning; a set signs them only when so many of its parts have some (more than its slack t)
 that no full one need agree, and a partner for which that matters has as many. No pair at or above the threshold is lost.
 
-Equal sets are one class from the start. Classes that share a signature are tied in two steps: within what a task signs
-together to the smallest, its local center, and the local centers to the smallest of them, so that one signature of N
-near copies is one entry for each of these lots, not N. Sets are first compared with their centers alone, so thousands of
-near copies cost thousands of comparisons. A center, what is tied to it and what is tied to that hold all sets that share
-a signature; where they are left with several components, they are compared pair by pair between components, in blocks.
+Equal sets are one class from the start. Classes that share a signature are tied to the smallest of them, their center.
+Tasks sign in lots; a signature that HOT classes of a lot have sends one entry for the lot, its smallest class, and its
+members travel apart from each other, in pieces. They find their center by a join on the signature, which Spark may split,
+so that a signature of N near copies is never gathered in one task. Sets are first compared with their center alone, so
+thousands of near copies cost thousands of comparisons. All sets tied to a center that is left with several components
+are then compared pair by pair between components, in blocks: sets that share a signature have its center in common.
 Before sets are fetched, pairs are dropped by size and by parity sketches (four to eight bits a shingle: differing
 bits are a lower bound of the difference, so none is lost). What is left is decided by the exact intersection. Only
 signatures, sketches and the sets of pairs that pass are shuffled; nothing but counts reaches the driver.
@@ -38,6 +39,8 @@ from .runtime import cut, release, trim
 WORDS, NUM, DEN = 5, 80, 100
 #: Bytes of one signature entry; bytes a bucket of signatures should hold; entries signed together; classes a task remembers.
 _ENTRY, _BUCKET_BYTES, _FLUSH, _SEEN = 16, 2 << 20, 1 << 19, 1 << 17
+#: Classes of one lot from which on a signature is hot; pairs of a piece of its members; hot signatures that are broadcast, counted first.
+HOT, _PIECE, _HOT_BROADCAST = 32, 1 << 15, 200_000
 #: Ids of documents whose sets are fetched are broadcast up to this many, counted first.
 MAX_BROADCAST = 500_000
 #: Members of a block of a group; nearest classes of other components compared in each round, None for all.
@@ -270,24 +273,35 @@ def _paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tie(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of distinct, ordered (signature, class): the first of each signature, and the pairs (first, other) within signatures."""
-    s, f = entries["s"], entries["f"]
-    new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
-    center = np.repeat(f[new], np.diff(np.r_[np.flatnonzero(new), len(s)]))
-    return entries[new], _paired(center[~new], f[~new])
+def _starts(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each signature begins in ordered (signature, class) and how many classes it has."""
+    s = entries["s"]
+    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+    return starts, np.diff(np.r_[starts, len(s)])
+
+
+def _part(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a lot's distinct, ordered (signature, class): the entries to send; those of them that stand for hot signatures; these signatures' members."""
+    starts, sizes = _starts(entries)
+    hot = sizes >= HOT
+    within = np.repeat(hot, sizes)
+    first = np.zeros(len(entries), bool)
+    first[starts] = True
+    return entries[first | ~within], entries[starts[hot]], entries[within]
 
 
 def _sign(buckets: int):
-    """Signatures in lots: one entry a signature of a lot for its smallest class, and the other classes tied to that."""
+    """Signatures in lots, to the buckets of signatures; members of hot ones to buckets of their own."""
 
     def flush(sigs, fps):
-        lot, tied = _tie(_paired(np.concatenate(sigs).view(np.int64), np.repeat(np.array([x for x, _ in fps], np.int64), [k for _, k in fps])))
+        lot, hot, members = _part(_paired(np.concatenate(sigs).view(np.int64), np.repeat(np.array([x for x, _ in fps], np.int64), [k for _, k in fps])))
         of = lambda x: ((x >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-        to, entries = _packed(of(lot["s"]), lot)
-        to_tied, pairs = _packed(of(mix(tied["s"])), tied)
-        columns = [pa.array(to + to_tied, pa.int64()), pa.array(entries + [None] * len(pairs), pa.binary()), pa.array([None] * len(entries) + pairs, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["bucket", "entries", "tied"])
+        rows = [(k, x, None, None) for k, x in zip(*_packed(of(lot["s"]), lot), strict=True)]
+        rows += [(k, None, x, None) for k, x in zip(*_packed(of(hot["s"]), hot), strict=True)]
+        for a in range(0, len(members), _PIECE):
+            piece = members[a : a + _PIECE]
+            rows.append((-1 - int(mix(piece["s"][:1] ^ piece["f"][:1].view(np.uint64))[0] >> _U(2)), None, None, piece.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], ["bucket", "entries", "hot", "members"])
 
     def run(batches):
         seen: set[int] = set()
@@ -312,22 +326,28 @@ def _sign(buckets: int):
     return run
 
 
-_GROUPS = pa.schema([("center", pa.int64()), ("fp", pa.int64()), ("step", pa.int32())])
+_GROUPS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+#: What a row of _group says: a center and a class tied to it; a hot signature and its center; a hot signature and a member.
+_TIED, _CENTER, _MEMBER = 0, 1, 2
 
 
 def _group(t: pa.Table) -> pa.Table:
-    """A bucket's pairs (center, class): step 1 as its lots tied them, step 2 between the lots' entries of one signature."""
-    held = {c: [np.frombuffer(x.as_buffer(), _PAIR) for x in t[c] if x.is_valid] for c in ("entries", "tied")}
-    near, far = np.zeros(0, _PAIR), np.zeros(0, _PAIR)
-    if held["tied"]:
-        raw = np.concatenate(held["tied"])
-        near = _paired(raw["s"].view(np.int64), raw["f"])
-    if held["entries"]:
-        raw = np.concatenate(held["entries"])
-        far = _tie(_paired(raw["s"].view(np.int64), raw["f"]))[1]
-    both = np.concatenate([near, far])
-    step = np.repeat(np.array([1, 2], np.int32), [len(near), len(far)])
-    return pa.table([both["s"].view(np.int64), both["f"], step], schema=_GROUPS)
+    """A bucket's pairs. Each once, but for members, of whom each lot tells."""
+    held = {c: _paired(*_joined([np.frombuffer(x.as_buffer(), _PAIR) for x in t[c] if x.is_valid])) for c in ("entries", "hot", "members")}
+    entries = held["entries"]
+    starts, sizes = _starts(entries)
+    many = np.repeat(sizes > 1, sizes)
+    tied = _paired(np.repeat(entries["f"][starts], sizes)[many], entries["f"][many])
+    hot = np.unique(held["hot"]["s"])
+    center = entries["f"][np.searchsorted(entries["s"].view(np.int64), hot.view(np.int64))] if len(hot) else np.zeros(0, np.int64)
+    a = np.concatenate([tied["s"].view(np.int64), hot.view(np.int64), held["members"]["s"].view(np.int64)])
+    b = np.concatenate([tied["f"], center, held["members"]["f"]])
+    return pa.table([np.repeat(np.array([_TIED, _CENTER, _MEMBER], np.int32), [len(tied), len(hot), len(held["members"])]), a, b], schema=_GROUPS)
+
+
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.concatenate(parts) if parts else np.zeros(0, _PAIR)
+    return raw["s"].view(np.int64), raw["f"]
 
 
 def _may_link(n1, n2, apart) -> np.ndarray:
@@ -436,26 +456,24 @@ def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return links
 
 
-def _open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """gid, fp of the groups that are still in several components, whole, and their blocks.
+def _tie(docs: DataFrame, buckets: int) -> DataFrame:
+    """center, fp: each class that shares a signature with a smaller one and the smallest that has this signature, which is also tied to itself."""
+    signed = docs.select("text").mapInArrow(_sign(buckets), "bucket long, entries binary, hot binary, members binary")
+    told = cut(signed.groupBy("bucket").applyInArrow(_group, "kind int, a long, b long"), "jaccard-told")
+    centers = cut(told.where(F.col("kind") == _CENTER).select("a", F.col("b").alias("center")), "jaccard-hot")
+    few = F.broadcast(centers) if centers.count() <= _HOT_BROADCAST else centers
+    hot = told.where(F.col("kind") == _MEMBER).select("a", F.col("b").alias("fp")).join(few, "a").select("center", "fp")
+    groups = cut(told.where(F.col("kind") == _TIED).select(F.col("a").alias("center"), F.col("b").alias("fp")).union(hot).distinct(), "jaccard-groups")
+    release(told, centers)
+    return groups
+
 
-    A group is a center that is tied to no other, the centers tied to it and the classes tied to these. Which are open is
-    told by labels summed up at each step, so only open groups are ever put together.
-    """
-    near, far = (groups.where(F.col("step") == k).select("center", "fp") for k in (1, 2))
+def _open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """gid, fp, label, blocks of the members of groups that are still in several components."""
     label = labels.select(F.col("id").alias("fp"), "label")
-    told = lambda df: df.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    below = told(near).groupBy(F.col("center").alias("fp")).agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    tops = far.select("center").union(near.select("center").join(far.select(F.col("fp").alias("center")), "center", "left_anti")).distinct()
-    steps = far.select(F.col("center").alias("gid"), "fp").union(tops.select(F.col("center").alias("gid"), F.col("center").alias("fp")))
-    known = told(steps).join(below, "fp", "left").groupBy("gid")
-    known = known.agg(F.sum(F.coalesce("n", F.lit(0)) + 1).alias("members"), F.min(F.least("label", "low")).alias("low"), F.max(F.greatest("label", "high")).alias("high"))
-    open_ = cut(known.where("low <> high").select("gid", F.ceil(F.col("members") / _BLOCK).cast("int").alias("blocks")), "jaccard-open")
-    upper = steps.join(open_, "gid")
-    lower = upper.join(near.select(F.col("center").alias("fp"), F.col("fp").alias("tied")), "fp").select("gid", F.col("tied").alias("fp"), "blocks")
-    members = cut(told(upper.select("gid", "fp", "blocks").union(lower).distinct()), "jaccard-members")
-    release(open_)
-    return members
+    told = groups.join(label, "fp", "left").select(F.col("center").alias("gid"), "fp", F.coalesce("label", "fp").alias("label"))
+    open_ = told.groupBy("gid").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return cut(told.join(open_.select("gid", F.ceil(F.col("members") / _BLOCK).cast("int").alias("blocks")), "gid"), "jaccard-members")
 
 
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -467,13 +485,12 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     shingles = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(64, math.ceil(shingles * _ENTRY / _BUCKET_BYTES))
 
-    signed = docs.where("doc_id is not null").select("text").mapInArrow(_sign(buckets), "bucket long, entries binary, tied binary")
-    groups = cut(signed.groupBy("bucket").applyInArrow(_group, "center long, fp long, step int").distinct(), "jaccard-groups")
+    groups = _tie(docs.where("doc_id is not null"), buckets)
 
     known = classes.where("sketch is not null").select("fp", "n", "sketch")
     one = known.select(F.col("fp").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
     two = known.select(F.col("fp").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
-    stars = groups.select(F.col("center").alias("a"), F.col("fp").alias("b")).distinct()
+    stars = groups.where("center <> fp").select(F.col("center").alias("a"), F.col("fp").alias("b"))
     stars = stars.join(one, "a").join(two, "b").where(f"least(n1, n2) * {DEN} >= greatest(n1, n2) * {NUM}")
     stars = cut(stars.select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(_prune, "a long, b long"), "jaccard-stars")
     links = _linked(docs, stars, classes)

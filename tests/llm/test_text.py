@@ -114,8 +114,11 @@ def test_jaccard_in_many_lots(spark, monkeypatch):
     passage = " ".join(words(r, 60))
     texts = near_copies(r, 300, 60, 2) + [" ".join([*words(r, 8), passage, *words(r, 8)]) for _ in range(120)] + [" ".join([passage, *words(r, k % 30)]) for k in range(60)]
     rows = list(enumerate(texts))
-    monkeypatch.setattr(jaccard, "_FLUSH", 200)
+    monkeypatch.setattr(jaccard, "_FLUSH", 1500)
     monkeypatch.setattr(jaccard, "_SEEN", 3)
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    monkeypatch.setattr(jaccard, "_PIECE", 50)
+    monkeypatch.setattr(jaccard, "_HOT_BROADCAST", 0)
     monkeypatch.setattr(jaccard, "_BLOCK", 16)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.join_components(df).collect())
@@ -123,9 +126,9 @@ def test_jaccard_in_many_lots(spark, monkeypatch):
 
 
 def test_one_entry_a_lot_for_a_hot_signature():
-    pairs = jaccard._paired(np.array([7] * 5000 + [9], np.int64), np.arange(5001, dtype=np.int64))
-    entries, tied = jaccard._tie(pairs)
-    assert len(entries) == 2 and len(tied) == 4999 and set(tied["s"]) == {0}
+    pairs = jaccard._paired(np.array([7] * 5000 + [9] * 3, np.int64), np.arange(5003, dtype=np.int64))
+    entries, hot, members = jaccard._part(pairs)
+    assert len(entries) == 4 and hot.tolist() == [(7, 0)] and len(members) == 5000
 
 
 @pytest.fixture(scope="module")
