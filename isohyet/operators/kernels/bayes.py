@@ -9,21 +9,27 @@ import numpy as np
 
 
 def least_variance(errors: np.ndarray) -> np.ndarray:
-    """Weights, summing to 1, of the least error variance: A^-1 1 / (1' A^-1 1) for the errors' second moments A."""
-    a = errors.T @ errors / max(1, len(errors))
+    """Weights, summing to 1, of the least error variance: A^-1 1 / (1' A^-1 1) for the errors' covariance A."""
+    centred = errors - errors.mean(axis=0)
+    a = centred.T @ centred / max(1, len(errors) - 1)
     w = np.linalg.pinv(a) @ np.ones(a.shape[0])
     return w / w.sum()
 
 
 def ridge_cv(x: np.ndarray, y: np.ndarray, penalties: np.ndarray | None = None, folds: int = 10) -> tuple[float, np.ndarray]:
-    """Intercept and coefficients at the penalty of the least squared error over contiguous folds."""
+    """Intercept and coefficients at the penalty of the least mean of the folds' mean squared errors; folds are contiguous.
+
+    Columns are centred and divided by their norm in each fit, which the penalties refer to; coefficients are those of the columns as given.
+    """
     penalties = np.logspace(-5, 2, 200) if penalties is None else penalties
 
     def solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ma, mb = a.mean(0), b.mean()
-        u, s, vt = np.linalg.svd(a - ma, full_matrices=False)
+        norm = np.sqrt(((a - ma) ** 2).sum(0))
+        norm = np.where(norm > 0, norm, 1.0)
+        u, s, vt = np.linalg.svd((a - ma) / norm, full_matrices=False)
         coef = vt.T @ ((s / (s**2 + penalties[:, None])).T * (u.T @ (b - mb))[:, None])
-        return coef, ma, mb
+        return coef / norm[:, None], ma, mb
 
     loss = np.zeros(len(penalties))
     for test in np.array_split(np.arange(len(y)), min(folds, len(y))):
@@ -31,7 +37,7 @@ def ridge_cv(x: np.ndarray, y: np.ndarray, penalties: np.ndarray | None = None,
         if len(train) < 2:
             continue
         coef, ma, mb = solve(x[train], y[train])
-        loss += (((x[test] - ma) @ coef + mb - y[test][:, None]) ** 2).sum(0)
+        loss += (((x[test] - ma) @ coef + mb - y[test][:, None]) ** 2).mean(0)
     coef, ma, mb = solve(x, y)
     c = coef[:, int(loss.argmin())]
     return float(mb - ma @ c), c

@@ -60,7 +60,7 @@ def mirrored(t: np.ndarray, s: np.ndarray, tx: np.ndarray, x: np.ndarray, tn: np
             mx, mn, pivot = (np.r_[edge_t, tx[: count - 1]], np.r_[edge_s, x[: count - 1]]), (tn[:count], n[:count]), edge_t
         out = [(2 * pivot - m[0], m[1]) for m in (mx, mn)]
         # A mirror inside the series would leave its end uncovered: then it stands at the end.
-        if any(len(m[0]) == 0 or (first - m[0]).max() * sign < 0 for m in out):
+        if any(((first - m[0]) * sign < 0).all() for m in out):
             out = [(2 * edge_t - a[:count], b[:count]) for a, b in ((tx, x), (tn, n))]
         return out
 
@@ -147,9 +147,9 @@ def envelopes(t: np.ndarray, s: np.ndarray, kind: str = "cubic", extrema: str =
 def _is_imf(new: np.ndarray, old: np.ndarray, tops: np.ndarray, bottoms: np.ndarray) -> bool:
     if (tops < 0).any() or (bottoms > 0).any():
         return False
-    power = (old**2).sum()
-    if power < 1e-10:
+    if (new**2).sum() < 1e-10:
         return False
+    power = (old**2).sum()
     diff = new - old
     span = old.max() - old.min()
     svar = (diff**2).sum() / span if span else np.inf
@@ -232,53 +232,56 @@ def trial(s: np.ndarray, number: int, seed: int, width: float = 0.05, kind: str
 
 
 def ceemdan(s: np.ndarray, trials: int = 100, seed: int = 0, epsilon: float = 0.005, max_imf: int = -1, range_thr: float = 0.01, power_thr: float = 0.05, **options) -> np.ndarray:
-    """Modes by complete ensemble EMD with adaptive noise; their sum is s."""
+    """Modes by complete ensemble EMD with adaptive noise; their sum is s.
+
+    All modes of a trial's noise are divided by the deviation of its first. The first mode is the mean of the trials' first
+    modes; each later one is what is left minus the mean of the trials' local means, so that the noise averages out.
+    """
     scale = s.std() or 1.0
     x = s / scale
     noises = []
     for k in range(trials):
-        rng = np.random.default_rng((seed, k))
-        noises.append(emd(rng.normal(0, 1, len(x)), **options))
-    beta = epsilon * x.std()
-    first = np.mean([emd(x + beta * n[0] / (n[0].std() or 1.0), max_imf=1, **options)[0] for n in noises], axis=0)
-    modes, rest = [first], x - first
-    while (max_imf < 0 or len(modes) < max_imf) and rest.max() - rest.min() >= range_thr and np.abs(rest).sum() >= power_thr:
-        hi, lo, _ = natural_extrema(rest)
-        if len(hi) + len(lo) < 3:
-            break
-        beta, k = epsilon * rest.std(), len(modes)
-        local = np.mean([emd(rest + (beta * n[k] if len(n) > k else 0.0), max_imf=1, **options)[0] for n in noises], axis=0)
-        if np.allclose(local, rest) or len(modes) > 60:
+        parts = emd(np.random.default_rng((seed, k)).normal(0, 1, len(x)), **options)
+        noises.append(parts / (parts[0].std() or 1.0))
+    modes = [np.mean([emd(x + epsilon * n[0], max_imf=1, **options)[0] for n in noises], axis=0)]
+    before = x - modes[0]
+    while max_imf < 0 or len(modes) < max_imf:
+        rest = x - np.sum(modes, axis=0)
+        if np.ptp(rest) < range_thr or np.abs(rest).sum() < power_thr or len(emd(rest, max_imf=1, **options)) == 1:
             break
-        modes.append(local)
-        rest = rest - local
-    return np.array([*modes, rest]) * scale
+        beta, k = epsilon * before.std(), len(modes)
+        local = np.mean([emd(before + beta * n[k] if len(n) > k else before, max_imf=1, **options)[-1] for n in noises], axis=0)
+        modes.append(before - local)
+        before = local
+    return np.array([*modes, x - np.sum(modes, axis=0)]) * scale
 
 
 def mean_period(mode: np.ndarray) -> float:
+    """Length by the number of peaks that are not below nought; the whole length without any."""
     hi = natural_extrema(mode)[0]
-    return len(mode) / max(1, len(hi))
+    return len(mode) / max(1, int((mode[hi] >= 0).sum()))
 
 
 def white_noise_check(modes: np.ndarray, test: str = "aposteriori", rescaling: int = 1, alpha: float = 0.95) -> dict[int, int]:
-    """1 for each mode whose energy lies outside the spread of white noise of its period, else 0.
+    """1 for each mode whose energy is not that of white noise of its period, else 0.
 
-    aposteriori scales the noise to the mode `rescaling`, which counts as noise.
+    apriori: the energy lies outside the two-sided spread. aposteriori: energies are moved so that the mode `rescaling`
+    lies on its upper limit, which has half the spread there, and are above the upper limit after that.
     """
-    n = modes.shape[1]
-    periods, energy = [mean_period(m) for m in modes], [(m**2).sum() / n for m in modes]
-    k = abs(float(np.sqrt(2) * _erfinv(1 - alpha)))
-    log_t = np.log(periods)
-    up = lambda i: -log_t[i] + k * math.sqrt(2 / n) * math.exp(log_t[i] / 2)
-    low = lambda i: -log_t[i] - k * math.sqrt(2 / n) * math.exp(log_t[i] / 2)
-    shift = math.log(energy[rescaling - 1] or 1e-300) + log_t[rescaling - 1] if test == "aposteriori" else 0.0
-    return {i + 1: int(not low(i) + shift <= math.log(e or 1e-300) <= up(i) + shift) for i, e in enumerate(energy)}
-
-
-def _erfinv(y: float) -> float:
     from statistics import NormalDist
 
-    return NormalDist().inv_cdf((y + 1) / 2) / math.sqrt(2)
+    n = modes.shape[1]
+    log_t = np.log([mean_period(m) for m in modes])
+    energy = np.log(np.maximum((modes**2).sum(axis=1) / n, 1e-300))
+    unit = abs(NormalDist().inv_cdf((1 - alpha) / 2)) * math.sqrt(2 / n)
+    spread = unit * np.exp(log_t / 2)
+    if test == "apriori":
+        out = np.abs(energy + log_t) > spread
+    else:
+        k = rescaling - 1
+        limit = -log_t[k] + unit * math.exp(log_t[k]) / 2
+        out = energy + (limit - energy[k]) > spread - log_t
+    return {i + 1: int(v) for i, v in enumerate(out)}
 
 
 def phase(mode: np.ndarray) -> np.ndarray:

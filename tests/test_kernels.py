@@ -215,3 +215,85 @@ def test_regressions():
     t = regress.BoostedTrees(25).fit(x, y)
     shap = t.shap(x[:40])
     assert np.ptp(t.predict(x[:40]) - shap.sum(1)) < 1e-9 and np.abs(shap).mean(0).argmax() == 0
+
+
+def test_white_noise_check_by_its_formulas():
+    rng = np.random.default_rng(3)
+    modes = np.array([rng.normal(0, 1, 200), np.sin(np.arange(200) / 5), 0.1 * np.sin(np.arange(200) / 20)])
+    periods = []
+    for m in modes:
+        peaks = sum(m[i] > m[i - 1] and m[i] > m[i + 1] and m[i] >= 0 for i in range(1, 199))
+        periods.append(200 / peaks if peaks else 200)
+    energy = [math.log(sum(v * v for v in m) / 200) for m in modes]
+    k = 1.959963984540054
+    upper = [-math.log(t) + k * math.sqrt(2 / 200) * math.exp(math.log(t) / 2) for t in periods]
+    lower = [-math.log(t) - k * math.sqrt(2 / 200) * math.exp(math.log(t) / 2) for t in periods]
+    assert emd.white_noise_check(modes, "apriori") == {i + 1: int(not lower[i] <= e <= upper[i]) for i, e in enumerate(energy)}
+    for r in (1, 2, 3):
+        up = -math.log(periods[r - 1]) + k * math.sqrt(2 / 200) * math.exp(math.log(periods[r - 1])) / 2
+        assert emd.white_noise_check(modes, "aposteriori", r) == {i + 1: int(e + up - energy[r - 1] > upper[i]) for i, e in enumerate(energy)}
+
+
+def test_modes_of_white_noise_are_seldom_significant():
+    flags = []
+    for k in range(25):
+        s = np.random.default_rng(k).normal(0, 1, 512)
+        flags += list(emd.white_noise_check(emd.emd(s, max_imf=4)[:4]).values())
+    assert np.mean(flags) < 0.15
+
+
+def test_ceemdan_by_its_steps():
+    t = np.linspace(0, 6, 120)
+    s = 3 * np.sin(4 * t) + np.cos(19 * t) + t
+    got = emd.ceemdan(s, trials=3, seed=5, max_imf=2)
+    x, noises = s / np.std(s), []
+    for k in range(3):
+        parts = emd.emd(np.random.default_rng((5, k)).normal(0, 1, 120))
+        noises.append([p / np.std(parts[0]) for p in parts])
+    first = sum(emd.emd(x + 0.005 * n[0], max_imf=1)[0] for n in noises) / 3
+    rest = x - first
+    local = sum(emd.emd(rest + 0.005 * np.std(rest) * n[1], max_imf=1)[-1] for n in noises) / 3
+    assert np.allclose(got, np.array([first, rest - local, local]) * np.std(s))
+
+
+def test_ridge_on_normalised_columns():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, [1, 100, 0.01], (43, 3))
+    y = x @ [1, 0.02, 50] + 3 + rng.normal(0, 0.5, 43)
+    penalties = np.logspace(-5, 2, 200)
+
+    def fit(a, b, penalty):  # normal equations
+        norm = np.linalg.norm(a - a.mean(0), axis=0)
+        z = (a - a.mean(0)) / norm
+        c = np.linalg.solve(z.T @ z + penalty * np.eye(3), z.T @ (b - b.mean())) / norm
+        return b.mean() - a.mean(0) @ c, c
+
+    def error(penalty):
+        out, at = [], 0
+        for k in range(10):
+            size = 43 // 10 + (k < 43 % 10)
+            held = np.arange(43)[at : at + size]
+            b, c = fit(np.delete(x, held, 0), np.delete(y, held), penalty)
+            out.append(np.mean((x[held] @ c + b - y[held]) ** 2))
+            at += size
+        return np.mean(out)
+
+    b, c = fit(x, y, min(penalties, key=error))
+    got = bayes.ridge_cv(x, y)
+    assert got[0] == pytest.approx(b) and got[1] == pytest.approx(c)
+
+
+def test_least_variance_centres_errors():
+    rng = np.random.default_rng(2)
+    e = rng.normal([5, -3, 0], [1, 2, 3], (300, 3))
+    inverse = np.linalg.inv(np.cov(e.T))
+    assert bayes.least_variance(e) == pytest.approx(inverse.sum(1) / inverse.sum())
+
+
+def test_mirrors_stay_outside_at_both_ends():
+    """A series read backwards has its envelopes backwards."""
+    for k in range(20):
+        s = np.cumsum(np.random.default_rng(k).normal(0, 1, 60))
+        a, b = emd.envelopes(np.arange(60.0), s), emd.envelopes(np.arange(60.0), s[::-1])
+        if a is not None:
+            assert np.allclose(a[0], b[0][::-1]) and np.allclose(a[1], b[1][::-1])
