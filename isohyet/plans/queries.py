@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import calendar as C, display as V, landscape as L
 from ..operators import decomposition as D, downscaling as DS, dynamic as DY, ensemble as E, skill as K, spatial as SP, temporal as T, trend as R, weather as G
+from ..sources import rasters, sinks, tables
 from . import inputs as I, pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -533,7 +535,9 @@ def resample_cubic(spark, sf):
     return rounded(SP.resample(I.grid(spark, sf), (50, 40), (100, 80), ["value"], "cubic"), "value", places=5)
 
 
-@query()
+@query(f"""WITH {I.GRID}, ring(v, a, b, c, d) AS (VALUES (1, 2, 2, 30, 4), (1, 30, 4, 20, 40), (1, 20, 40, 2, 2), (2, 10, 10, 18, 10), (2, 18, 10, 18, 20), (2, 18, 20, 10, 20), (2, 10, 20, 10, 10)),
+p AS (SELECT y, x, v FROM g, ring WHERE (b > y + 0.5) <> (d > y + 0.5) AND x + 0.5 < (c - a) * (y + 0.5 - b) / nullif(d - b, 0)::DOUBLE + a GROUP BY y, x, v HAVING count(*) % 2 = 1)
+SELECT g.y, g.x, CAST(max(v) AS DOUBLE) AS burned FROM g LEFT JOIN p ON g.y = p.y AND g.x = p.x GROUP BY g.y, g.x""")
 def burn_polygons(spark, sf):
     """P6."""
     g = I.grid(spark, sf).withColumns({"lat": F.col("y") + 0.5, "lon": F.col("x") + 0.5})
@@ -556,7 +560,11 @@ def ordinary_kriging(spark, sf):
     return rounded(SP.ordinary_kriging(s, ["date"], g), "estimate", places=4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {I.GRID}, b AS (SELECT y, x, value % 900 + 100 AS p, value % 80 + 20 AS r, value % 500 + 600 AS et0 FROM g),
+s(y, x, p, r, et0, low, high, k) AS (SELECT y, x, p, r, et0, 0.05::DOUBLE, 50.0::DOUBLE, 0 FROM b WHERE p - r < least(p, et0) AND p > r
+  UNION ALL SELECT y, x, p, r, et0, CASE WHEN p - r - p * et0 / pow(pow(p, (low + high) / 2) + pow(et0, (low + high) / 2), 2 / (low + high)) > 0 THEN (low + high) / 2 ELSE low END,
+    CASE WHEN p - r - p * et0 / pow(pow(p, (low + high) / 2) + pow(et0, (low + high) / 2), 2 / (low + high)) > 0 THEN high ELSE (low + high) / 2 END, k + 1 FROM s WHERE k < 60)
+SELECT b.y, b.x, b.p, b.r, b.et0, round((low + high) / 2, 6) AS n FROM b LEFT JOIN s ON b.y = s.y AND b.x = s.x AND k = 60""")
 def budyko_parameter(spark, sf):
     """P9."""
     b = I.grid(spark, sf).select("y", "x", (F.col("value") % 900 + 100).alias("p"), (F.col("value") % 80 + 20).alias("r"), (F.col("value") % 500 + 600).alias("et0"))
@@ -616,7 +624,14 @@ def time_variance(spark, sf):
     return rounded(rounded(E.time_variance(e, E.quick_weights(e, ["station"]), ["station"]), "mean", places=3), "variance", places=0)
 
 
-@query()
+#: Dates that all three members have; sums of squares and products about the means, o for the observations.
+WIDE = f"""WITH {I.ENSEMBLE}, wide AS (SELECT station, date, max(value) FILTER (gcm = 'A') AS a, max(value) FILTER (gcm = 'N') AS n, max(value) FILTER (gcm = 'R') AS r, max(obs) AS o FROM e GROUP BY ALL HAVING count(*) = 3)"""
+
+
+@query(WIDE + """, er AS (SELECT station, a - o AS a, n - o AS n, r - o AS r FROM wide),
+c AS (SELECT station, covar_samp(a, a) AS aa, covar_samp(n, n) AS nn, covar_samp(r, r) AS rr, covar_samp(a, n) AS an, covar_samp(a, r) AS ar, covar_samp(n, r) AS nr FROM er GROUP BY 1),
+i AS (SELECT station, (nn * rr - nr * nr) - (an * rr - ar * nr) + (an * nr - ar * nn) AS a, -(an * rr - nr * ar) + (aa * rr - ar * ar) - (aa * nr - ar * an) AS n, (an * nr - nn * ar) - (aa * nr - an * ar) + (aa * nn - an * an) AS r FROM c)
+SELECT station, gcm, round(w, 6) AS weight FROM (SELECT station, unnest(['', 'A', 'N', 'R']) AS gcm, unnest([0.0::DOUBLE, a / (a + n + r), n / (a + n + r), r / (a + n + r)]) AS w FROM i)""")
 def lagrange_weights(spark, sf):
     """M7."""
     return rounded(E.fitted_weights(I.ensemble(spark, sf), ["station"], "lagrange"), "weight")
@@ -634,25 +649,42 @@ def averaged_weights(spark, sf):
     return rounded(E.fitted_weights(I.ensemble(spark, sf), ["station"], "bma"), "weight")
 
 
-@query()
+#: Posterior of the eight subsets: residual sums as ratios of determinants of the sums of products.
+POSTERIOR = WIDE + """, c AS (SELECT station, count(*) AS t, 3 + 0 AS k, regr_sxx(a, a) AS aa, regr_sxx(n, n) AS nn, regr_sxx(r, r) AS rr, regr_sxx(o, o) AS oo, regr_sxy(a, n) AS an, regr_sxy(a, r) AS ar, regr_sxy(n, r) AS nr, regr_sxy(a, o) AS ao, regr_sxy(n, o) AS no, regr_sxy(r, o) AS ro FROM wide GROUP BY 1),
+inv AS (SELECT *, aa * (nn * rr - nr * nr) - an * (an * rr - nr * ar) + ar * (an * nr - nn * ar) AS det FROM c),
+rss AS (SELECT station, t, oo, unnest(['', 'A', 'N', 'R', 'A+N', 'A+R', 'N+R', 'A+N+R']) AS models, unnest([0, 1, 1, 1, 2, 2, 2, 3]) AS k, unnest([oo, oo - ao * ao / aa, oo - no * no / nn, oo - ro * ro / rr,
+  oo - (ao * ao * nn - 2 * ao * no * an + no * no * aa) / (aa * nn - an * an), oo - (ao * ao * rr - 2 * ao * ro * ar + ro * ro * aa) / (aa * rr - ar * ar), oo - (no * no * rr - 2 * no * ro * nr + ro * ro * nn) / (nn * rr - nr * nr),
+  oo - (ao * ao * (nn * rr - nr * nr) + no * no * (aa * rr - ar * ar) + ro * ro * (aa * nn - an * an) + 2 * ao * no * (ar * nr - an * rr) + 2 * ao * ro * (an * nr - ar * nn) + 2 * no * ro * (an * ar - aa * nr)) / det]) AS rest FROM inv),
+lg AS (SELECT *, greatest(t, 9) AS g FROM rss),
+l AS (SELECT station, models, k, -0.5::DOUBLE * ln(t) - (t - 1) / 2.0::DOUBLE * ln(rest) + (t - k - 1) / 2.0::DOUBLE * ln(1 + g) - (t - 1) / 2.0::DOUBLE * ln(1 + g * rest / oo) + k * ln(1 / 3.0::DOUBLE) + (3 - k) * ln(2 / 3.0::DOUBLE) AS lp FROM lg),
+x AS (SELECT station, models, k, exp(lp - max(lp) OVER (PARTITION BY station)) AS w FROM l),
+post AS (SELECT station, models, k, w / sum(w) OVER (PARTITION BY station) AS probability FROM x)"""
+
+
+@query(POSTERIOR + " SELECT station, models, round(probability, 6) AS probability FROM post")
 def model_posterior(spark, sf):
-    """Every subset's probability."""
-    return rounded(E.posterior(I.ensemble(spark, sf), ["station"]), "probability")
+    """B1, B2: every subset's probability."""
+    return rounded(E.posterior(I.ensemble(spark, sf), ["station"]), "probability").withColumn("models", F.array_join("models", "+"))
 
 
-@query("SELECT station, 1.0::DOUBLE AS total FROM (SELECT DISTINCT l_linenumber AS station FROM lineitem)")
+@query(POSTERIOR + " SELECT station, CAST(k AS INTEGER) AS size, round(sum(probability), 6) AS probability FROM post GROUP BY ALL")
 def posterior_total(spark, sf):
-    """B2: size distributions add up to 1."""
-    sizes = E.size_distribution(E.posterior(I.ensemble(spark, sf), ["station"]), ["station"])
-    return sizes.groupBy("station").agg(F.round(F.sum("probability"), 6).alias("total"))
+    """B2: probabilities of the models' sizes."""
+    return rounded(E.size_distribution(E.posterior(I.ensemble(spark, sf), ["station"]), ["station"]), "probability")
 
 
-@query()
+@query(POSTERIOR + " SELECT station, gcm, round(sum(probability), 6) AS inclusion FROM post, (SELECT unnest(['A', 'N', 'R']) AS gcm) WHERE contains(models, gcm) GROUP BY ALL")
 def posterior_inclusion(spark, sf):
     """B2."""
     return rounded(E.inclusion(E.posterior(I.ensemble(spark, sf), ["station"]), ["station"]), "inclusion")
 
 
+@query(POSTERIOR + " SELECT station, round(sum(CASE WHEN contains(models, 'A') AND contains(models, 'R') THEN probability ELSE 0 END), 6) AS probability FROM post GROUP BY 1")
+def joint_inclusion(spark, sf):
+    """B2: the probability that two members are both in."""
+    return rounded(E.joint_inclusion(E.posterior(I.ensemble(spark, sf), ["station"]), ["station"], ["A", "R"]), "probability")
+
+
 @query()
 def monte_carlo_interval(spark, sf):
     """U3, B6, B8."""
@@ -691,11 +723,24 @@ def _weather(spark, sf):
     """Three synthetic years of six variables for each station."""
     s = I.table(spark, sf, "nation").select(F.col("n_nationkey").alias("station"))
     d = s.withColumn("date", F.explode(F.sequence(F.lit("2001-01-01").cast("date"), F.lit("2003-12-31").cast("date"))))
-    u = lambda k: F.pmod(F.xxhash64("station", "date", F.lit(k)), F.lit(10_000)) / 10_000.0
+    day = F.datediff("date", F.lit("2001-01-01").cast("date")).cast("long")
+    u = lambda k: ((F.col("station").cast("long") * 7919 + day * 104_729 + k * 1_299_709 + day * day * (31 + k) + F.col("station").cast("long") * day * 17) % 10_007) / 10_007.0
     wave = F.sin(F.dayofyear("date") * (2 * 3.141592653589793 / 365))
     return d.select("station", "date", F.when(u(1) < 0.3, -6 * F.log(u(2) + 0.0001)).otherwise(0.0).alias("PRE"), (20 + 8 * wave + 4 * u(3)).alias("MAXTEM"), (9 + 7 * wave + 4 * u(4)).alias("MINTEM"), (0.4 + 0.3 * u(5)).alias("RHU"), (15 + 5 * wave + u(6)).alias("RS"), (1 + 4 * u(7)).alias("WIN"))
 
 
+def _u(k: int) -> str:
+    return f"((station * 7919 + day * 104729 + {k * 1_299_709} + day * day * {31 + k} + station * day * 17) % 10007) / 10007.0::DOUBLE"
+
+
+WEATHER = f"""days AS (SELECT CAST(n_nationkey AS BIGINT) AS station, CAST(DATE '2001-01-01' + CAST(day AS INTEGER) AS DATE) AS date, CAST(day AS BIGINT) AS day FROM nation, range(1095) r(day)),
+waves AS (SELECT *, sin(dayofyear(date) * (2 * 3.141592653589793::DOUBLE / 365)) AS wave FROM days),
+weather AS (SELECT station, date, CASE WHEN {_u(1)} < 0.3 THEN -6 * ln({_u(2)} + 0.0001::DOUBLE) ELSE 0.0::DOUBLE END AS PRE, 20 + 8 * wave + 4 * {_u(3)} AS MAXTEM, 9 + 7 * wave + 4 * {_u(4)} AS MINTEM,
+  0.4::DOUBLE + 0.3::DOUBLE * {_u(5)} AS RHU, 15 + 5 * wave + {_u(6)} AS RS, 1 + 4 * {_u(7)} AS WIN FROM waves)"""
+TEXTS = f"""{WEATHER}, texts AS (SELECT station, date, 'PRE' AS var, printf('%.1f', PRE) AS line FROM weather UNION ALL SELECT station, date, 'RHU', printf('%.3f', RHU) FROM weather UNION ALL SELECT station, date, 'RS', printf('%.2f', RS) FROM weather
+  UNION ALL SELECT station, date, 'WIN', printf('%.1f', WIN) FROM weather UNION ALL SELECT station, date, 'TEM', printf('%.1f', MAXTEM) || ',' || printf('%.1f', MINTEM) FROM weather)"""
+
+
 VARIABLES = ["PRE", "MAXTEM", "MINTEM", "RHU", "RS", "WIN"]
 
 
@@ -710,15 +755,9 @@ def _generated(d):
     return rounded(G.generate(G.fit_generator(d, ["station"], VARIABLES), months, ["station"], VARIABLES, seed=7), *VARIABLES)
 
 
-@query("WITH s AS (SELECT n_nationkey AS station FROM nation WHERE n_nationkey < 4), k AS (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS month) SELECT station, CAST(y AS INTEGER) AS year, month, 1 AS met FROM s, k, (SELECT unnest([2001, 2002, 2003]) AS y)")
+@query("WITH s AS (SELECT n_nationkey AS station FROM nation), k AS (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS month) SELECT station, CAST(y AS INTEGER) AS year, month, 1 AS met FROM s, k, (SELECT unnest([2001, 2002, 2003]) AS y)")
 def generated_months(spark, sf):
     """Generated daily temperatures are ordered, and rain stays non-negative, in every month."""
-    return _months_met(_generated(_weather(spark, sf).where("station < 4")))
-
-
-@query("WITH s AS (SELECT n_nationkey AS station FROM nation), k AS (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS month) SELECT station, CAST(y AS INTEGER) AS year, month, 1 AS met FROM s, k, (SELECT unnest([2001, 2002, 2003]) AS y)")
-def generated_months_all(spark, sf):
-    """G8, as generated_months, of all stations."""
     return _months_met(weather_generator(spark, sf))
 
 
@@ -737,15 +776,9 @@ def multi_site_shuffle(spark, sf):
     return rounded(G.multi_site(m, gen, ["var"]), "value")
 
 
-@query(f"WITH {I.MONTHLY}, o AS (SELECT m.station, m.date FROM m WHERE station < 6), n AS (SELECT date FROM o GROUP BY 1 HAVING count(*) = 6) SELECT station, count(*) AS n FROM o SEMI JOIN n USING (date) GROUP BY 1")
+@query(f"WITH {I.MONTHLY}, n AS (SELECT date FROM m GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT station) FROM m)) SELECT station, count(*) AS n FROM m SEMI JOIN n USING (date) GROUP BY 1")
 def shuffle_keeps_values(spark, sf):
     """R2: each station keeps its generated values."""
-    return _values_kept(I.monthly(spark, sf).where("station < 6"))
-
-
-@query(f"WITH {I.MONTHLY}, n AS (SELECT date FROM m GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT station) FROM m)) SELECT station, count(*) AS n FROM m SEMI JOIN n USING (date) GROUP BY 1")
-def shuffle_keeps_all(spark, sf):
-    """R2, as shuffle_keeps_values, over all stations."""
     return _values_kept(I.monthly(spark, sf))
 
 
@@ -827,20 +860,6 @@ def mode_frequency(spark, sf):
     return rounded(D.instantaneous_frequency(D.emd(I.monthly(spark, sf), ["station"]), ["station"], 1.0), "frequency")
 
 
-@query(f"WITH {I.GRID} SELECT y, x, round(value + 0.0000123, 3) AS total FROM g WHERE y < 24 AND x < 24")
-def emd2d_sum(spark, sf):
-    """C10."""
-    g = I.grid(spark, sf).where("y < 24 and x < 24").withColumn("image", F.lit(1))
-    return D.emd2d(g, ["image"], max_imf=1).groupBy("y", "x").agg(F.round(F.sum("value") + NUDGE, 3).alias("total"))
-
-
-@query(f"WITH {I.GRID} SELECT y, x, round(value + 0.0000123, 3) AS total FROM g WHERE y < 24 AND x < 24")
-def bemd_sum(spark, sf):
-    """C11."""
-    g = I.grid(spark, sf).where("y < 24 and x < 24").withColumn("image", F.lit(1))
-    return D.emd2d(g, ["image"], max_imf=1, radial=True).groupBy("y", "x").agg(F.round(F.sum("value") + NUDGE, 3).alias("total"))
-
-
 @query()
 def emd2d_grid(spark, sf):
     """The modes of the whole grid."""
@@ -900,18 +919,84 @@ def factor_attribution(spark, sf):
     return rounded(DS.attribution(li.select("zone", F.col("p_size").cast("double").alias("size"), "k", F.col("p_retailprice").alias("y")), ["zone"], ["size", "k"], "y", trees=20), "mean_shap", "share")
 
 
-@query()
+@query(f"WITH {TEXTS} SELECT var || station AS file, date, line FROM texts UNION ALL SELECT var || station, CAST(min(date) - 1 AS DATE), strftime(min(date), '%Y%m%d') FROM texts GROUP BY var, station")
 def swat_lines(spark, sf):
     """K1, K2."""
-    from ..sources import sinks
-
     return sinks.weather_lines(_weather(spark, sf))
 
 
+# Files: written by a sink into the shared folder and read again. ------------------------------------------------------
+
+@query(f"WITH {WEATHER} SELECT CAST(station AS VARCHAR) AS station, date, var, value FROM (SELECT station, date, CAST(printf('%.1f', PRE) AS DOUBLE) AS PRE, CAST(printf('%.3f', RHU) AS DOUBLE) AS RHU, CAST(printf('%.2f', RS) AS DOUBLE) AS RS, CAST(printf('%.1f', WIN) AS DOUBLE) AS WIN, CAST(printf('%.1f', MAXTEM) AS DOUBLE) AS MAXTEM, CAST(printf('%.1f', MINTEM) AS DOUBLE) AS MINTEM FROM weather) UNPIVOT (value FOR var IN (PRE, RHU, RS, WIN, MAXTEM, MINTEM))")
+def gauge_files(spark, sf):
+    """S3, K1, K2: one text file a station and variable, first day on top."""
+    folder = I.scratch(spark, "gauges")
+    sinks.write_files(sinks.weather_files(_weather(spark, sf)), folder)
+    return tables.gauges(spark, folder)
+
+
+@query(f"WITH {I.DAILY}, w AS (SELECT station, date, max(value) FILTER (var = 'click') AS click, max(value) FILTER (var = 'view') AS view FROM d GROUP BY ALL), v AS (SELECT station, date, 'click' AS var, click AS value FROM w UNION ALL SELECT station, date, 'view', view FROM w) SELECT CAST(station AS VARCHAR) AS station, date, var, CASE WHEN value < 1000 THEN value END AS value FROM v")
+def observation_files(spark, sf):
+    """One CSV a station, missing values as -99, of two variables."""
+    folder = I.scratch(spark, "observations")
+    wide = I.daily(spark, sf).groupBy("station", "date").pivot("var", ["click", "view"]).agg(F.first("value"))
+    line = F.concat_ws(",", F.col("date").cast("string"), *[F.coalesce(F.col(v).cast("string"), F.lit("-99")) for v in ("click", "view")])
+    files = wide.groupBy("station").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    sinks.write_files(files.select(F.concat(F.col("station").cast("string"), F.lit(".csv")).alias("name"), F.concat(F.lit("Date,click,view\n"), F.array_join("lines", "\n")).cast("binary").alias("content")), folder)
+    return tables.observations(spark, folder, ["click", "view"])
+
+
+@query(f"WITH {I.STATIONS} SELECT CAST(station AS VARCHAR) AS station, lat, lon, value AS elevation FROM s")
+def station_file(spark, sf):
+    """S13."""
+    folder = I.scratch(spark, "stations")
+    I.stations(spark, sf).select(F.col("station").alias("Station"), F.col("lat").alias("LAT"), F.col("lon").alias("LONG"), F.col("value").alias("ELEVATION")).write.csv(folder, header=True)
+    return tables.stations(spark, folder)
+
+
+@query(f"WITH {I.GRID} SELECT y, x, 50.0::DOUBLE - y AS lat, 100.0::DOUBLE + x AS lon, DATE '2001-01-17' AS time, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM g WHERE y < (SELECT max(y) FROM g) AND y > 0")
+def tiff_files(spark, sf):
+    """A GeoTIFF written and read; its first and last row of cells, which the parts do not fill, are left out."""
+    folder = I.scratch(spark, "tiffs")
+    g = I.grid(spark, sf).select(F.lit("price_20010117.tif").alias("name"), "y", "x", (50.0 - F.col("y")).alias("lat"), (100.0 + F.col("x")).alias("lon"), "value")
+    last = g.agg(F.max("y")).scalar()
+    sinks.write_files(sinks.tiffs(g, ["name"]), folder)
+    cells = rasters.tiff_stack(spark, folder).withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
+    return cells.where((F.col("y") > 0) & (F.col("y") < last))
+
+
+@query("SELECT r_name || '.tif' AS name, r_regionkey % 2 = 0 AS ok FROM region")
+def checked_files(spark, sf):
+    """Files that cannot be opened are told from those that can."""
+    folder = I.scratch(spark, "checked")
+    good = rasters.write_tiff(np.ones((2, 2)), np.array([1.0, 0.0]), np.array([0.0, 1.0]))
+    r = I.table(spark, sf, "region")
+    sinks.write_files(r.select(F.concat("r_name", F.lit(".tif")).alias("name"), F.when(F.col("r_regionkey") % 2 == 0, F.lit(good)).otherwise(F.lit(b"not a picture")).alias("content")), folder)
+    found = tables.files(spark, folder, ".tif").join(rasters.check(spark, folder, ".tif"), "path")
+    return found.select(F.regexp_extract(F.url_decode("path"), "([^/]+)$", 1).alias("name"), "ok")
+
+
+@query("SELECT 'v' || (s_suppkey % 3) AS variable, CASE WHEN s_suppkey % 2 = 0 THEN 'day' ELSE 'Amon' END AS \"table\", 'src' || s_nationkey AS source, CAST(1900 + s_suppkey % 150 AS VARCHAR) || '0101' AS start, CAST(1910 + s_suppkey % 150 AS VARCHAR) || '1231' AS \"end\" FROM supplier WHERE s_suppkey % 5 <> 4 AND 1910 + s_suppkey % 150 >= 1950 AND 1900 + s_suppkey % 150 <= 2020")
+def model_catalogue(spark, sf):
+    """Files by their names, of the wanted tables and years."""
+    k = F.col("s_suppkey")
+    table = F.when(k % 5 == 4, "Omon").when(k % 2 == 0, "day").otherwise("Amon")
+    text = lambda c: c.cast("string")
+    name = F.concat_ws("_", F.concat(F.lit("v"), text(k % 3)), table, F.concat(F.lit("src"), text(F.col("s_nationkey"))), F.lit("historical"), F.lit("r1i1p1f1"), F.lit("gn"), F.concat(text(1900 + k % 150), F.lit("0101-"), text(1910 + k % 150), F.lit("1231")))
+    paths = I.table(spark, sf, "supplier").select(F.concat(F.lit("/models/"), name, F.lit(".nc")).alias("path"))
+    return tables.catalogue(paths, to_year=2020).select("variable", "table", "source", "start", "end")
+
+
+@query(f"WITH {I.ENSEMBLE} SELECT station, date, max(value) FILTER (gcm = 'A') AS a, max(value) FILTER (gcm = 'N') AS n, max(value) FILTER (gcm = 'R') AS r FROM e GROUP BY ALL")
+def predictor_columns(spark, sf):
+    """Frames appended, a column a predictor."""
+    e = I.ensemble(spark, sf).select("station", "date", F.lower("gcm").alias("predictor"), "value")
+    frames = [e.where("date < '1997-01-01'"), e.where("date >= '1997-01-01'")]
+    return tables.predictors(frames, ["station"], ["a", "n", "r"])
+
+
 @query()
 def grid_tiffs(spark, sf):
-    """Each grid as the bytes of a GeoTIFF."""
-    from ..sources import sinks
-
+    """K3: each grid as the bytes of a GeoTIFF."""
     g = I.grid(spark, sf).select(F.lit("price").alias("band"), "y", "x", (50.0 - F.col("y")).alias("lat"), (100.0 + F.col("x")).alias("lon"), "value")
     return sinks.tiffs(g, ["band"]).select("band", F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("digest"))

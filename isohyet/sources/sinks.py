@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -30,6 +32,38 @@ def write_weather(df: DataFrame, path: str, station: str = "station", time: str
     lines.repartition("file").sortWithinPartitions("file", "date").select("file", "line").write.mode("overwrite").partitionBy("file").text(path)
 
 
+def weather_files(df: DataFrame, station: str = "station", time: str = "date") -> DataFrame:
+    """name (VAR<station>.txt) and content of the text files of weather_lines; a file holds one station's days."""
+    lines = weather_lines(df, station, time).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("date", "line"))).alias("rows"))
+    return lines.select(F.concat("file", F.lit(".txt")).alias("name"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n").cast("binary").alias("content"))
+
+
+def write_files(df: DataFrame, folder: str) -> int:
+    """Write each row of df (name, content) as a file below folder, which all tasks reach; returns how many.
+
+    A file is written under a name of its own attempt and moved to its place when whole, so a task may run twice.
+    """
+    import pyarrow.fs as pafs
+
+    pafs.FileSystem.from_uri(_uri(folder))[0].create_dir(pafs.FileSystem.from_uri(_uri(folder))[1], recursive=True)
+
+    def run(batches):
+        fs, root = pafs.FileSystem.from_uri(_uri(folder))
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                part = f"{root}/.{name}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(part, compression=None) as out:
+                    out.write(content)
+                fs.move(part, f"{root}/{name}")
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return df.select("name", "content").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _uri(path: str) -> str:
+    return path if "://" in path else "file://" + path.removeprefix("file:")
+
+
 def write_grid(df: DataFrame, path: str, by: list[str]) -> None:
     """A grid table in Parquet, in partitions `by` and sorted by cell."""
     df.repartition(*by).sortWithinPartitions("y", "x").write.mode("overwrite").partitionBy(*by).parquet(path)
