@@ -225,10 +225,10 @@ def noise(kind: str, scale: float, size: int, rng) -> np.ndarray:
     return rng.normal(0, scale, size) if kind == "normal" else rng.uniform(-scale, scale, size)
 
 
-def trial(s: np.ndarray, number: int, seed: int, width: float = 0.05, kind: str = "normal", max_imf: int = -1, **options) -> np.ndarray:
+def trial(s: np.ndarray, number: int, seed: int, width: float = 0.05, distribution: str = "normal", max_imf: int = -1, **options) -> np.ndarray:
     """Modes of s with the noise of one trial; the noise depends on (seed, number) alone."""
     rng = np.random.default_rng((seed, number))
-    return emd(s + noise(kind, width * (s.max() - s.min()), len(s), rng), max_imf=max_imf, **options)
+    return emd(s + noise(distribution, width * (s.max() - s.min()), len(s), rng), max_imf=max_imf, **options)
 
 
 def ceemdan(s: np.ndarray, trials: int = 100, seed: int = 0, epsilon: float = 0.005, max_imf: int = -1, range_thr: float = 0.01, power_thr: float = 0.05, **options) -> np.ndarray:

@@ -191,7 +191,10 @@ def early_warning_runs(spark, sf):
     return R.warning_runs(rows, ["station"], "value", "upper", warm_up=12, trailing=5, hits=4).select("station", "place")
 
 
-@query()
+@query(MK + f""", q AS (SELECT station, value, row_number() OVER (PARTITION BY station ORDER BY date) - 1 AS i FROM m), qs AS (SELECT x.station, x.i, sum(sign(x.value - y.value)) AS s FROM q x JOIN q y ON x.station = y.station WHERE x.i >= 1 GROUP BY ALL),
+qu AS (SELECT station, i - 1 AS k, sum(s) OVER (PARTITION BY station ORDER BY i) AS u FROM qs), qk AS (SELECT station, arg_min(k, (-abs(u), k)) AS k FROM qu GROUP BY 1),
+qh AS (SELECT station, any_value(k) AS k, regr_slope(CASE WHEN i < k THEN value END, CASE WHEN i < k THEN i END) AS before, regr_slope(CASE WHEN i > k THEN value END, CASE WHEN i > k THEN i END) AS after FROM q JOIN qk USING (station) GROUP BY 1)
+SELECT station, printf('%.3f', z) AS mk, printf('%.4f', sen) AS slope, CAST(k + 1995 AS INTEGER) AS change, coalesce(printf('%.4f', before), 'null') AS before, coalesce(printf('%.4f', after), 'null') AS after FROM w JOIN qh USING (station)""")
 def statistics_report(spark, sf):
     """T21, F18."""
     return R.report(I.monthly(spark, sf), ["station"], first_year=1995)
@@ -791,16 +794,63 @@ def _values_kept(m):
 
 # Decomposition. ----------------------------------------------------------------------------------------------------
 
-SUM_SQL = f"WITH {I.MONTHLY} SELECT station, date, round(value + 0.0000123, 3) AS total FROM m"
+#: One sifting of each series with linear envelopes. Both ends are seen as a left one: j counts from the end, knots beyond it are mirrors.
+SIFT = f"""WITH {I.MONTHLY}, o AS (SELECT station, date, value AS s, CAST(row_number() OVER w - 1 AS BIGINT) AS i, count(*) OVER (PARTITION BY station) AS n, lag(value) OVER w AS b, lead(value) OVER w AS a FROM m WINDOW w AS (PARTITION BY station ORDER BY date)),
+ext AS (SELECT station, i, n, s, CASE WHEN s > b AND s > a THEN 'x' ELSE 'n' END AS kind FROM o WHERE (s > b AND s > a) OR (s < b AND s < a)),
+enough AS (SELECT station FROM ext GROUP BY 1 HAVING count(*) >= 3 AND count(*) FILTER (kind = 'x') > 0 AND count(*) FILTER (kind = 'n') > 0),
+sided AS (SELECT station, side, kind, s, CASE side WHEN 'L' THEN i ELSE n - 1 - i END AS j, n FROM ext, (SELECT unnest(['L', 'R']) AS side)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY station, side, kind ORDER BY j) AS r FROM sided),
+edge AS (SELECT station, side, s FROM o, (SELECT unnest(['L', 'R']) AS side) WHERE (side = 'L' AND i = 0) OR (side = 'R' AND i = n - 1)),
+firsts AS (SELECT station, side, min(j) FILTER (kind = 'x') AS tx, min(j) FILTER (kind = 'n') AS tn, max(s) FILTER (kind = 'x' AND r = 1) AS vx, max(s) FILTER (kind = 'n' AND r = 1) AS vn, max(n) AS n FROM ranked GROUP BY ALL),
+cases AS (SELECT f.*, e.s AS at_edge, CASE WHEN tx < tn THEN CASE WHEN e.s > vn THEN 'A' ELSE 'B' END ELSE CASE WHEN e.s < vx THEN 'C' ELSE 'D' END END AS c FROM firsts f JOIN edge e USING (station, side) JOIN enough USING (station)),
+picked AS (SELECT r.station, r.side, r.kind, 2 * CASE c WHEN 'A' THEN tx WHEN 'C' THEN tn ELSE 0 END - j AS j, r.s FROM ranked r JOIN cases USING (station, side)
+    WHERE r BETWEEN CASE WHEN (c = 'A' AND kind = 'x') OR (c = 'C' AND kind = 'n') THEN 2 ELSE 1 END AND CASE WHEN (c = 'A' AND kind = 'x') OR (c = 'C' AND kind = 'n') THEN 3 WHEN (c = 'B' AND kind = 'n') OR (c = 'D' AND kind = 'x') THEN 1 ELSE 2 END
+  UNION ALL SELECT station, side, CASE c WHEN 'B' THEN 'n' ELSE 'x' END, 0, at_edge FROM cases WHERE c IN ('B', 'D')),
+outside AS (SELECT station, side FROM picked GROUP BY ALL HAVING count(*) FILTER (kind = 'x' AND j <= 0) > 0 AND count(*) FILTER (kind = 'n' AND j <= 0) > 0),
+mirrors AS (SELECT * FROM picked SEMI JOIN outside USING (station, side) UNION ALL SELECT station, side, kind, -j, s FROM ranked JOIN cases USING (station, side) ANTI JOIN outside USING (station, side) WHERE r <= 2),
+knots AS (SELECT station, kind, i AS t, s AS v FROM ext UNION ALL SELECT station, kind, CASE side WHEN 'L' THEN j ELSE n - 1 - j END, m.s FROM mirrors m JOIN (SELECT station, max(n) AS n FROM ext GROUP BY 1) USING (station)),
+points AS (SELECT o.*, kind FROM o JOIN enough USING (station), (SELECT unnest(['x', 'n']) AS kind)),
+before AS (SELECT p.*, k.t AS t0, k.v AS v0 FROM points p ASOF LEFT JOIN knots k ON p.station = k.station AND p.kind = k.kind AND p.i >= k.t),
+both_ AS (SELECT x.*, k.t AS t1, k.v AS v1 FROM before x ASOF LEFT JOIN knots k ON x.station = k.station AND x.kind = k.kind AND x.i <= k.t),
+env AS (SELECT station, date, s, kind, CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (i - t0) / (t1 - t0) END AS e FROM both_),
+mean AS (SELECT station, date, any_value(s) AS s, avg(e) AS e FROM env GROUP BY ALL),
+modes AS (SELECT station, date, 1 AS component, false AS is_residual, s - e AS value FROM mean UNION ALL SELECT station, date, 2, true, e FROM mean UNION ALL SELECT station, date, 1, true, s FROM o ANTI JOIN enough USING (station))
+SELECT station, date, CAST(component AS INTEGER) AS component, is_residual, round(value + 0.0000123, 3) AS value FROM modes"""
+
+
+def _modes(modes: DataFrame) -> DataFrame:
+    return modes.select("station", "date", "component", "is_residual", F.round(F.col("value") + NUDGE, 3).alias("value"))
+
+
+@query(SIFT)
+def emd_sift(spark, sf):
+    """Extrema, mirrors, linear envelopes, one sifting."""
+    return _modes(D.emd(I.monthly(spark, sf), ["station"], kind="linear", fixe=1, max_imf=1))
+
+
+@query(SIFT)
+def eemd_sift(spark, sf):
+    """The ensemble's mean, dealt out in tasks, is the series' own where the noise has no width."""
+    out = D.eemd(I.monthly(spark, sf), ["station"], trials=6, per_task=4, width=0.0, kind="linear", fixe=1, max_imf=1).where("not is_residual")
+    return _modes(out.withColumn("is_residual", F.col("component") == F.max("component").over(W.partitionBy("station", "date"))))
+
+
+@query(SIFT)
+def ceemdan_sift(spark, sf):
+    """The first mode without noise."""
+    return _modes(D.ceemdan(I.monthly(spark, sf), ["station"], trials=3, epsilon=0.0, kind="linear", fixe=1, max_imf=1))
 
 
 def _total(modes: DataFrame) -> DataFrame:
     return modes.groupBy("station", "date").agg(F.round(F.sum("value") + NUDGE, 3).alias("total"))
 
 
+SUM_SQL = f"WITH {I.MONTHLY} SELECT station, date, round(value + 0.0000123, 3) AS total FROM m"
+
+
 @query(SUM_SQL)
 def emd_sum(spark, sf):
-    """Modes and residue add up to the series."""
+    """Whole decompositions add up to the series."""
     return _total(D.emd(I.monthly(spark, sf), ["station"]))
 
 
@@ -810,16 +860,16 @@ def emd_rilling_sum(spark, sf):
     return _total(D.emd(I.monthly(spark, sf), ["station"], stop="rilling"))
 
 
-@query(SUM_SQL)
-def eemd_sum(spark, sf):
-    """C7, C9."""
-    return _total(D.eemd(I.monthly(spark, sf), ["station"], trials=20, per_task=10))
+@query()
+def eemd_modes(spark, sf):
+    """C7."""
+    return rounded(D.eemd(I.monthly(spark, sf), ["station"], trials=100, per_task=10), "value", "deviation", places=4)
 
 
-@query(SUM_SQL)
-def ceemdan_sum(spark, sf):
+@query()
+def ceemdan_modes(spark, sf):
     """C8."""
-    return _total(D.ceemdan(I.monthly(spark, sf), ["station"], trials=10))
+    return rounded(D.ceemdan(I.monthly(spark, sf), ["station"], trials=20), "value", places=4)
 
 
 @query(SUM_SQL)
@@ -828,12 +878,57 @@ def stl_sum(spark, sf):
     return _total(D.stl(I.monthly(spark, sf), ["station"]))
 
 
-@query(SUM_SQL)
-def merged_sum(spark, sf):
-    """Cut and merged components still add up."""
-    modes = D.emd(I.monthly(spark, sf), ["station"]).withColumn("scenario", F.lit("a"))
+#: Modes of known values: scenario b has fewer than a for some stations; the residue is the last.
+KNOWN = f"""WITH {I.MONTHLY}, f AS (SELECT station, date, value, scenario, 3 + station % 4 - CASE scenario WHEN 'b' THEN station % 3 ELSE 0 END AS k FROM m, (SELECT unnest(['a', 'b']) AS scenario)),
+modes AS (SELECT station, scenario, date, CAST(unnest(range(1, k + 2)) AS INTEGER) AS component, k, value FROM f), bands AS (SELECT station, scenario, date, component, component = k + 1 AS is_residual, k, value * component / 10.0::DOUBLE AS value FROM modes)"""
+
+
+def _known_modes(spark, sf):
+    m = I.monthly(spark, sf).withColumn("scenario", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    m = m.withColumn("k", 3 + F.col("station") % 4 - F.when(F.col("scenario") == "b", F.col("station") % 3).otherwise(0))
+    m = m.withColumn("component", F.explode(F.sequence(F.lit(1), (F.col("k") + 1).cast("int"))))
+    return m.select("station", "scenario", "date", "component", (F.col("component") == F.col("k") + 1).alias("is_residual"), (F.col("value") * F.col("component") / 10.0).alias("value"))
+
+
+@query(KNOWN + """, over AS (SELECT station, scenario, date, least(component, CASE WHEN is_residual THEN 99 ELSE 4 END) AS component, is_residual, least(k, 4) AS k, sum(value) AS value FROM bands GROUP BY ALL),
+least_ AS (SELECT station, min(k) AS most FROM over GROUP BY 1), matched AS (SELECT station, scenario, date, CASE WHEN is_residual THEN component ELSE least(component, most) END AS component, is_residual, value FROM over JOIN least_ USING (station)),
+merged AS (SELECT station, scenario, date, is_residual, CASE WHEN component > 2 AND component <= 4 THEN 3 ELSE component END AS c, sum(value) AS value FROM matched GROUP BY ALL)
+SELECT station, scenario, date, CAST(dense_rank() OVER (PARTITION BY station, scenario, date ORDER BY is_residual, c) AS INTEGER) AS component, is_residual, round(value + 0.0000123, 3) AS value FROM merged""")
+def merged_modes(spark, sf):
+    """Components cut at four, then at what both scenarios have, then two of them merged."""
     keys = ["station", "scenario"]
-    return _total(D.merge_components(D.cut_unmatched(D.cut_overflow(modes, keys, 4), keys, "scenario"), keys, [(2, 4)]))
+    out = D.merge_components(D.cut_unmatched(D.cut_overflow(_known_modes(spark, sf), keys, 4), keys, "scenario"), keys, [(2, 4)])
+    return out.select("station", "scenario", "date", "component", "is_residual", F.round(F.col("value") + NUDGE, 3).alias("value"))
+
+
+def _significance_sql(test: str) -> str:
+    """Three bands of each series: what a running mean of three leaves, what one of nine leaves of that, and the residue."""
+    limit = "abs(e + lt) > spread" if test == "apriori" else "e + (first(-lt + unit * exp(lt) / 2 - e) OVER (PARTITION BY station ORDER BY component)) > spread - lt"
+    return f"""WITH {I.MONTHLY}, a AS (SELECT station, date, value, avg(value) OVER (PARTITION BY station ORDER BY date ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS a3, avg(value) OVER (PARTITION BY station ORDER BY date ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS a9 FROM m),
+b AS (SELECT station, date, 1 AS component, value - a3 AS v FROM a UNION ALL SELECT station, date, 2, a3 - a9 FROM a),
+c AS (SELECT *, v >= 0 AND v > lag(v) OVER w AND v > lead(v) OVER w AS peak FROM b WINDOW w AS (PARTITION BY station, component ORDER BY date)),
+d AS (SELECT station, component, count(*) AS n, ln(count(*) / greatest(count(*) FILTER (peak), 1)::DOUBLE) AS lt, ln(sum(v * v) / count(*)) AS e FROM c GROUP BY ALL),
+u AS (SELECT *, 1.959963984540054::DOUBLE * sqrt(2.0::DOUBLE / n) AS unit, 1.959963984540054::DOUBLE * sqrt(2.0::DOUBLE / n) * exp(lt / 2) AS spread FROM d)
+SELECT station, CAST(component AS INTEGER) AS component, CAST({limit} AS INTEGER) AS significant FROM u"""
+
+
+def _running(spark, sf):
+    w = lambda k: W.partitionBy("station").orderBy("date").rowsBetween(-k, k)
+    m = I.monthly(spark, sf).withColumns({"a3": F.avg("value").over(w(1)), "a9": F.avg("value").over(w(4))})
+    bands = F.array(*[F.struct(F.lit(k).alias("component"), F.lit(k == 3).alias("is_residual"), v.alias("value")) for k, v in ((1, F.col("value") - F.col("a3")), (2, F.col("a3") - F.col("a9")), (3, F.col("a9")))])
+    return m.select("station", "date", F.explode(bands).alias("b")).select("station", "date", "b.*")
+
+
+@query(_significance_sql("aposteriori"))
+def significant_bands(spark, sf):
+    """C13, energies moved to the first band's upper limit."""
+    return D.significance(_running(spark, sf), ["station"])
+
+
+@query(_significance_sql("apriori"))
+def significant_bands_apriori(spark, sf):
+    """C13, energies as they are."""
+    return D.significance(_running(spark, sf), ["station"], test="apriori")
 
 
 @query()
