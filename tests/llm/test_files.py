@@ -43,8 +43,10 @@ def test_warc(spark, tmp_path, case):
     if rows:
         keys = [r.k for r in df.select(warc.sort_key(F.col("url")).alias("k")).collect()]
         key = "com,example,www1)/en/1"
-        assert key in keys and len(warc.lookup(directory, folder, key)) == keys.count(key)
-        assert warc.lookup(directory, folder, "nowhere)") == []
+        asked = spark.createDataFrame([(key,), (key,), ("nowhere)",), ("",), (None,)], "key string")
+        assert key in keys and warc.search(directory, folder, asked).count() == keys.count(key) + keys.count("")
+        every = df.select(warc.sort_key(F.col("url")).alias("key"))
+        assert collections.Counter((r.id, r.url, r.payload_digest) for r in warc.search(directory, folder, every).collect()) == collections.Counter((r.id, r.url, r.payload_digest) for r in got)
 
 
 @pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 500])
@@ -157,22 +159,67 @@ def test_pipeline(spark):
     assert zlib.crc32(b"") == 0
 
 
-def test_directory_is_bisected(spark, tmp_path, monkeypatch):
+def test_search_in_small_blocks(spark, tmp_path, monkeypatch):
+    """Keys that span blocks and files, keys between and beyond all others."""
     monkeypatch.setattr(warc, "BLOCK", 3)
-    rows = [(i, f"http://h{i // 4 % 9}.org/p{i // 8 % 5}", f"body {i}") for i in range(120)]
+    monkeypatch.setattr(warc, "RANGE", 10)
+    rows = [(i, f"http://h{min(i // 4 % 9, 4)}.org/p{i // 8 % 5 if i % 3 else 0}", f"body {i}") for i in range(120)]
     folder = str(tmp_path / "w")
-    directory = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
-    index = warc.Index(directory)
-    monkeypatch.setattr(type(directory), "where", None)  # no scan by Spark
-    keys = [b["first_key"] for b in index.blocks]
-    for key in {*keys, "", "nowhere)", "\uffff"}:
-        assert index.holding(key) == [b for b in index.blocks if b["first_key"] <= key <= b["last_key"]]
-    monkeypatch.undo()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    directory = warc.write(pages, folder)
     wanted = {}
-    for i, k in spark.createDataFrame(rows, "page_id long, url string, html string").select("page_id", warc.sort_key(F.col("url"))).collect():
+    for i, k in pages.select("page_id", warc.sort_key(F.col("url"))).collect():
         wanted.setdefault(k, []).append(i)
-    for key, ids in wanted.items():
-        assert sorted(r["id"] for r in warc.lookup(index, folder, key)) == ids
+    for key in [*wanted, "", "nowhere)", "\uffff", "org,h1)/p"]:
+        got = warc.search(directory, folder, spark.createDataFrame([(key,)], "key string")).collect()
+        assert sorted(r.id for r in got) == wanted.get(key, [])
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 40])
+def test_spans(n):
+    r = random.Random(n)
+    marks = sorted(r.choice("abcdefgh") for _ in range(2 * n))
+    keys = list(zip(marks[::2], marks[1::2], strict=True))
+    for key in " abcdefghz":
+        assert list(warc.spans(keys, key)) == [i for i, (low, high) in enumerate(keys) if low <= key <= high]
+
+
+def test_archives_by_the_specification(spark, tmp_path):
+    """Each archive read member by member: a warcinfo first, mandatory fields, unique ids, revisits of responses that are there."""
+    import datetime
+    import re
+    import zlib
+
+    rows = [*[(i, f"http://x{i % 5}.org/{i}", "long " * 300 if i % 2 else f"text {i}") for i in range(50)], (-7, None, "é" * 900), (2**62, "http://a/\nb", "é" * 900), (None, "http://n/", "long " * 300)]
+    folder = str(tmp_path / "w")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), folder)
+    ids, refers, pages = [], [], collections.Counter()
+    for file in tmp_path.glob("w/*.warc.gz"):
+        raw, first = file.read_bytes(), True
+        while raw:
+            d = zlib.decompressobj(31)
+            record = d.decompress(raw)
+            raw = d.unused_data
+            head, _, rest = record.partition(b"\r\n\r\n")
+            version, *lines = head.decode().split("\r\n")
+            h = dict(x.split(": ", 1) for x in lines)
+            assert version == "WARC/1.1" and len(h) == len(lines) and rest[int(h["Content-Length"]) :] == b"\r\n\r\n"
+            assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", h["WARC-Record-ID"])
+            datetime.datetime.strptime(h["WARC-Date"], "%Y-%m-%dT%H:%M:%SZ")
+            ids.append(h["WARC-Record-ID"])
+            assert (h["WARC-Type"] == "warcinfo") == first and (first or h["WARC-Target-URI"])
+            if not first:
+                http, _, body = rest[: int(h["Content-Length"])].partition(b"\r\n\r\n")
+                assert http.startswith(b"HTTP/1.1 200 OK\r\n") and h["Content-Type"].startswith("application/http")
+                pages[warc.page_of(h["WARC-Record-ID"])] += 1
+                if h["WARC-Type"] == "revisit":
+                    assert not body and "WARC-Profile" in h
+                    refers.append((h["WARC-Refers-To"], h["WARC-Refers-To-Target-URI"]))
+                else:
+                    assert hashlib.sha1(body).hexdigest() == h["WARC-Payload-Digest"].removeprefix("sha1:")
+            first = False
+    assert len(set(ids)) == len(ids) and {r for r, _ in refers} <= set(ids) and len(refers) == 26
+    assert pages == collections.Counter(i for i, _, _ in rows)
 
 
 PROSE = ["the quick brown fox jumps over the lazy dog near a river bank today", "rain falls on northern hills while shepherds count their sheep at dusk again", "many ships left the old harbour before winter storms closed every channel there"]
