@@ -205,39 +205,52 @@ def fit_variogram(xy: np.ndarray, z: np.ndarray, lags: int = 6) -> tuple[float,
     return best[1:]
 
 
-def krige(xy: np.ndarray, z: np.ndarray, to: np.ndarray, model: tuple[float, float, float]) -> np.ndarray:
-    """Ordinary kriging of z at xy to the points `to`, at most 4096 of them at a time."""
+def krige_weights(xy: np.ndarray, z: np.ndarray, model: tuple[float, float, float]) -> np.ndarray:
+    """What each station's semivariance to a point, and 1, count in the estimate there: ordinary kriging solved once."""
     n = len(z)
     a = np.ones((n + 1, n + 1))
     a[:n, :n] = spherical(np.sqrt(((xy[:, None] - xy) ** 2).sum(2)), *model)
     a[n, n] = 0
-    inverse = np.linalg.pinv(a)
-    weights_z = inverse[:, :n] @ z
+    return np.linalg.pinv(a)[:, :n] @ z
+
+
+def krige_at(xy: np.ndarray, weights: np.ndarray, to: np.ndarray, model: tuple[float, float, float]) -> np.ndarray:
+    """Estimates at the points `to`, at most 4096 of them at a time."""
     out = np.empty(len(to))
     for s in range(0, len(to), 4096):
-        b = np.ones((n + 1, len(to[s : s + 4096])))
-        b[:n] = spherical(np.sqrt(((xy[:, None] - to[s : s + 4096]) ** 2).sum(2)), *model)
-        out[s : s + 4096] = weights_z @ b
+        h = np.sqrt(((xy[:, None] - to[s : s + 4096]) ** 2).sum(2))
+        out[s : s + 4096] = weights[:-1] @ spherical(h, *model) + weights[-1]
     return out
 
 
+def krige(xy: np.ndarray, z: np.ndarray, to: np.ndarray, model: tuple[float, float, float]) -> np.ndarray:
+    """Ordinary kriging of z at xy to the points `to`."""
+    return krige_at(xy, krige_weights(xy, z, model), to, model)
+
+
 def ordinary_kriging(stations: DataFrame, keys: list[str], grid: DataFrame, value: str = "value") -> DataFrame:
     """Values of the stations (keys such as a date, lat, lon, value) on a grid (y, x, lat, lon) for each key, negatives as 0.
 
-    Stations of a key are few; the grid is dealt in tiles, so that a task has one key's stations and one tile.
+    Stations of a key are few. Variogram and weights are fitted once a key and travel to each tile of the grid, so that a
+    task has one key's weights and one tile.
     """
-    tiles = grid.withColumn("tile", F.floor(F.col("y") / 64) * 1_000_000 + F.floor(F.col("x") / 64))
-    every = stations.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.collect_list(F.struct("lon", "lat", F.col(value).alias("z"))).alias("known"))
-    # A key's stations travel to each tile once: the list of tiles is small beside the grid.
-    pairs = every.withColumn("tile", F.explode(F.lit([r[0] for r in tiles.select("tile").distinct().collect()])))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stations.schema if f.name in keys)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["lon", "lat"])
+        xy, z = pdf[["lon", "lat"]].to_numpy(float), pdf["z"].to_numpy(float)
+        model = (0.0, 0.0, 1.0) if len(z) < 3 or np.ptp(z) == 0 else fit_variogram(xy, z)
+        weights = np.r_[np.zeros(len(z)), z.mean()] if model[1] == 0 else krige_weights(xy, z, model)
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "xs": xy[:, 0], "ys": xy[:, 1], "weights": weights, "model": np.array(model)}])
+
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf["known"].iloc[0]
-        xy = np.array([[k["lon"], k["lat"]] for k in known], float)
-        z = np.array([k["z"] for k in known], float)
-        to = pdf[["lon", "lat"]].to_numpy(float)
-        out = np.full(len(to), z.mean()) if len(z) < 3 or np.ptp(z) == 0 else krige(xy, z, to, fit_variogram(xy, z))
+        one = pdf.iloc[0]
+        xy = np.column_stack([np.asarray(one["xs"], float), np.asarray(one["ys"], float)])
+        out = krige_at(xy, np.asarray(one["weights"], float), pdf[["lon", "lat"]].to_numpy(float), tuple(one["model"]))
         return pdf[[*keys, "y", "x"]].assign(estimate=np.maximum(out, 0.0))
 
-    joined = pairs.join(tiles, "tile")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stations.schema if f.name in keys)
+    known = stations.where(F.col(value).isNotNull()).select(*keys, "lon", "lat", F.col(value).alias("z"))
+    fitted = known.groupBy(*keys).applyInPandas(fit, f"{kinds}, xs array<double>, ys array<double>, weights array<double>, model array<double>")
+    tiles = grid.select("y", "x", "lat", "lon", (F.floor(F.col("y") / 64) * 1_000_000 + F.floor(F.col("x") / 64)).alias("tile"))
+    joined = fitted.crossJoin(tiles.select("tile").distinct()).join(tiles, "tile")
     return joined.groupBy(*keys, "tile").applyInPandas(fill, f"{kinds}, y int, x int, estimate double")
