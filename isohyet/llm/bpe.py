@@ -46,7 +46,7 @@ class Element:
     __slots__ = ("a", "b", "parts")
 
     def __init__(self, a: int, b: int, parts: list):
-        self.a, self.b, self.parts = a, b, parts  # parts: (start, end, ids) of runs of whole matches, in order
+        self.a, self.b, self.parts = a, b, parts  # parts: (start, end, packed ids) of runs of whole matches, in order
 
 
 #: Characters at either end of a leaf within which matches are kept one by one, for joins.
@@ -55,9 +55,17 @@ _EDGE = 48
 _REACH = 3
 
 
-def _piece(text: str, start: int, end: int, encoding) -> np.ndarray:
-    """Ids of one match; alone it is one match too."""
-    return encoding.encode_to_numpy(text[start:end], disallowed_special=())
+def _packed(text: str, encoding) -> bytes:
+    return encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
+#: Matches are mostly the same short words; longer ones are not remembered, so that memory stays bounded.
+_remembered, _SHORT = lru_cache(maxsize=1 << 15)(_packed), 24
+
+
+def _piece(text: str, start: int, end: int, encoding) -> bytes:
+    """Packed ids of one match; alone it is one match too."""
+    return (_remembered if end - start <= _SHORT else _packed)(text[start:end], encoding)
 
 
 def _pieces(text: str, a: int, b: int, encoding, pattern) -> list:
@@ -68,7 +76,7 @@ def leaf(text: str, a: int, b: int, encoding, pattern) -> Element:
     """Matches next to the ends one by one, those between as one run. A space between a non-space and a letter always starts a match."""
     if b - a > 4 * _EDGE and (h := _SYNC.search(text, a + _EDGE, a + 2 * _EDGE)) and (t := _SYNC.search(text, b - 2 * _EDGE, b - _EDGE)):
         h, t = h.start(), t.start()
-        return Element(a, b, [*_pieces(text, a, h, encoding, pattern), (h, t, _piece(text, h, t, encoding)), *_pieces(text, t, b, encoding, pattern)])
+        return Element(a, b, [*_pieces(text, a, h, encoding, pattern), (h, t, _packed(text[h:t], encoding)), *_pieces(text, t, b, encoding, pattern)])
     return Element(a, b, _pieces(text, a, b, encoding, pattern))
 
 
@@ -112,7 +120,7 @@ def _compact(e: Element) -> Element:
     if high - low < 1:
         return e
     inner = e.parts[low : high + 1]
-    return Element(e.a, e.b, [*e.parts[:low], (inner[0][0], inner[-1][1], np.concatenate([p[2] for p in inner])), *e.parts[high + 1 :]])
+    return Element(e.a, e.b, [*e.parts[:low], (inner[0][0], inner[-1][1], b"".join([p[2] for p in inner])), *e.parts[high + 1 :]])
 
 
 def _reduce(text: str, a: int, b: int, leaf_chars: int, encoding, pattern) -> Element:
@@ -126,7 +134,7 @@ def encode_text(text: str, encoding, pattern, leaf_chars: int = LEAF) -> np.ndar
     """Ids of text. A text of one leaf needs no join."""
     if len(text) <= leaf_chars:
         return encoding.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
-    return np.concatenate([p[2] for p in _reduce(text, 0, len(text), leaf_chars, encoding, pattern).parts])
+    return np.frombuffer(b"".join([p[2] for p in _reduce(text, 0, len(text), leaf_chars, encoding, pattern).parts]), "<u4")
 
 
 def decode_ids(ids: list[int], tokens: list[bytes]) -> bytes:
