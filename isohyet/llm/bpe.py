@@ -1,12 +1,14 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-A text is cut into leaves of bounded length; each leaf's encoding is an element (span, matches of the split pattern,
-their ids), and neighbours are joined up a balanced tree. The pattern's matches depend only on the characters from a
-match's start up to one character after its end, or two more for a contraction. So in the left half every match that
-starts and ends before its last characters is final, and as soon as a match of the joined text starts where one of the
-right half does, the right half's matches from there on are those of the joined text. Joining re-encodes a window that
-begins after the left's last final match and grows, doubling, until it meets such a start; the tokens outside it are then
-proved stable. Each match is merged by the ranks on its own, as the public tiktoken library does. Decoding concatenates the tokens' bytes up the tree.
+A text is cut into leaves of bounded length; each leaf's encoding is an element: the ids between its first and its last
+stable boundary, and the unsettled characters before and after. Neighbours are joined up a balanced tree: the window from
+the left's last stable boundary to the right's first is re-encoded, the ids outside it are kept. A side without a
+boundary settles nothing, so that the window grows over it, up the tree, until both of its ends are stable.
+
+A boundary is stable where a letter is followed by neither letter, mark nor apostrophe, or a digit by no digit. No match
+of the split patterns of the public byte-level vocabularies goes on across one, none before it looks beyond it, and no
+pattern looks back, so the matches of both sides are those of the whole text. Each match is merged by the ranks on its
+own, as the public tiktoken library does. Decoding concatenates the tokens' bytes up the tree.
 
 Defined results: a null text is an empty one: no ids, no bytes. Ids are packed as little-endian unsigned 32-bit integers, or 16-bit ones where asked.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ LEAF = 1024
 
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str):
-    """The public library's encoder for a rank file, the compiled pattern, and each id's bytes."""
+    """The public library's encoder for a rank file, and each id's bytes."""
     import tiktoken
 
     with open(path, "rb") as f:
@@ -37,104 +40,60 @@ def codec(path: str, pattern: str):
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         tokens[i] = token
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), regex.compile(pattern), tokens
-
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), tokens
 
-class Element:
-    """The encoding of text[a:b]: ids, and the starts of the pattern's matches within reach of either end."""
 
-    __slots__ = ("a", "b", "parts")
+#: Positions that are stable boundaries.
+_STABLE = regex.compile(r"(?<=\p{L})(?=[^\p{L}\p{M}'\u2019])|(?<=\p{N})(?=\P{N})")
 
-    def __init__(self, a: int, b: int, parts: list):
-        self.a, self.b, self.parts = a, b, parts  # parts: (start, end, packed ids) of runs of whole matches, in order
 
+class Element(NamedTuple):
+    """The encoding of text[a:b]: packed ids of text[head:tail] in runs, both ends stable; head and tail are None where no boundary is."""
 
-#: Characters at either end of a leaf within which matches are kept one by one, for joins.
-_EDGE = 48
-#: A match that ends a character before a string's end is final unless it starts within this many of it: the longest contraction.
-_REACH = 3
+    a: int
+    b: int
+    head: int | None
+    tail: int | None
+    runs: list[bytes]
 
 
 def _packed(text: str, encoding) -> bytes:
     return encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
-#: Matches are mostly the same short words; longer ones are not remembered, so that memory stays bounded.
-_remembered, _SHORT = lru_cache(maxsize=1 << 15)(_packed), 24
-
-
-def _piece(text: str, start: int, end: int, encoding) -> bytes:
-    """Packed ids of one match; alone it is one match too."""
-    return (_remembered if end - start <= _SHORT else _packed)(text[start:end], encoding)
-
-
-def _pieces(text: str, a: int, b: int, encoding, pattern) -> list:
-    return [(m.start(), m.end(), _piece(text, m.start(), m.end(), encoding)) for m in pattern.finditer(text, a, b)]
-
-
-def leaf(text: str, a: int, b: int, encoding, pattern) -> Element:
-    """Matches next to the ends one by one, those between as one run. A space between a non-space and a letter always starts a match."""
-    if b - a > 4 * _EDGE and (h := _SYNC.search(text, a + _EDGE, a + 2 * _EDGE)) and (t := _SYNC.search(text, b - 2 * _EDGE, b - _EDGE)):
-        h, t = h.start(), t.start()
-        return Element(a, b, [*_pieces(text, a, h, encoding, pattern), (h, t, _packed(text[h:t], encoding)), *_pieces(text, t, b, encoding, pattern)])
-    return Element(a, b, _pieces(text, a, b, encoding, pattern))
-
-
-_SYNC = regex.compile(r"(?<=\S) (?=\p{L})")
-
-
-def join(text: str, x: Element, y: Element, encoding, pattern) -> Element:
-    """x and y joined by re-encoding a growing window at their boundary."""
-    if not x.parts or not y.parts:
-        return Element(x.a, y.b, x.parts + y.parts)
-    left = list(x.parts)
-    while left and (left[-1][1] >= x.b or left[-1][0] > x.b - _REACH):  # these may reach on
-        left.pop()
-    begin = left[-1][1] if left else x.a
-    width, window = 48, []
-    while True:
-        end = min(y.b, y.a + width)
-        starts = {p[0]: k for k, p in enumerate(y.parts) if p[0] < end}
-        window, at, met = [], begin, None
-        for m in pattern.finditer(text, begin, end):
-            if m.start() >= y.a and m.start() in starts:
-                met = starts[m.start()]
-                break
-            if end < y.b and (m.end() >= end or m.start() > end - _REACH):
-                break  # it may reach beyond the window
-            window.append(m.span())
-            at = m.end()
-        if met is not None:
-            new = [(s, e, _piece(text, s, e, encoding)) for s, e in window]
-            return Element(x.a, y.b, left + new + y.parts[met:])
-        if end == y.b:
-            assert at == y.b
-            return Element(x.a, y.b, left + [(s, e, _piece(text, s, e, encoding)) for s, e in window])
+def leaf(text: str, a: int, b: int, encoding) -> Element:
+    if not (first := _STABLE.search(text, a, b)):
+        return Element(a, b, None, None, [])
+    width, last = 32, None
+    while last is None:  # at the latest found where the first was
+        for last in _STABLE.finditer(text, max(a, b - width), b):
+            pass
         width *= 2
+    return Element(a, b, first.start(), last.start(), [_packed(text[first.start() : last.start()], encoding)])
 
 
-def _compact(e: Element) -> Element:
-    """Parts far from both ends become one."""
-    low = next((k for k, p in enumerate(e.parts) if p[0] >= e.a + _EDGE), len(e.parts))
-    high = next((k for k in range(len(e.parts) - 1, -1, -1) if e.parts[k][1] <= e.b - _EDGE), -1)
-    if high - low < 1:
-        return e
-    inner = e.parts[low : high + 1]
-    return Element(e.a, e.b, [*e.parts[:low], (inner[0][0], inner[-1][1], b"".join([p[2] for p in inner])), *e.parts[high + 1 :]])
+def join(text: str, x: Element, y: Element, encoding) -> Element:
+    """x and y joined by re-encoding the window between their stable boundaries; it grows over a side that has none."""
+    if x.head is None:
+        return y._replace(a=x.a)
+    if y.head is None:
+        return x._replace(b=y.b)
+    return Element(x.a, y.b, x.head, y.tail, [*x.runs, _packed(text[x.tail : y.head], encoding), *y.runs])
 
 
-def _reduce(text: str, a: int, b: int, leaf_chars: int, encoding, pattern) -> Element:
+def _reduce(text: str, a: int, b: int, leaf_chars: int, encoding) -> Element:
     if b - a <= leaf_chars:
-        return leaf(text, a, b, encoding, pattern)
+        return leaf(text, a, b, encoding)
     half = (a + b) // 2
-    return _compact(join(text, _reduce(text, a, half, leaf_chars, encoding, pattern), _reduce(text, half, b, leaf_chars, encoding, pattern), encoding, pattern))
+    return join(text, _reduce(text, a, half, leaf_chars, encoding), _reduce(text, half, b, leaf_chars, encoding), encoding)
 
 
-def encode_text(text: str, encoding, pattern, leaf_chars: int = LEAF) -> np.ndarray:
-    """Ids of text. A text of one leaf needs no join."""
-    if len(text) <= leaf_chars:
-        return encoding.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
-    return np.frombuffer(b"".join([p[2] for p in _reduce(text, 0, len(text), leaf_chars, encoding, pattern).parts]), "<u4")
+def encode_text(text: str, encoding, leaf_chars: int = LEAF) -> np.ndarray:
+    """Ids of text. The ends of the whole text are stable too."""
+    root = _reduce(text, 0, len(text), leaf_chars, encoding)
+    if root.head is None:
+        return np.frombuffer(_packed(text, encoding), "<u4")
+    return np.frombuffer(b"".join([_packed(text[: root.head], encoding), *root.runs, _packed(text[root.tail :], encoding)]), "<u4")
 
 
 def decode_ids(ids: list[int], tokens: list[bytes]) -> bytes:
@@ -155,14 +114,14 @@ def encode(df: DataFrame, text: str = "text", *, path: str, pattern: str, ids: s
     df = df.select(*rest, F.coalesce(text, F.lit("")).alias(ids))
 
     def run(batches):
-        encoding, compiled = codec(path, pattern)[:2]
+        encoding = codec(path, pattern)[0]
         if encoding.max_token_value >= 256**width:
             raise ValueError(f"ids up to {encoding.max_token_value} do not fit {width} bytes")
         for b in batches:
-            packed = [encode_text(t.as_py(), encoding, compiled, leaf_chars).astype(kind).tobytes() for t in b[ids]]
+            packed = [encode_text(t.as_py(), encoding, leaf_chars).astype(kind).tobytes() for t in b[ids]]
             out = [*(b[c] for c in rest), pa.array(packed, pa.binary())]
             if decoded:
-                tokens = codec(path, pattern)[2]
+                tokens = codec(path, pattern)[1]
                 out.append(pa.array([decode_ids(np.frombuffer(x, kind).tolist(), tokens) for x in packed], pa.binary()))
             yield pa.RecordBatch.from_arrays(out, [*rest, ids, *([decoded] if decoded else [])])
         trim()
@@ -177,7 +136,7 @@ def decode(df: DataFrame, ids: str = "ids", *, path: str, pattern: str, decoded:
     df = df.select(*rest)
 
     def run(batches):
-        tokens = codec(path, pattern)[2]
+        tokens = codec(path, pattern)[1]
         for b in batches:
             out = [decode_ids(np.frombuffer(x or b"", "<u4").tolist(), tokens) for x in b[ids].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in rest), pa.array(out, pa.binary())], [*rest, decoded])

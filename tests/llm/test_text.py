@@ -138,20 +138,28 @@ def codec():
 
 @pytest.mark.parametrize("leaf", [1, 2, 5, 17, 400])
 def test_tree_encoding(codec, leaf):
-    encoding, pattern, tokens = codec
+    encoding, tokens = codec
     r = random.Random(leaf)
-    parts = ["a", "b", "'s", "'re", "'ll", "'", " ", "  ", "\n", "\t", "1", "23", "é", "中", "!", "?!", "🙂", "x" * 40, " " * 30, "\u3000", "\u0301", "\r\n", "<|endoftext|>"]
+    parts = ["a", "b", "'s", "'re", "'ll", "'", " ", "  ", "\n", "\t", "1", "23", "é", "中", "!", "?!", "🙂", "x" * 40, " " * 30, "\u3000", "\u0301", "\r\n", "<|endoftext|>", "\u2019s", "٣", "\u00b2", "\x1f"]
     for _ in range(400):
         s = "".join(r.choice(parts) for _ in range(r.randint(0, 80)))
-        ids = bpe.encode_text(s, encoding, pattern, leaf).tolist()
+        ids = bpe.encode_text(s, encoding, leaf).tolist()
         assert ids == encoding.encode_ordinary(s)
         assert bpe.decode_ids(ids, tokens) == s.encode()
 
 
 def test_long_pieces(codec):
-    encoding, pattern, _ = codec
+    encoding, _ = codec
     for s in ("a" * 100_000, " " * 70_000, "ab " * 30_000, "word. " * 20_000 + "é" * 9000):
-        assert bpe.encode_text(s, encoding, pattern).tolist() == encoding.encode_ordinary(s)
+        assert bpe.encode_text(s, encoding).tolist() == encoding.encode_ordinary(s)
+
+
+def test_windows_grow_over_sides_without_a_boundary(codec):
+    encoding, _ = codec
+    for s in ("." * 3000 + "a b", "a b" + "'" * 3000, "a b" + " !" * 2000 + "c d", "中" * 5000, "é\u0301" * 900 + " x"):
+        x = bpe._reduce(s, 0, len(s), 64, encoding)
+        assert x.head is None or b"".join(x.runs) == bpe._packed(s[x.head : x.tail], encoding)
+        assert bpe.encode_text(s, encoding, 64).tolist() == encoding.encode_ordinary(s)
 
 
 def test_codec_columns(spark, codec):
