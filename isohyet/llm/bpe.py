@@ -16,6 +16,7 @@ Defined results: a null text is an empty one: no ids, no bytes. Ids are packed a
 from __future__ import annotations
 
 import base64
+import struct
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -58,18 +59,31 @@ class Element(NamedTuple):
 
 
 def _packed(text: str, encoding) -> bytes:
-    return encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+    """Packed ids; the call without special tokens does not look for them."""
+    ids = encoding.encode_ordinary(text)
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def leaf(text: str, a: int, b: int, encoding) -> Element:
+def _boundaries(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """Two stable boundaries of text[a:b] next to its ends: the outermost spaces if both follow a letter or digit, else the first and the last of all."""
+    head, tail = text.find(" ", a, b), text.rfind(" ", a, b)
+    if 0 < head < tail and text[head - 1].isalnum() and text[tail - 1].isalnum():
+        return head, tail
     if not (first := _STABLE.search(text, a, b)):
-        return Element(a, b, None, None, [])
+        return None
     width, last = 32, None
     while last is None:  # at the latest found where the first was
         for last in _STABLE.finditer(text, max(a, b - width), b):
             pass
         width *= 2
-    return Element(a, b, first.start(), last.start(), [_packed(text[first.start() : last.start()], encoding)])
+    return first.start(), last.start()
+
+
+def leaf(text: str, a: int, b: int, encoding) -> Element:
+    """What lies between the leaf's stable boundaries, encoded."""
+    if not (ends := _boundaries(text, a, b)):
+        return Element(a, b, None, None, [])
+    return Element(a, b, *ends, [_packed(text[ends[0] : ends[1]], encoding)])
 
 
 def join(text: str, x: Element, y: Element, encoding) -> Element:
