@@ -30,8 +30,8 @@ from .storage import attempt_name, open_fs
 #: Document id, part, number of ids.
 _HEADER, _HEADER_BYTES = "<qII", 16
 _NULL = 1 << 31
-#: Level of zstd for ids on disk between the passes, and bytes of ids that a task compresses together, a block for each shard.
-LEVEL, TOGETHER = 9, 16 << 20
+#: Level of zstd for ids on disk between the passes, bytes of a page of them, and bytes of ids that a task compresses together, a block for each shard.
+LEVEL, PAGE, TOGETHER = 9, 8 << 20, 16 << 20
 _U = np.uint64
 
 
@@ -69,7 +69,7 @@ def materialise(df: DataFrame, folder: str, length: int, width: int = 1, shard_b
     """
     df = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids"))
     if not is_table:
-        df = cut(df, "order-ids", **{"compression": "zstd", "parquet.compression.codec.zstd.level": str(LEVEL)})
+        df = cut(df, "order-ids", **{"compression": "zstd", "parquet.compression.codec.zstd.level": str(LEVEL), "parquet.page.size": str(PAGE)})
     fs, root = open_fs(folder)
     fs.create_dir(root, recursive=True)
     step, stride, keys = length * width, _HEADER_BYTES + length * width, round_keys(seed)
