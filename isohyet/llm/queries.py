@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, jaccard, mixing, ordering, sharding, topk, toxicity, urlfilter, vectors, warc
+from . import ann, bpe, divergence, filteraudit, jaccard, mixing, ordering, sharding, simhash, topk, toxicity, urlfilter, vectors, warc
 from .runtime import ship, table
 
 #: The URL rules of op10 as host, path, verdict.
@@ -81,6 +81,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The divergences of all sources of a lang, and each source's terms that diverge most from the lang's."""
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their SimHash and the component of those at most four bits apart."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents, in every order."""
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP5_SQL = r"""
 WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 sized AS (SELECT page_id, body, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM bodies),
@@ -110,6 +125,45 @@ SELECT * FROM ranked WHERE rank <= 20
 """
 
 
+#: DuckDB's // is exact on integers. Terms per lang and source, those kept, and every pair of sources over every kept term.
+OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms FROM documents),
+words AS (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(terms) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS total FROM words GROUP BY ALL HAVING count(*) >= 10),
+counts AS (SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n FROM words GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+filled AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+summed AS (SELECT *, CAST(sum(n) OVER (PARTITION BY lang, source) AS BIGINT) AS whole FROM filled),
+chances AS (SELECT s.lang, source, term, s.n, 1 + (1000000000 * (s.n + 2)) // (whole + 2 * v) AS p, 1 + (1000000000 * (total + 2)) // (l.n + 2 * v) AS q FROM summed s JOIN langs l ON s.lang = l.lang),
+sums AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value FROM chances a JOIN chances b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM chances WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH base AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+worded AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM base),
+marked AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+flags AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN x.doc_id > min(x.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM worded x LEFT JOIN marked m ON x.doc_id = m.doc_id),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM flags GROUP BY ALL),
+f(name, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before FROM orders, (VALUES (1), (2), (3), (4), (5)) s(step)),
+done AS (SELECT part, filter_order, step, bit, CAST(sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN mask & bit > 0 AND mask & before > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM counts, steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM done
+"""
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -119,5 +173,5 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_exact_topk, op2_ngram_jaccard, op3_training_order, op4_mix_sources, op5_warc, op6_byte_bpe, op7_shard, op8_toxicity, op9_ann, op10_url_filter)}
-ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_mix_sources": mixing.ORACLE_SQL, "op5_warc": OP5_SQL, "op10_url_filter": OP10_SQL}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_exact_topk, op2_ngram_jaccard, op3_training_order, op4_mix_sources, op5_warc, op6_byte_bpe, op7_shard, op8_toxicity, op9_ann, op10_url_filter, op11_source_divergence, op12_simhash, op13_filter_audit)}
+ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_mix_sources": mixing.ORACLE_SQL, "op5_warc": OP5_SQL, "op10_url_filter": OP10_SQL, "op11_source_divergence": OP11_SQL, "op13_filter_audit": OP13_SQL}
