@@ -1,12 +1,15 @@
-"""Statistics of a whole series held as an array of doubles in time order, in the JVM.
+"""Statistics of a whole series held as an array of doubles in time order.
 
-One shuffle gathers a series; pairs of its elements are formed inside the row, never as rows. For series of many
-hundred steps the numpy kernels in isohyet.operators.kernels do the same faster.
+One shuffle gathers a series. What depends on all pairs of its values is counted by the kernels of
+isohyet.operators.kernels.ranks, in O(n log^2 n) time and O(n log n) memory, a batch of series a call.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from ..operators.kernels import ranks
 
 
 def gather(df: DataFrame, keys: list[str], time: str, value: str, name: str = "series") -> DataFrame:
@@ -24,35 +27,49 @@ def filled(x: Column) -> Column:
     return F.when(varied, F.transform(x, lambda v: F.when(v.isNotNull() & ~F.isnan(v), v).otherwise(mean)))
 
 
-def _sum(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("s", "var_s", "sen")]))
+def trend(x: pd.Series) -> pd.DataFrame:
+    """Mann-Kendall S, its variance with the correction for ties, and Sen's slope; null for null series."""
+    rows = [(None, None, None) if v is None else (float(ranks.trend_sum(v)), ranks.trend_variance(v), ranks.sen_slope(v)) for v in x]
+    return pd.DataFrame(rows, columns=["s", "var_s", "sen"], dtype="float64")
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def prewhitened(x: pd.Series) -> pd.Series:
+    """Without its lag-1 correlation, which is that of what Sen's slope leaves, the trend put back; one value shorter."""
+    return x.map(ranks.prewhitened)
 
 
-def _at(x: Column, i: Column) -> Column:
-    return F.element_at(x, (i + 1).cast("int"))
+def _sequential(textbook: bool):
+    @F.pandas_udf("uf array<double>, ub array<double>")
+    def both(x: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([ranks.sequential(v, textbook) for v in x], columns=["uf", "ub"])
 
+    return both
 
-def _index(x: Column, start: int = 0, less: int = 1) -> Column:
-    """start .. size - less, none if that is below start."""
-    return F.filter(F.sequence(F.lit(start), F.greatest(F.size(x) - less, F.lit(start))), lambda i: i <= F.size(x) - less)
 
+def sequential_mk(x: Column, textbook: bool = False) -> Column:
+    """struct(uf, ub) of the sequential Mann-Kendall test.
 
-def running_sum(x: Column) -> Column:
-    start = F.struct(F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("out"))
-    step = lambda a, v: F.struct((a["last"] + v).alias("last"), F.array_append(a["out"], a["last"] + v).alias("out"))
-    return F.aggregate(x, start, step, lambda a: a["out"])
+    The expectation is (i + 1)(i + 2) / 4 for place i from 0, or n(n - 1) / 4 with n = i + 1 if textbook.
+    """
+    return _sequential(textbook)(x)
 
 
-def mk_s(x: Column) -> Column:
-    """Mann-Kendall S: sum of the signs of later minus earlier values."""
-    return _sum(F.transform(_index(x), lambda i: _sum(F.transform(F.slice(x, i + 1, F.size(x)), lambda v: F.signum(v - _at(x, i))))))
+def slowing(trigger: int):
+    """f(x, ac): the least ac at the crossings after `trigger` whose Sen slope before exceeds the one after."""
 
+    @F.pandas_udf("double")
+    def least(x: pd.Series, ac: pd.Series) -> pd.Series:
+        out = []
+        for v, c in zip(x, ac, strict=True):
+            at = ranks.crossings(*ranks.sequential(v))
+            falls = [k for k in at[at > trigger] if ranks.sen_slope(v[:k]) > ranks.sen_slope(v[k + 1 :])]
+            found = [c[k] for k in falls if c[k] is not None and c[k] == c[k]]
+            out.append(min(found, default=None))
+        return pd.Series(out, dtype="float64")
 
-def mk_variance(x: Column) -> Column:
-    """Variance of S with its correction for ties."""
-    n = F.size(x).cast("double")
-    ties = F.transform(F.array_distinct(x), lambda v: F.size(F.filter(x, lambda w: w == v)).cast("double"))
-    return (n * (n - 1) * (2 * n + 5) - _sum(F.transform(ties, lambda t: t * (t - 1) * (2 * t + 5)))) / 18
+    return least
 
 
 def mk_z(s: Column, variance: Column) -> Column:
@@ -63,56 +80,8 @@ def mk_tau(s: Column, n: Column) -> Column:
     return F.try_divide(s, n * (n - 1) / 2)
 
 
-def median(x: Column) -> Column:
-    """Midpoint of the sorted values, between the middle two if even."""
-    y, n = F.array_sort(x), F.size(x)
-    return F.when(n > 0, (F.element_at(y, F.floor((n + 1) / 2).cast("int")) + F.element_at(y, F.floor(n / 2 + 1).cast("int"))) / 2)
-
-
-def pair_slopes(x: Column) -> Column:
-    """Slopes between all pairs, by position."""
-    return F.flatten(F.transform(_index(x), lambda i: F.transform(_index(x), lambda j: F.when(j > i, (_at(x, j) - _at(x, i)) / (j - i)))))
-
-
-def sen_slope(x: Column) -> Column:
-    return median(F.filter(pair_slopes(x), lambda v: v.isNotNull()))
-
-
-def pettitt_u(x: Column) -> Column:
-    """Running sums, from the second value on, of the signs of the value minus each other one."""
-    return running_sum(F.transform(_index(x, 1), lambda t: _sum(F.transform(x, lambda v: F.signum(_at(x, t) - v)))))
-
-
-def pettitt(u: Column) -> Column:
-    """struct(k, u, p, class) of the running sums u: the place of the largest |u| from 0, u there, its probability, and 0, 1 (p < .05), 2 (p < .01)."""
-    n = (F.size(u) + 1).cast("double")
-    best = F.array_max(F.transform(u, lambda v, i: F.struct(F.abs(v).alias("size"), (-i).alias("back"), v.alias("u"))))
-    p = 2 * F.exp(-6 * best["u"] * best["u"] / (n * n * n + n * n))
-    return F.struct((-best["back"]).cast("int").alias("k"), best["u"].alias("u"), p.alias("p"), F.when(p < 0.01, 2).when(p < 0.05, 1).otherwise(0).alias("class"))
-
-
-def prefix_counts(x: Column) -> Column:
-    """For each place i, how many pairs up to it rise: earlier value below later one."""
-    rises = F.transform(_index(x), lambda a: F.size(F.filter(F.slice(x, F.lit(1), a), lambda v: v < _at(x, a))).cast("double"))
-    return running_sum(rises)
-
-
-def sequential_mk(x: Column, textbook: bool = False) -> tuple[Column, Column]:
-    """UF and UB of the sequential Mann-Kendall test.
-
-    The expectation is (i + 1)(i + 2) / 4 for place i from 0, or n(n - 1) / 4 with n = i + 1 if textbook.
-    """
-
-    def forward(y: Column) -> Column:
-        s = prefix_counts(y)
-        n = lambda i: (i + 1).cast("double")
-        e = lambda i: n(i) * (n(i) - 1) / 4 if textbook else n(i) * (n(i) + 1) / 4
-        return F.transform(s, lambda v, i: F.when(i == 0, 0.0).otherwise((v - e(i)) / F.sqrt(n(i) * (n(i) - 1) * (2 * n(i) + 5) / 72)))
-
-    return forward(x), F.reverse(F.transform(forward(F.reverse(x)), lambda v: -v))
-
-
-def crossings(uf: Column, ub: Column) -> Column:
-    """Places k at which UF - UB has changed its sign since k - 1."""
-    d = F.transform(F.arrays_zip(uf.alias("a"), ub.alias("b")), lambda p: p["a"] - p["b"])
-    return F.filter(_index(d, 1), lambda k: _at(d, k - 1) * _at(d, k) < 0)
+def pettitt(best: Column, n: Column) -> Column:
+    """struct(k, u, p, class) of the largest running sum, struct(size, back = -place, u): its place, itself, its probability, and 0, 1 (p < .05), 2 (p < .01)."""
+    u = best["u"]
+    p = 2 * F.exp(-6 * u * u / (n * n * n + n * n))
+    return F.struct((-best["back"]).cast("int").alias("k"), u.alias("u"), p.alias("p"), F.when(p < 0.01, 2).when(p < 0.05, 1).otherwise(0).alias("class"))

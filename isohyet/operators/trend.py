@@ -10,10 +10,10 @@ from ..functions import calendar as C, series as S
 def mann_kendall(df: DataFrame, keys: list[str], time: str = "date", value: str = "value") -> DataFrame:
     """S, its variance, Z, Kendall's tau, Sen's slope and the significance class of each series; null for constant or empty ones."""
     x = S.gather(df, keys, time, value).withColumn("x", S.filled(F.col("series")))
-    out = x.withColumns({"n": F.size("series"), "s": S.mk_s(F.col("x")), "var_s": S.mk_variance(F.col("x")), "sen": S.sen_slope(F.col("x"))})
+    out = x.withColumn("t", S.trend("x")).select(*keys, "x", F.size("series").alias("n"), "t.*")
     out = out.withColumns({k: F.when(F.col("x").isNotNull(), F.col(k)) for k in ("s", "var_s", "sen")})
     out = out.withColumn("z", F.when(F.col("x").isNotNull(), S.mk_z(F.col("s"), F.col("var_s"))))
-    return out.withColumns({"tau": S.mk_tau(F.col("s"), F.col("n")), "class": C.significance(F.col("z"))}).drop("series", "x")
+    return out.withColumns({"tau": S.mk_tau(F.col("s"), F.col("n")), "class": C.significance(F.col("z"))}).drop("x")
 
 
 def sen_interval(df: DataFrame, z: float = 1.96) -> DataFrame:
@@ -25,38 +25,33 @@ def pettitt(df: DataFrame, keys: list[str], time: str = "date", value: str = "va
     """The change point of each series; prewhiten takes out trend and lag-1 correlation first (trend-free pre-whitening)."""
     x = S.gather(df, keys, time, value).withColumn("x", S.filled(F.col("series"))).where("x is not null")
     if prewhiten:
-        x = x.withColumn("slope", S.sen_slope(F.col("x")))
-        x = x.withColumn("flat", F.transform("x", lambda v, i: v - F.col("slope") * i))
-        mean = F.aggregate("flat", F.lit(0.0), lambda a, v: a + v) / F.size("flat")
-        x = x.withColumn("c", F.transform("flat", lambda v: v - mean))
-        pairs = F.arrays_zip(F.slice("c", F.lit(1), F.size("c") - 1).alias("a"), F.slice("c", F.lit(2), F.size("c") - 1).alias("b"))
-        r = F.try_divide(F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["a"] * p["b"]), F.aggregate("c", F.lit(0.0), lambda a, v: a + v * v))
-        x = x.withColumn("r", r)
-        x = x.withColumn("x", F.transform(F.sequence(F.lit(1), F.size("flat") - 1), lambda i: F.element_at("flat", i + 1) - F.col("r") * F.element_at("flat", i) + F.col("slope") * i))
-    x = x.withColumn("u", S.pettitt_u(F.col("x")))
-    return x.select(*keys, S.pettitt(F.col("u")).alias("p")).select(*keys, "p.*")
+        x = x.withColumn("x", S.prewhitened("x"))
+    # The signs of a value minus each other one sum to the values below it minus those above: both follow from its rank.
+    rows = x.select(*keys, F.posexplode("x").alias("place", "v"))
+    series, tied = W.partitionBy(*keys), W.partitionBy(*keys, "v")
+    rows = rows.withColumn("sign", 2.0 * (F.rank().over(series.orderBy("v")) - 1) + F.count(F.lit(1)).over(tied) - F.count(F.lit(1)).over(series))
+    upto = series.orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    u = F.sum(F.when(F.col("place") > 0, F.col("sign")).otherwise(0.0)).over(upto)
+    rows = rows.withColumn("u", u).where("place > 0")
+    best = rows.groupBy(*keys).agg(F.max(F.struct(F.abs("u").alias("size"), (1 - F.col("place")).alias("back"), "u")).alias("best"), (F.count(F.lit(1)) + 1).cast("double").alias("n"))
+    return best.select(*keys, S.pettitt(F.col("best"), F.col("n")).alias("p")).select(*keys, "p.*")
 
 
 def sequential_mk(df: DataFrame, keys: list[str], time: str = "date", value: str = "value", textbook: bool = False) -> DataFrame:
     """UF, UB and whether they cross, a row a step (place from 0)."""
     x = S.gather(df, keys, time, value).withColumn("x", S.filled(F.col("series"))).where("x is not null")
-    uf, ub = S.sequential_mk(F.col("x"), textbook)
-    x = x.withColumns({"uf": uf, "ub": ub})
-    x = x.withColumn("cross", S.crossings(F.col("uf"), F.col("ub")))
-    rows = x.select(*keys, "cross", F.posexplode(F.arrays_zip("uf", "ub")).alias("place", "u"))
-    return rows.select(*keys, "place", "u.uf", "u.ub", F.array_contains("cross", F.col("place")).alias("crossing"))
+    x = x.withColumn("u", S.sequential_mk(F.col("x"), textbook))
+    rows = x.select(*keys, F.posexplode(F.arrays_zip("u.uf", "u.ub")).alias("place", "u")).select(*keys, "place", "u.uf", "u.ub")
+    gap = F.col("uf") - F.col("ub")
+    turned = gap * F.lag(gap).over(W.partitionBy(*keys).orderBy("place")) < 0
+    return rows.withColumn("crossing", F.coalesce(turned, F.lit(False)))
 
 
 def slowing_points(df: DataFrame, keys: list[str], ac: str, trigger: int, time: str = "date", value: str = "value") -> DataFrame:
     """Least `ac` at the crossings after `trigger` whose Sen slope before exceeds the one after; null if there is none."""
     x = S.gather(df, keys, time, value).withColumn("x", S.filled(F.col("series")))
     x = x.join(S.gather(df, keys, time, ac, "ac"), keys).where("x is not null")
-    uf, ub = S.sequential_mk(F.col("x"))
-    x = x.withColumns({"uf": uf, "ub": ub})
-    x = x.withColumn("at", F.filter(S.crossings(F.col("uf"), F.col("ub")), lambda k: k > trigger))
-    falls = lambda k: S.sen_slope(F.slice("x", F.lit(1), k)) > S.sen_slope(F.slice("x", k + 2, F.size("x")))
-    least = F.array_min(F.transform(F.filter("at", falls), lambda k: F.element_at("ac", k + 1)))
-    return x.select(*keys, least.alias("least_ac"))
+    return x.select(*keys, S.slowing(trigger)("x", "ac").alias("least_ac"))
 
 
 def split_at(df: DataFrame, keys: list[str], place: str, point: str) -> DataFrame:

@@ -75,7 +75,16 @@ def pettitt_change_point(spark, sf):
     return rounded(R.pettitt(I.monthly(spark, sf), ["station"]), "p")
 
 
-@query()
+@query(f"""WITH {I.MONTHLY}, q AS (SELECT station, value, row_number() OVER (PARTITION BY station ORDER BY date) - 1 AS i FROM m),
+sn AS (SELECT a.station, median((b.value - a.value) / (b.i - a.i)) AS sen FROM q a JOIN q b ON a.station = b.station AND a.i < b.i GROUP BY 1),
+fl AS (SELECT station, i, sen, value - sen * i AS flat FROM q JOIN sn USING (station)), ce AS (SELECT *, flat - avg(flat) OVER (PARTITION BY station) AS c, lag(flat) OVER (PARTITION BY station ORDER BY i) AS prev FROM fl),
+rr AS (SELECT station, sum(c * c1) / sum(c * c) AS r FROM (SELECT station, c, lag(c) OVER (PARTITION BY station ORDER BY i) AS c1 FROM ce) GROUP BY 1),
+o AS (SELECT station, i - 1 AS i, flat - r * prev + sen * i AS value, count(*) OVER (PARTITION BY station) AS n FROM ce JOIN rr USING (station) WHERE i > 0),
+st AS (SELECT a.station, a.i, a.n, sum(sign(a.value - b.value)) AS s FROM o a JOIN o b ON a.station = b.station WHERE a.i >= 1 GROUP BY ALL),
+u AS (SELECT station, i - 1 AS k, n, sum(s) OVER (PARTITION BY station ORDER BY i) AS u FROM st),
+best AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY abs(u) DESC, k) AS r FROM u),
+p AS (SELECT station, CAST(k AS INTEGER) AS k, CAST(u AS DOUBLE) AS u, 2 * exp(-6 * u * u / (CAST(n AS DOUBLE) * n * n + n * n)) AS p FROM best WHERE r = 1)
+SELECT station, k, u, round(p, 6) AS p, CAST(CASE WHEN p < 0.01 THEN 2 WHEN p < 0.05 THEN 1 ELSE 0 END AS INTEGER) AS class FROM p""")
 def pettitt_prewhitened(spark, sf):
     """T4 after trend-free pre-whitening."""
     return rounded(R.pettitt(I.monthly(spark, sf), ["station"], prewhiten=True), "p")
@@ -95,7 +104,14 @@ def sequential_mann_kendall(spark, sf):
     return rounded(R.sequential_mk(I.monthly(spark, sf), ["station"]), "uf", "ub")
 
 
-@query()
+@query(SEQ.replace("WITH m AS", "WITH m0 AS").replace(", o AS", """, mr AS (SELECT station, date, value, regr_slope(nxt, value) OVER w AS ac, count(nxt) OVER w AS pairs
+  FROM (SELECT *, lead(value) OVER (PARTITION BY station ORDER BY date) AS nxt FROM m0) WINDOW w AS (PARTITION BY station ORDER BY date ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING)),
+m AS (SELECT station, date, value, ac FROM mr WHERE pairs = 9), o AS""", 1) + """, q AS (SELECT station, value, ac, row_number() OVER (PARTITION BY station ORDER BY date) - 1 AS i FROM m),
+c AS (SELECT station, place AS k FROM (SELECT *, (uf - ub) * lag(uf - ub) OVER (PARTITION BY station ORDER BY place) AS turn FROM u) WHERE turn < 0 AND place > 5),
+b AS (SELECT c.station, k, median((y.value - x.value) / (y.i - x.i)) AS sen FROM c JOIN q x ON x.station = c.station JOIN q y ON y.station = c.station AND x.i < y.i AND y.i < k GROUP BY ALL),
+fa AS (SELECT c.station, k, median((y.value - x.value) / (y.i - x.i)) AS sen FROM c JOIN q x ON x.station = c.station JOIN q y ON y.station = c.station AND x.i < y.i AND x.i > k GROUP BY ALL),
+l AS (SELECT b.station, min(q.ac) AS least FROM b JOIN fa ON b.station = fa.station AND b.k = fa.k AND b.sen > fa.sen JOIN q ON q.station = b.station AND q.i = b.k GROUP BY 1)
+SELECT station, round(least, 6) AS least_ac FROM (SELECT DISTINCT station FROM q) LEFT JOIN l USING (station)""")
 def slowing_points(spark, sf):
     """Least autocorrelation at crossings where the trend falls."""
     ac = R.rolling_autocorrelation(I.monthly(spark, sf), ["station"], 8)

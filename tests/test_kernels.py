@@ -1,11 +1,12 @@
 """Closed forms, invariants and properties of the numpy kernels."""
 
 import math
+import time
 
 import numpy as np
 import pytest
 
-from isohyet.operators.kernels import bayes, emd, filters, regress, special, weather
+from isohyet.operators.kernels import bayes, emd, filters, ranks, regress, special, weather
 
 
 @pytest.mark.parametrize("options", [{}, {"fixe": 10}, {"fixe_h": 5}, {"stop": "rilling"}, {"extrema": "parabol"}, {"kind": "akima"}, {"kind": "linear"}, {"max_imf": 1}])
@@ -297,3 +298,46 @@ def test_mirrors_stay_outside_at_both_ends():
         a, b = emd.envelopes(np.arange(60.0), s), emd.envelopes(np.arange(60.0), s[::-1])
         if a is not None:
             assert np.allclose(a[0], b[0][::-1]) and np.allclose(a[1], b[1][::-1])
+
+
+# Statistics of all pairs.
+def test_earlier_counts():
+    r = np.random.default_rng(1)
+    for n in range(40):
+        x = r.integers(0, 8, n).astype(float) if n % 2 else r.normal(size=n)
+        below, above = ranks.earlier(ranks.ranks(x))
+        assert below.tolist() == [int((x[:i] < x[i]).sum()) for i in range(n)] and above.tolist() == [int((x[:i] > x[i]).sum()) for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["noise", "few values", "mostly zero", "line", "constant"])
+def test_slopes_are_selected(monkeypatch, kind):
+    """As the sorted slopes of all pairs have them, though few are listed."""
+    monkeypatch.setattr(ranks, "_LISTED", 400)
+    monkeypatch.setattr(ranks, "_DRAWN", 300)
+    r = np.random.default_rng(2)
+    for n in range(60, 130, 3):
+        x = {"noise": r.normal(size=n), "few values": r.integers(0, 3, n).astype(float), "mostly zero": np.round(r.gamma(0.3, 2, n), 1) * (r.random(n) < 0.4), "line": np.arange(n) * 0.1 + r.normal(size=n) * 0.01, "constant": np.full(n, 3.0)}[kind]
+        slopes = np.sort(ranks.all_slopes(x))
+        assert ranks.sen_slope(x) == pytest.approx(np.median(slopes), abs=1e-9)
+        for k in (0, len(slopes) // 5, len(slopes) - 1):
+            assert ranks.kth_slope(x, k) == pytest.approx(slopes[k], abs=1e-9)
+        low, high = np.quantile(slopes, [0.3, 0.6]) + 1e-7
+        assert np.sort(ranks.slopes_between(x, low, high)) == pytest.approx(slopes[(slopes > low) & (slopes < high)])
+
+
+def test_long_series_take_seconds():
+    """20,000 steps: 2 * 10^8 pairs. S by a plain count of each value against all later ones."""
+    x = np.round(np.random.default_rng(3).gamma(2, 3, 20_000), 2) + np.arange(20_000) * 1e-4
+    began = time.perf_counter()
+    s, slope, uf = ranks.trend_sum(x), ranks.sen_slope(x), ranks.sequential(x)[0]
+    assert time.perf_counter() - began < 10
+    assert s == sum(int(np.sign(x[k + 1 :] - v).sum()) for k, v in enumerate(x))
+    near = 1e-9
+    at = lambda t: sum(int(((x[k + 1 :] - v) / np.arange(1, len(x) - k) < t).sum()) for k, v in enumerate(x))
+    half = len(x) * (len(x) - 1) // 4
+    assert at(slope - near) <= half <= at(slope + near) and len(uf) == len(x)
+
+
+def test_prewhitened_lines_and_short_series():
+    assert ranks.prewhitened(np.arange(30) * 0.5).tolist() == pytest.approx((np.arange(1, 30) * 0.5).tolist())
+    assert np.isnan(ranks.sen_slope(np.array([1.0]))) and ranks.trend_sum(np.zeros(0)) == 0 and ranks.sequential(np.array([2.0]))[0].tolist() == [0.0]

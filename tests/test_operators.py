@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions import calendar as C, landscape as L
 from isohyet.operators import decomposition as D, ensemble as E, spatial as SP, temporal as T, trend as R, weather as G
+from isohyet.operators.kernels import ranks
 
 
 def series(spark, values, key="s"):
@@ -121,3 +122,24 @@ def test_weather_fortnights(spark):
     d = spark.range(1).select(F.explode(F.sequence(F.lit("2001-01-01").cast("date"), F.lit("2004-12-31").cast("date"))).alias("date")).withColumns({"station": F.lit(1), "value": (F.pmod(F.xxhash64("date"), F.lit(10)) < 3).cast("double")})
     got = G.occurrence(d, ["station"]).collect()
     assert len(got) == 26 and all(r.a00 + r.a01 + r.a10 + r.a11 == 56 for r in got)
+
+
+def test_long_series_of_trends(spark):
+    """20,000 steps a series: trend, change point and sequential test in seconds each, as the kernels have them."""
+    x = np.round(np.random.default_rng(5).gamma(2, 3, 20_000), 1)
+    x[12_000:] += 1.0
+    rows = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "date int, value double").withColumn("station", F.lit("s"))
+    r, p = R.mann_kendall(rows, ["station"]).first(), R.pettitt(rows, ["station"]).first()
+    assert r.s == ranks.trend_sum(x) and r.sen == ranks.sen_slope(x) and r["class"] == 2
+    signs = np.array([np.sign(v - x).sum() for v in x])
+    u = np.cumsum(signs[1:])
+    assert (p.k, p.u) == (int(np.abs(u).argmax()), u[np.abs(u).argmax()]) and abs(p.k - 12_000) < 200 and p["class"] == 2
+    steps = R.sequential_mk(rows, ["station"]).agg(F.count("*"), F.max("uf"), F.count_if("crossing")).first()
+    uf, ub = ranks.sequential(x)
+    assert tuple(steps) == (20_000, pytest.approx(uf.max()), len(ranks.crossings(uf, ub)))
+
+
+def test_no_prefix_is_filtered(spark):
+    """Pettitt's sums come from ranks: windows, no lambda over a series for each of its steps."""
+    plan = R.pettitt(series(spark, [1.0, 2.0, 5.0]), ["station"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank(v#" in plan
