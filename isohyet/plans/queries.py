@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import calendar as C, display as V, landscape as L
 from ..operators import decomposition as D, downscaling as DS, dynamic as DY, ensemble as E, skill as K, spatial as SP, temporal as T, trend as R, weather as G
-from ..sources import rasters, sinks, tables
+from ..sources import netcdf, rasters, sinks, tables
 from . import inputs as I, pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1076,6 +1077,46 @@ def tiff_files(spark, sf):
     return cells.where((F.col("y") > 0) & (F.col("y") < last))
 
 
+def _model_files(spark, sf) -> str:
+    """A folder of NetCDF files, one an order priority: daily sums by nation (5 x 5 cells) and status (levels), in a calendar without leap days."""
+    folder = I.scratch(spark, "models")
+    o = I.table(spark, sf, "orders").join(I.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    day = F.to_date("o_orderdate")
+    level = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "F", 1).otherwise(2)
+    sums = o.where(~C.is_leap_day(day)).groupBy(F.substring("o_orderpriority", 1, 1).alias("model"), ((F.year(day) - 1995) * 365 + C.doy365(day) - 1).alias("step"), level.alias("level"), F.col("c_nationkey").alias("nation"))
+    sums = sums.agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / F.lit(100.0)).alias("value"))
+
+    def build(pdf):
+        model = pdf["model"].iloc[0]
+        cube = np.full((int(pdf["step"].max()) + 1, 3, 25), 1e20)
+        cube[pdf["step"], pdf["level"], pdf["nation"]] = pdf["value"]
+        time = np.arange(len(cube), dtype=float), {"units": "days since 1995-01-01", "calendar": "noleap"}
+        raw = netcdf.write_netcdf({
+            "lat": (["lat"], np.arange(5) * 12.0, {}), "lon": (["lon"], np.arange(5) * 9.0 + 1, {}), "plev": (["plev"], np.array([850.0, 500.1, 250.0]), {"units": "hPa"}),
+            "time": (["time"], *time), "ta": (["time", "plev", "lat", "lon"], cube.reshape(-1, 3, 5, 5), {"_FillValue": 1e20}),
+        }, record="time" if model in "135" else None, version=5 if model in "12" else 2)
+        return pd.DataFrame([{"name": f"ta_day_M{model}.nc", "content": raw}])
+
+    sinks.write_files(sums.groupBy("model").applyInPandas(build, "name string, content binary"), folder)
+    return folder
+
+
+@query(f"""WITH {I.STATIONS}, od AS (SELECT substr(o_orderpriority, 1, 1) AS model, CAST(o_orderdate AS DATE) AS date, o_orderstatus AS status, c_nationkey AS nation, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100.0::DOUBLE AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+v AS (SELECT model, date, CASE status WHEN 'O' THEN 85000.0::DOUBLE ELSE 50000.0::DOUBLE END AS level, nation // 5 AS y, nation % 5 AS x, value FROM od WHERE status IN ('O', 'F') AND date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND NOT (month(date) = 2 AND day(date) = 29)),
+near AS (SELECT station, y, x, row_number() OVER (PARTITION BY station ORDER BY sqrt((lat - y * 12) ** 2 + (lon - x * 9 - 1) ** 2), y, x) AS k FROM s, (SELECT DISTINCT y, x FROM v))
+SELECT station, model, level, CAST(date_trunc('month', date) AS DATE) AS date, round(avg(value) + {NUDGE}, 4) AS value, count(*) AS n FROM near JOIN v USING (y, x) WHERE k = 1 GROUP BY ALL""")
+def netcdf_stations(spark, sf):
+    """Five models' files read by the data source, period and levels pushed down; each station has the monthly means of its nearest cell with data."""
+    folder = _model_files(spark, sf)
+    netcdf.register(spark)
+    cube = spark.read.format("netcdf").options(variable="ta", levels="50000,85000").load(folder)
+    cube = T.select_time(cube, "1996-01-01", "2000-12-31").where("value is not null").withColumn("model", F.regexp_extract("path", "M(.)[.]nc$", 1))
+    cells = cube.select("y", "x", "lat", "lon").distinct()
+    near = SP.nearest_cell(I.stations(spark, sf), cells, tile=12.0).select("station", "y", "x")
+    monthly = cube.groupBy("y", "x", "model", "level", F.trunc("date", "MM").alias("date")).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+    return rounded(near.join(monthly, ["y", "x"]).select("station", "model", "level", "date", "value", "n"), "value", places=4, nudge=NUDGE)
+
+
 @query("SELECT r_name || '.tif' AS name, r_regionkey % 2 = 0 AS ok FROM region")
 def checked_files(spark, sf):
     """Files that cannot be opened are told from those that can."""

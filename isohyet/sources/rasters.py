@@ -2,141 +2,24 @@
 
 from __future__ import annotations
 
-import re
 import struct
-from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Element types of classic NetCDF and of TIFF samples.
-_NC_TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
-_TIFF_TYPES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
-
+from . import netcdf
+from .netcdf import read_netcdf, write_netcdf  # noqa: F401
 
-def read_netcdf(raw: bytes) -> dict:
-    """Dimensions, attributes and arrays of a classic (CDF-1 or CDF-2) file."""
-    if raw[:3] != b"CDF" or raw[3] not in (1, 2):
-        raise ValueError("not a classic NetCDF file")
-    wide, at = raw[3] == 2, 4
-
-    def number(size: int = 4) -> int:
-        nonlocal at
-        v = int.from_bytes(raw[at : at + size], "big")
-        at += size
-        return v
-
-    def text() -> str:
-        nonlocal at
-        n = number()
-        s = raw[at : at + n].decode()
-        at += -(-n // 4) * 4
-        return s
-
-    def attributes() -> dict:
-        nonlocal at
-        number()
-        out = {}
-        for _ in range(number()):
-            name, kind, n = text(), number(), number()
-            a = np.frombuffer(raw, _NC_TYPES[kind], n, at)
-            at += -(-n * a.itemsize // 4) * 4
-            out[name] = a.tobytes().decode(errors="replace") if kind == 2 else (a[0].item() if n == 1 else a.tolist())
-        return out
-
-    records = number()
-    number()
-    dims = [(text(), number()) for _ in range(number())]
-    every, variables = attributes(), {}
-    number()
-    listed = []
-    for _ in range(number()):
-        name = text()
-        axes = [number() for _ in range(number())]
-        listed.append((name, axes, attributes(), number(), number(), number(8 if wide else 4)))
-    step = sum(v[4] for v in listed if v[1] and dims[v[1][0]][1] == 0)
-    for name, axes, attrs, kind, size, begin in listed:
-        shape = [dims[d][1] or records for d in axes]
-        t = np.dtype(_NC_TYPES[kind])
-        if axes and dims[axes[0]][1] == 0:
-            one = int(np.prod(shape[1:]))
-            gap = step if sum(1 for v in listed if v[1] and dims[v[1][0]][1] == 0) > 1 else one * t.itemsize
-            a = np.stack([np.frombuffer(raw, t, one, begin + k * gap) for k in range(records)]) if records else np.zeros((0, one), t)
-        else:
-            a = np.frombuffer(raw, t, int(np.prod(shape)) if shape else 1, begin)
-        variables[name] = {"dims": [dims[d][0] for d in axes], "attrs": attrs, "values": a.reshape(shape)}
-        del size
-    return {"attrs": every, "variables": variables}
-
-
-def write_netcdf(variables: dict[str, tuple[list[str], np.ndarray, dict]]) -> bytes:
-    """A CDF-1 file of fixed dimensions; variables: (dimension names, float64 values, text attributes)."""
-    dims: dict[str, int] = {}
-    for names, a, _ in variables.values():
-        dims |= dict(zip(names, a.shape, strict=True))
-    order = list(dims)
-    pad = lambda b: b + b"\0" * (-len(b) % 4)
-    name = lambda s: struct.pack(">I", len(s.encode())) + pad(s.encode())
-
-    def attributes(d: dict) -> bytes:
-        return struct.pack(">II", 12 if d else 0, len(d)) + b"".join(name(k) + struct.pack(">II", 2, len(v.encode())) + pad(v.encode()) for k, v in d.items())
-
-    head = b"CDF\x01" + struct.pack(">I", 0) + struct.pack(">II", 10, len(dims)) + b"".join(name(d) + struct.pack(">I", n) for d, n in dims.items()) + attributes({})
-    rows = [name(v) + struct.pack(">I", len(names)) + b"".join(struct.pack(">I", order.index(d)) for d in names) + attributes(attrs) + struct.pack(">II", 6, a.size * 8) for v, (names, a, attrs) in variables.items()]
-    at, out = len(head) + 8 + sum(len(r) + 4 for r in rows), head + struct.pack(">II", 11, len(rows))
-    for r, (_, a, _) in zip(rows, variables.values(), strict=True):
-        out += r + struct.pack(">I", at)
-        at += a.size * 8
-    return out + b"".join(np.ascontiguousarray(a, ">f8").tobytes() for _, a, _ in variables.values())
-
-
-def _dates(values: np.ndarray, units: str, calendar: str) -> list[date]:
-    m = re.match(r"(\w+) since (\d+)-(\d+)-(\d+)", units)
-    scale = {"days": 1.0, "hours": 1 / 24, "seconds": 1 / 86400}[m[1]]
-    first = date(*(int(m[k]) for k in (2, 3, 4)))
-    if calendar in ("noleap", "365_day"):
-        ends = np.cumsum([31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])
-        start = first.timetuple().tm_yday - 1 - int(first.month > 2 and first.year % 4 == 0)
-        out = []
-        for v in values:
-            y, d = divmod(start + int(v * scale), 365)
-            k = int(np.searchsorted(ends, d, side="right"))
-            out.append(date(first.year + y, k + 1, d - (ends[k - 1] if k else 0) + 1))
-        return out
-    return [first + timedelta(days=float(v) * scale) for v in values]
+#: Element types of TIFF samples.
+_TIFF_TYPES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
 
 
 def grids(spark: SparkSession, path: str, variable: str, levels: tuple[float, ...] = (50_000.0, 85_000.0)) -> DataFrame:
-    """Cells of a variable in all .nc files below path: path, y, x, lat, lon, level (the nearest to each of `levels`, null without), date, value.
-
-    The calendar of a file decides its dates; fill values are null.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.nc").load(path)
-
-    def explode(batches):
-        for pdf in batches:
-            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
-                v = read_netcdf(bytes(raw))["variables"]
-                lat, lon, time = v["lat"]["values"].astype(float), v["lon"]["values"].astype(float), v["time"]
-                days = _dates(time["values"].astype(float), time["attrs"]["units"], time["attrs"].get("calendar", "standard"))
-                a = v[variable]["values"].astype(float)
-                fill = v[variable]["attrs"].get("_FillValue")
-                if fill is not None:
-                    a = np.where(a == float(fill), np.nan, a)
-                axis = next((d for d in v[variable]["dims"] if d not in ("lat", "lon", "time")), None)
-                cuts = [(None, a)]
-                if axis:
-                    p = v[axis]["values"].astype(float)
-                    cuts = [(w, np.take(a, int(np.abs(p - w).argmin()), axis=v[variable]["dims"].index(axis))) for w in levels]
-                yy, xx = np.meshgrid(np.arange(len(lat)), np.arange(len(lon)), indexing="ij")
-                for level, cube in cuts:
-                    for k, d in enumerate(days):
-                        out = pd.DataFrame({"path": name, "y": yy.ravel(), "x": xx.ravel(), "lat": lat[yy.ravel()], "lon": lon[xx.ravel()], "level": level, "date": d, "value": cube[k].ravel()})
-                        yield out.astype({"value": object}).where(out.notna(), None)
-
-    cells = files.select("path", "content").mapInPandas(explode, "path string, y int, x int, lat double, lon double, level double, date date, value double")
-    return cells.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    """Cells of a variable in all .nc files below path: path, y, x, lat, lon, level (the nearest to each of `levels`, null without), date, value."""
+    netcdf.register(spark)
+    wanted = ",".join(map(str, levels))
+    return spark.read.format("netcdf").options(variable=variable, levels=wanted).load(path).drop("variable")
 
 
 def read_tiff(raw: bytes, band: int = 1) -> tuple[np.ndarray, dict]:
