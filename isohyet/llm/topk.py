@@ -8,7 +8,8 @@ and the blocks' bests merged. Every query meets every row; memory is a block, a
 
 Defined results: rows with a null id take no part; of rows with one id the smallest counts; an empty vector scores 0
 with all. A query's own row is never its candidate. Ties go to the smaller id. Fewer than k candidates: all of them.
-Sums that could pass 64 bits raise an error. An empty table has no results.
+Sums beyond 64 bits count as the largest or smallest number below 2^63 in size; rows and queries that could reach them are
+summed apart, in numbers of any length. An empty table has no results.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .vectors import best, one_per_id, ragged, row_blocks, select_top
 
 #: Queries whose dense score arrays are held at once.
 CHUNK = 64
+#: Weights of a row, and sums of a query's, from which on products are summed in numbers of any length.
+_LARGE = 1 << 31
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -59,6 +62,16 @@ def accumulate(query_postings: dict, n_queries: int, postings: dict, n_rows: int
     return scores
 
 
+def _saturated_sums(offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray, own_terms: np.ndarray, own_weights: np.ndarray) -> np.ndarray:
+    """One vector's inner products with many, exact before they are held to 64 bits."""
+    own: dict[int, int] = {}
+    for t, w in zip(own_terms.tolist(), own_weights.tolist(), strict=True):
+        own[t] = own.get(t, 0) + w
+    products = [own.get(t, 0) * w for t, w in zip(terms.tolist(), weights.tolist(), strict=True)]
+    most = 2**63 - 1
+    return np.array([max(-most, min(most, sum(products[a:b]))) for a, b in zip(offsets, offsets[1:], strict=False)], np.int64)
+
+
 def _search_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     if not queries.num_rows or not rows.num_rows:
         return _FOUND.empty_table()
@@ -67,11 +80,16 @@ def _search_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     weights = ragged(rows["weights"])[1]
     q_offsets, q_terms = ragged(queries["terms"])
     q_weights = ragged(queries["weights"])[1]
+    sizes = lambda o, w, f: np.array([f(np.abs(w[x:y].astype(np.float64)), initial=0) for x, y in zip(o, o[1:], strict=False)])
     # 32 bits hold every partial sum where the largest weight times the heaviest query's sum does not reach them.
-    heaviest = np.add.reduceat(np.r_[np.abs(q_weights).astype(np.float64), 0.0], q_offsets[:-1]).max() if len(q_weights) else 0
+    heaviest = np.add.reduceat(np.r_[np.abs(q_weights.astype(np.float64)), 0.0], q_offsets[:-1]).max() if len(q_weights) else 0
     bound = heaviest * float(np.abs(weights.astype(np.float64)).max(initial=0))
+    large, q_large = np.zeros(len(ids), bool), np.zeros(len(q_ids), bool)
     if bound >= 2**63 - 1:
-        raise OverflowError("weights whose products do not fit 64 bits")
+        large, q_large = sizes(offsets, weights, np.max) >= _LARGE, sizes(q_offsets, q_weights, np.sum) >= _LARGE
+        exact = {k: _saturated_sums(q_offsets, q_terms, q_weights, terms[offsets[k] : offsets[k + 1]], weights[offsets[k] : offsets[k + 1]]) for k in np.flatnonzero(large).tolist()}
+        q_exact = {k: _saturated_sums(offsets, terms, weights, q_terms[q_offsets[k] : q_offsets[k + 1]], q_weights[q_offsets[k] : q_offsets[k + 1]]) for k in np.flatnonzero(q_large).tolist()}
+        weights, q_weights = np.where(np.repeat(large, np.diff(offsets)), 0, weights), np.where(np.repeat(q_large, np.diff(q_offsets)), 0, q_weights)
     narrow = bound < 2**31 - 1
     dtype = np.int32 if narrow else np.int64
     weights, q_weights = (weights.astype(dtype), q_weights.astype(dtype)) if narrow else (weights, q_weights)
@@ -83,6 +101,10 @@ def _search_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
         row_of = np.repeat(np.arange(end - at), np.diff(q_offsets[at : end + 1]))
         inverted = index_postings(q_terms[a:b], row_of, q_weights[a:b], end - at)
         scores = accumulate(inverted, end - at, postings, len(ids), dtype)
+        for row in np.flatnonzero(large).tolist():
+            scores[:, row] = exact[row][at:end]
+        for row in np.flatnonzero(q_large[at:end]).tolist():
+            scores[row] = q_exact[at + row]
         own = np.searchsorted(ids, q_ids[at:end])
         mine = np.flatnonzero((own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == q_ids[at:end]))
         scores[mine, own[mine]] = floor

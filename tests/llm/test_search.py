@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from isohyet.llm import ann, topk, vectors
+from isohyet.llm import ann, queries, topk, vectors
 
 
 def frame(spark, rows):
@@ -86,10 +86,19 @@ def test_approximate(spark, case):
     assert total == 0 or case == "hot" or found >= 0.9 * total
 
 
-def test_sums_beyond_64_bits_raise():
+def test_sums_beyond_64_bits():
+    """They are held to the largest number; all others are exact, in blocks with such rows as well."""
     at = lambda w: pa.table({"id": [1, 2], "terms": [[0], [0]], "weights": [[w], [w]]}, schema=pa.schema([("id", pa.int64()), ("terms", pa.list_(pa.int32())), ("weights", pa.list_(pa.int64()))]))
-    with pytest.raises(OverflowError):
-        topk._search_block(at(1 << 40), at(1 << 40), 2)
+    assert topk._search_block(at(1 << 40), at(1 << 40), 2)["score"].to_pylist() == [2**63 - 1] * 2
+    assert topk._search_block(at(1 << 40), at(-(1 << 40)), 2)["score"].to_pylist() == [1 - 2**63] * 2
+    r = np.random.default_rng(8)
+    schema = pa.schema([("id", pa.int64()), ("terms", pa.list_(pa.int32())), ("weights", pa.list_(pa.int64()))])
+    x = r.integers(-(1 << 20), 1 << 20, (40, 5))
+    x[3], x[20, 2], x[31] = 1 << 50, -(1 << 62), r.integers(-(1 << 40), 1 << 40, 5)
+    t = pa.table({"id": np.arange(40), "terms": [list(range(5))] * 40, "weights": x.tolist()}, schema=schema)
+    got = {(a, b): s for a, b, s in zip(*(c.to_pylist() for c in topk._search_block(t, t, 39).columns), strict=True)}
+    exact = lambda a, b: max(1 - 2**63, min(2**63 - 1, sum(int(p) * int(q) for p, q in zip(x[a], x[b], strict=True))))
+    assert got == {(a, b): exact(a, b) for a in range(40) for b in range(40) if a != b}
     assert topk._search_block(at(1 << 31), at(-(1 << 30)), 1)["score"].to_pylist() == [-(1 << 61)] * 2
 
 
@@ -134,3 +143,12 @@ def test_ann_recall_beyond_the_sample(spark):
     s[np.arange(len(s)), np.arange(0, len(x), 60)] = -np.inf
     best = np.argsort(-s, axis=1)[:, :20]
     assert np.mean([len(found[60 * k] & set(b.tolist())) / 20 for k, b in enumerate(best)]) >= 0.94
+
+
+def test_op1_of_huge_components(spark, tmp_path):
+    """A finite component beyond any long: its weight is the largest long, other rows' results are theirs."""
+    rows = [(i, [float(i % 7), 1.0]) for i in range(60)] + [(61, [1e30, 0.0]), (80, [-1e30, 2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in queries.QUERIES["op1_exact_topk"](spark, str(tmp_path)).collect()}
+    assert {q for q, _ in got} == {0, 20, 40, 80} and got[20, 1] == (61, 2**63 - 1) and got[20, 2] == (6, 64 * 64 * 37)
+    assert got[80, 1] == (0, 128 * 64) and got[0, 1] == (80, 128 * 64) and got[0, 2] == (1, 64 * 64)
