@@ -2,24 +2,27 @@
 
 Targets: each source's share of the budget by its weight, never above `cap` times its size; what is cut off goes
 to the others by weight (water filling, in closed form over the sources sorted by size / weight). A source's rate
-target / size gives every document floor(rate) certain copies; the fraction left is each document's inclusion
-probability p in an order sample: documents are ranked by the random odds u / (1 - u) divided by the inclusion odds
-p / (1 - p), and taken in that order until the source's words are reached. The cut falls where the words taken are
-nearest the target; then one document per source, the one whose size fits the remaining gap best, is added or left
-out. u comes from md5 of the id and seed, so reruns agree and any engine can repeat the draw.
+target / size gives every document floor(rate) certain copies; the words left are an order sample of unequal probabilities:
+a document's inclusion odds are in proportion to the square root of its words over the source's mean, so that longer
+documents are likelier to be taken once more; documents are ranked by random odds u / (1 - u) over inclusion odds, and taken
+in that order until the source's words are reached, which sets the level of the odds. The cut falls where the words taken
+are nearest the target; then one document per source, the one whose size fits the remaining gap best, is added or left out,
+a bias of one document a source. u comes from md5 of the seed, the id and, where rows share an id, the row's number among
+them, so reruns agree, any engine can repeat the draw, and equal ids are free of each other.
 
-No source is ever ordered as a whole: ranks fall into CELLS cells by u, cells are summed, only the cell in which
-the cut falls is cut into CELLS again, and rows are ordered only within such a second cell (one in CELLS^2 rows).
+No source is ever ordered as a whole: ranks r, as r / (1 + r), fall into CELLS cells, cells are summed, only the cell in
+which the cut falls is cut into CELLS again, and rows are ordered only within such a second cell.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last. Sources of size 0 have
-target 0. Rows with equal (id, size) are ordered arbitrarily among themselves, which cannot be told apart.
+target 0. Of rows that share an id, which has which number is arbitrary. Null ids are ids that all these rows share.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .runtime import cut
+from .runtime import cut, release
+from .sharding import number_among_equal
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 1024
@@ -47,27 +50,32 @@ def targets(sizes: DataFrame, weights: list[int], share: float, cap: float) -> D
     return ranked.select("source", "source_size", F.coalesce(F.least(F.col("source_size") * F.lit(cap), F.col("level") * F.col("w")), F.col("source_size") * F.lit(cap)).alias("target"))
 
 
-def draw(key: Column, seed: int) -> Column:
-    """u in (0, 1) from 52 bits of md5(seed:id)."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
+def draw(key: Column, number: Column, seed: int) -> Column:
+    """u in (0, 1) from 52 bits of md5(seed:id), or md5(seed:id:number) from the second row of an id on."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")), F.when(number > 0, F.concat(F.lit(":"), number.cast("string"))).otherwise(""))
     return (F.conv(F.substr(F.md5(text), F.lit(1), F.lit(13)), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 11) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, copies, taken (= copies * size)."""
     base = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("size"), F.col(source).alias("source"))
-    base = cut(base.withColumn("u", draw(F.col("doc_id"), seed)), "mix-sizes")
-    aim = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, cap)
+    read = cut(base, "mix-read")
+    base = cut(number_among_equal(read, ["doc_id"]).select(*read.columns, draw(F.col("doc_id"), F.col("__k"), seed).alias("u")), "mix-sizes")
+    release(read)
+    sizes = cut(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), "mix-sources")
+    aim = targets(sizes.select("source", "source_size"), list(weights), share, cap)
     aim = aim.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
     aim = aim.withColumn("certain", F.floor("rate")).withColumn("p", F.col("rate") - F.col("certain"))
-    aim = cut(aim.withColumn("need", F.col("target") - F.col("certain") * F.col("source_size")), "mix-targets")
+    aim = aim.withColumn("need", F.col("target") - F.col("certain") * F.col("source_size"))
+    aim = cut(aim.join(sizes.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-targets")
 
     few = sources_are_few(aim)
     rows = few(base, aim)
-    # Random odds over inclusion odds. p is one for a source, so cells of u are cells of this rank.
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.greatest("p", F.lit(1e-12)) / (1 - F.least("p", F.lit(1 - 1e-12))))
-    rows = rows.withColumn("rank", odds).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
-    rows = rows.withColumn("sub", F.floor((F.col("u") * CELLS - F.col("cell")) * CELLS).cast("int"))
+    # Random odds over inclusion odds, without the level that is one for a source.
+    odds = F.sqrt(F.greatest(F.col("size"), F.lit(1)).cast("double") * F.col("rows") / F.greatest(F.col("source_size"), F.lit(1)))
+    ratio = (F.col("u") / (1 - F.col("u"))) / odds
+    rows = rows.withColumn("rank", ratio / (1 + ratio)).withColumn("cell", F.floor(F.col("rank") * CELLS).cast("int"))
+    rows = rows.withColumn("sub", F.floor((F.col("rank") * CELLS - F.col("cell")) * CELLS).cast("int"))
 
     def cut_cell(df: DataFrame, by: str, start: Column, name: str) -> DataFrame:
         """Per source, the first cell that does not fit whole, and the words before it. No row: all fit."""
@@ -110,18 +118,18 @@ def sources_are_few(sources: DataFrame):
 
 #: Rows and targets as a pure SQL query would give them, for `documents` with the default parameters.
 ORACLE_SQL = r"""
-WITH base AS (SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
-]+')), 0) AS BIGINT) AS size, source,
-  (CAST(('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
-sized AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM base GROUP BY source),
-weighed AS (SELECT source, source_size, CASE k % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w FROM sized),
+WITH read AS (SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS size, source, row_number() OVER (PARTITION BY doc_id) - 1 AS k FROM documents),
+base AS (SELECT doc_id, size, source, (CAST(('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '') || CASE WHEN k > 0 THEN ':' || k ELSE '' END), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM read),
+sized AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_rows, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM base GROUP BY source),
+weighed AS (SELECT source, source_size, n_rows, CASE k % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w FROM sized),
 room AS (SELECT *, source_size * 2.0::DOUBLE / w AS room FROM weighed),
 levels AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY room, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY room, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM room),
-aims AS (SELECT source, source_size, coalesce(least(source_size * 2.0::DOUBLE, w * max(CASE WHEN level <= room THEN level END) OVER ()), source_size * 2.0::DOUBLE) AS target FROM levels),
+aims AS (SELECT source, source_size, n_rows, coalesce(least(source_size * 2.0::DOUBLE, w * max(CASE WHEN level <= room THEN level END) OVER ()), source_size * 2.0::DOUBLE) AS target FROM levels),
 rates AS (SELECT *, floor(coalesce(target / nullif(source_size, 0), 0)) AS certain, target - floor(coalesce(target / nullif(source_size, 0), 0)) * source_size AS need FROM aims),
-ranked AS (SELECT b.doc_id, b.size, r.source, source_size, target, certain, need,
-  sum(size) OVER (PARTITION BY r.source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM base b JOIN rates r ON b.source IS NOT DISTINCT FROM r.source),
+odds AS (SELECT b.doc_id, b.size, r.source, source_size, target, certain, need, (u / (1 - u)) / sqrt(CAST(greatest(size, 1) AS DOUBLE) * n_rows / greatest(source_size, 1)) AS ratio FROM base b JOIN rates r ON b.source IS NOT DISTINCT FROM r.source),
+ranked AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ratio / (1 + ratio), doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM odds),
 drawn AS (SELECT *, CASE WHEN upto - size / 2.0::DOUBLE <= need THEN 1 ELSE 0 END AS included FROM ranked),
 gaps AS (SELECT *, need - sum(size * included) OVER (PARTITION BY source) AS gap, CASE WHEN included = 1 THEN -size ELSE size END AS effect FROM drawn),
 fixed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size > 0 AND need > 0 AND certain + 1 - included <= 2 AND abs(gap - effect) < abs(gap) DESC, abs(gap - effect), doc_id, size) = 1

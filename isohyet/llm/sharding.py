@@ -72,8 +72,8 @@ def _literal(df: DataFrame, rows: list, schema: str) -> DataFrame:
     return df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
-def number_equal(df: DataFrame, identity: list[str]) -> DataFrame:
-    """df, a table of cut, with __key: a hash of identity and of the row's number among rows of equal identity, from 0 without gaps.
+def number_among_equal(df: DataFrame, identity: list[str]) -> DataFrame:
+    """df, a table of cut, with __id, a hash of identity, and __k: the row's number among rows of equal identity, from 0 without gaps.
 
     Equal rows are counted file by file, so that a file's rows are numbered from where the files before it end: no group
     is gathered, whatever part of all rows it is.
@@ -84,14 +84,19 @@ def number_equal(df: DataFrame, identity: list[str]) -> DataFrame:
     many = repeated.count()
     if not many:
         release(repeated)
-        return rows.select(*names, F.xxhash64("__id", F.lit(0).cast("long")).alias("__key"))
+        return rows.select(*names, "__id", F.lit(0).cast("long").alias("__k"))
     listed = F.broadcast(repeated) if many <= MAX_BROADCAST else repeated
     again = rows.join(listed, "__id", "left_semi")
     per_file = again.groupBy("__id", "__file").count()
     starts = per_file.withColumn("__start", F.sum("count").over(W.partitionBy("__id").orderBy("__file")) - F.col("count")).drop("count")
-    again = again.withColumn("__k", F.row_number().over(W.partitionBy("__id", "__file").orderBy("__at")) - 1).join(starts, ["__id", "__file"])
-    numbered = again.select(*names, F.xxhash64("__id", (F.col("__start") + F.col("__k")).cast("long")).alias("__key"))
-    return rows.join(listed, "__id", "left_anti").select(*names, F.xxhash64("__id", F.lit(0).cast("long")).alias("__key")).union(numbered)
+    again = again.withColumn("__n", F.row_number().over(W.partitionBy("__id", "__file").orderBy("__at")) - 1).join(starts, ["__id", "__file"])
+    numbered = again.select(*names, "__id", (F.col("__start") + F.col("__n")).cast("long").alias("__k"))
+    return rows.join(listed, "__id", "left_anti").select(*names, "__id", F.lit(0).cast("long").alias("__k")).union(numbered)
+
+
+def number_equal(df: DataFrame, identity: list[str]) -> DataFrame:
+    """df, a table of cut, with __key: a hash of identity and of the row's number among rows of equal identity."""
+    return number_among_equal(df, identity).select(*df.columns, F.xxhash64("__id", "__k").alias("__key"))
 
 
 def shuffle_into_shards(df: DataFrame, identity: list[str], shards: int = 16, seed: int = 17) -> DataFrame:
