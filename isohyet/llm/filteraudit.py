@@ -52,6 +52,7 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     own = cut(own, "audit-flags")
     first = own.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = cut(first, "audit-copies")  # a table, so that Spark may split the join where a third of all rows are copies
     marked = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     counts = word_counts(rows.withColumn("task", F.spark_partition_id())).withColumnsRenamed({"doc_id": "__id", "key": "__key"})
     known = own.join(first, "digest", "left").drop("digest").join(marked, F.col("doc_id") == F.col("id"), "left")
