@@ -34,14 +34,6 @@ def mask(cube: DataFrame, classes: DataFrame, cls: str, wanted: list[int], value
     return joined.withColumn(value, F.when(keep, F.col(value))).drop(cls)
 
 
-def composite(cube: DataFrame, keys: list[str], every: int, time: str = "time", value: str = "value") -> DataFrame:
-    """Means of `every` consecutive rasters, at the first one's date."""
-    from pyspark.sql import Window as W
-
-    place = F.floor((F.dense_rank().over(W.partitionBy(*keys).orderBy(time)) - 1) / every)
-    return cube.withColumn("__g", place).groupBy(*keys, "__g").agg(F.min(time).alias(time), F.avg(value).alias(value)).drop("__g")
-
-
 def nearest_cell(points: DataFrame, cells: DataFrame, point: str = "station", lat: str = "lat", lon: str = "lon", tile: float = 2.0, usable: Column | None = None) -> DataFrame:
     """The nearest cell, by planar degrees, of each point: its y, x and distance. Cells that are not `usable` (all missing) do not count.
 

@@ -9,11 +9,11 @@ from ..functions import calendar as C, series as S
 
 def mann_kendall(df: DataFrame, keys: list[str], time: str = "date", value: str = "value") -> DataFrame:
     """S, its variance, Z, Kendall's tau, Sen's slope and the significance class of each series; null for constant or empty ones."""
-    x = S.gather(df, keys, time, value).withColumn("x", S.filled(F.col("series")))
-    out = x.withColumn("t", S.trend("x")).select(*keys, "x", F.size("series").alias("n"), "t.*")
-    out = out.withColumns({k: F.when(F.col("x").isNotNull(), F.col(k)) for k in ("s", "var_s", "sen")})
-    out = out.withColumn("z", F.when(F.col("x").isNotNull(), S.mk_z(F.col("s"), F.col("var_s"))))
-    return out.withColumns({"tau": S.mk_tau(F.col("s"), F.col("n")), "class": C.significance(F.col("z"))}).drop("x")
+    x = S.gather(df, keys, time, value).withColumn("__x", S.filled(F.col("series")))
+    out = x.withColumn("t", S.trend("__x")).select(*keys, "__x", F.size("series").alias("n"), "t.*")
+    out = out.withColumns({k: F.when(F.col("__x").isNotNull(), F.col(k)) for k in ("s", "var_s", "sen")})
+    out = out.withColumn("z", F.when(F.col("__x").isNotNull(), S.mk_z(F.col("s"), F.col("var_s"))))
+    return out.withColumns({"tau": S.mk_tau(F.col("s"), F.col("n")), "class": C.significance(F.col("z"))}).drop("__x")
 
 
 def sen_interval(df: DataFrame, z: float = 1.96) -> DataFrame:
@@ -23,24 +23,24 @@ def sen_interval(df: DataFrame, z: float = 1.96) -> DataFrame:
 
 def pettitt(df: DataFrame, keys: list[str], time: str = "date", value: str = "value", prewhiten: bool = False) -> DataFrame:
     """The change point of each series; prewhiten takes out trend and lag-1 correlation first (trend-free pre-whitening)."""
-    x = S.gather(df, keys, time, value).withColumn("x", S.filled(F.col("series"))).where("x is not null")
+    x = S.gather(df, keys, time, value).withColumn("__x", S.filled(F.col("series"))).where("__x is not null")
     if prewhiten:
-        x = x.withColumn("x", S.prewhitened("x"))
+        x = x.withColumn("__x", S.prewhitened("__x"))
     # The signs of a value minus each other one sum to the values below it minus those above: both follow from its rank.
-    rows = x.select(*keys, F.posexplode("x").alias("place", "v"))
-    series, tied = W.partitionBy(*keys), W.partitionBy(*keys, "v")
-    rows = rows.withColumn("sign", 2.0 * (F.rank().over(series.orderBy("v")) - 1) + F.count(F.lit(1)).over(tied) - F.count(F.lit(1)).over(series))
-    upto = series.orderBy("place").rowsBetween(W.unboundedPreceding, 0)
-    u = F.sum(F.when(F.col("place") > 0, F.col("sign")).otherwise(0.0)).over(upto)
-    rows = rows.withColumn("u", u).where("place > 0")
-    best = rows.groupBy(*keys).agg(F.max(F.struct(F.abs("u").alias("size"), (1 - F.col("place")).alias("back"), "u")).alias("best"), (F.count(F.lit(1)) + 1).cast("double").alias("n"))
+    rows = x.select(*keys, F.posexplode("__x").alias("__place", "__v"))
+    series, tied = W.partitionBy(*keys), W.partitionBy(*keys, "__v")
+    rows = rows.withColumn("sign", 2.0 * (F.rank().over(series.orderBy("__v")) - 1) + F.count(F.lit(1)).over(tied) - F.count(F.lit(1)).over(series))
+    upto = series.orderBy("__place").rowsBetween(W.unboundedPreceding, 0)
+    u = F.sum(F.when(F.col("__place") > 0, F.col("sign")).otherwise(0.0)).over(upto)
+    rows = rows.withColumn("u", u).where("__place > 0")
+    best = rows.groupBy(*keys).agg(F.max(F.struct(F.abs("u").alias("size"), (1 - F.col("__place")).alias("back"), "u")).alias("best"), (F.count(F.lit(1)) + 1).cast("double").alias("n"))
     return best.select(*keys, S.pettitt(F.col("best"), F.col("n")).alias("p")).select(*keys, "p.*")
 
 
 def sequential_mk(df: DataFrame, keys: list[str], time: str = "date", value: str = "value", textbook: bool = False) -> DataFrame:
     """UF, UB and whether they cross, a row a step (place from 0)."""
-    x = S.gather(df, keys, time, value).withColumn("x", S.filled(F.col("series"))).where("x is not null")
-    x = x.withColumn("u", S.sequential_mk(F.col("x"), textbook))
+    x = S.gather(df, keys, time, value).withColumn("__x", S.filled(F.col("series"))).where("__x is not null")
+    x = x.withColumn("u", S.sequential_mk(F.col("__x"), textbook))
     rows = x.select(*keys, F.posexplode(F.arrays_zip("u.uf", "u.ub")).alias("place", "u")).select(*keys, "place", "u.uf", "u.ub")
     gap = F.col("uf") - F.col("ub")
     turned = gap * F.lag(gap).over(W.partitionBy(*keys).orderBy("place")) < 0
@@ -49,9 +49,9 @@ def sequential_mk(df: DataFrame, keys: list[str], time: str = "date", value: str
 
 def slowing_points(df: DataFrame, keys: list[str], ac: str, trigger: int, time: str = "date", value: str = "value") -> DataFrame:
     """Least `ac` at the crossings after `trigger` whose Sen slope before exceeds the one after; null if there is none."""
-    x = S.gather(df, keys, time, value).withColumn("x", S.filled(F.col("series")))
-    x = x.join(S.gather(df, keys, time, ac, "ac"), keys).where("x is not null")
-    return x.select(*keys, S.slowing(trigger)("x", "ac").alias("least_ac"))
+    x = S.gather(df, keys, time, value).withColumn("__x", S.filled(F.col("series")))
+    x = x.join(S.gather(df, keys, time, ac, "ac"), keys).where("__x is not null")
+    return x.select(*keys, S.slowing(trigger)("__x", "ac").alias("least_ac"))
 
 
 def split_at(df: DataFrame, keys: list[str], place: str, point: str) -> DataFrame:

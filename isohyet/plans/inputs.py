@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,7 +17,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share, below spark.checkpoint.dir; where that is unset all must run on one machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="isohyet-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -90,3 +91,22 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STATIONS = "s AS (SELECT s_suppkey AS station, s_suppkey * 7 % 49 + 0.3::DOUBLE AS lat, s_suppkey * 11 % 39 + 0.6::DOUBLE AS lon, s_acctbal AS value FROM supplier)"
+
+
+def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """y, x (supplier), time (ship date), value (mean price): a stack of rasters, gaps and all."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice")
+    cell = [F.floor(F.col("l_suppkey") / 10).cast("int").alias("y"), (F.col("l_suppkey") % 10).cast("int").alias("x")]
+    return li.groupBy(*cell, F.to_date("l_shipdate").alias("time")).agg(mean_of("l_extendedprice").alias("value"))
+
+
+CUBE = f"cb AS (SELECT CAST(l_suppkey // 10 AS INTEGER) AS y, CAST(l_suppkey % 10 AS INTEGER) AS x, CAST(l_shipdate AS DATE) AS time, {mean_sql('l_extendedprice')} AS value FROM lineitem GROUP BY ALL)"
+
+
+def land_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """y, x, cls (supplier's nation by fives): the classes of the cube's cells."""
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.floor(F.col("s_suppkey") / 10).cast("int").alias("y"), (F.col("s_suppkey") % 10).cast("int").alias("x"), (F.col("s_nationkey") % 5).alias("cls"))
+
+
+LAND_USE = "lu AS (SELECT CAST(s_suppkey // 10 AS INTEGER) AS y, CAST(s_suppkey % 10 AS INTEGER) AS x, s_nationkey % 5 AS cls FROM supplier)"

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import calendar as C, display as V, landscape as L
-from ..operators import decomposition as D, downscaling as DS, dynamic as DY, ensemble as E, skill as K, spatial as SP, temporal as T, trend as R, weather as G
+from ..operators import composites as CO, decomposition as D, downscaling as DS, dynamic as DY, ensemble as E, skill as K, spatial as SP, temporal as T, trend as R, weather as G
 from ..sources import netcdf, rasters, sinks, tables
 from . import inputs as I, pipelines
 
@@ -492,6 +492,41 @@ def class_mask(spark, sf):
     return SP.mask(g.select("y", "x", "value"), g, "cls", [1, 2, 3])
 
 
+MASKED = f"""{I.CUBE}, {I.LAND_USE}, ms AS (SELECT y, x, time, CASE WHEN cls IN (0, 1, 2) AND value <> 0 THEN value END AS value FROM cb LEFT JOIN lu USING (y, x)),
+cp AS (SELECT y, x, CAST(date_trunc('year', time) AS DATE) + CAST((dayofyear(time) - 1) // 16 * 16 AS INTEGER) AS time, avg(value) AS value FROM ms GROUP BY ALL)"""
+
+
+@query(f"WITH {MASKED} SELECT y, x, time, round(value + {NUDGE}, 4) AS value FROM cp")
+def composites(spark, sf):
+    """A cube of the wanted classes in composites of 16 days, in two lots of dates; the second changes its own buckets only."""
+    cube = SP.mask(I.cube(spark, sf), I.land_use(spark, sf), "cls", [0, 1, 2])
+    path = I.scratch(spark, "composites")
+    for k, dates in enumerate((F.col("time") < "1998-07-01", F.col("time") >= "1998-07-01")):
+        table = CO.update(spark, path, cube.where(dates), ["y", "x"], 16, f"{path}-work{k}")
+    return rounded(CO.means(table, ["y", "x"]), "value", places=4, nudge=NUDGE)
+
+
+@query(f"""WITH {I.CUBE}, d AS (SELECT time, (row_number() OVER (ORDER BY time) - 1) // 30 AS k FROM (SELECT DISTINCT time FROM cb)), f AS (SELECT time, min(time) OVER (PARTITION BY k) AS first FROM d)
+SELECT y, x, first AS time, round(avg(value) + {NUDGE}, 4) AS value FROM cb JOIN f USING (time) GROUP BY ALL""")
+def consecutive_composites(spark, sf):
+    """Means of every 30 rasters."""
+    return rounded(CO.consecutive(I.cube(spark, sf), ["y", "x"], 30), "value", places=4, nudge=NUDGE)
+
+
+@query(f"""WITH {MASKED}, gd AS (SELECT y, x, time, coalesce(value, avg(value) OVER (PARTITION BY y, x)) AS value FROM (SELECT *, count(value) OVER (PARTITION BY y, x) AS used FROM cp) WHERE used > 0),
+dy AS (SELECT *, dayofyear(time) - CASE WHEN month(time) > 2 AND dayofyear(make_date(year(time), 12, 31)) = 366 THEN 1 ELSE 0 END AS doy FROM gd),
+dk AS (SELECT *, row_number() OVER (PARTITION BY y, x, doy ORDER BY time) AS k FROM dy),
+fl AS (SELECT y, x, time, coalesce(value - (regr_intercept(value, k) OVER p + regr_slope(value, k) OVER p * k), value - avg(value) OVER p) AS value FROM dk WINDOW p AS (PARTITION BY y, x, doy)),
+nx AS (SELECT *, lead(value) OVER (PARTITION BY y, x ORDER BY time) AS nxt FROM fl),
+ra AS (SELECT y, x, time, regr_slope(nxt, value) OVER w AS ac, count(nxt) OVER w AS pairs FROM nx WINDOW w AS (PARTITION BY y, x ORDER BY time ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING)),
+m AS (SELECT y * 10 + x AS station, time AS date, ac AS value FROM ra WHERE pairs = 25), """ + MK[MK.index("o AS (SELECT") :] + f" SELECT CAST(station // 10 AS INTEGER) AS y, CAST(station % 10 AS INTEGER) AS x, CAST(n AS INTEGER) AS n, CAST(s AS DOUBLE) AS s, round(var_s, 6) AS var_s, round(sen, 6) AS sen, round(z, 6) AS z, round(tau, 6) AS tau, {CLASS} AS class FROM w")
+def pixel_resilience(spark, sf):
+    """The pixel chain on composites: residuals by day of the year, rolling lag-1 coefficients, their trend."""
+    cube = SP.mask(I.cube(spark, sf), I.land_use(spark, sf), "cls", [0, 1, 2])
+    stack = CO.means(CO.sums(cube, ["y", "x"], 16), ["y", "x"])
+    return rounded(pipelines.pixel_resilience(stack, 24), "var_s", "sen", "z", "tau")
+
+
 @query("SELECT CAST(i AS INTEGER) AS lat_index, round(10 + i * 0.5, 6) AS lat FROM range(21) t(i)")
 def grid_coordinates(spark, sf):
     """S12."""

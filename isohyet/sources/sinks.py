@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Decimals of each variable in daily weather files.
 DECIMALS = {"PRE": 1, "RHU": 3, "RS": 2, "WIN": 1, "TEM": 1}
@@ -69,6 +69,18 @@ def write_grid(df: DataFrame, path: str, by: list[str]) -> None:
     df.repartition(*by).sortWithinPartitions("y", "x").write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, buckets: int, on: tuple[str, ...] = ("y", "x")) -> DataFrame:
+    """A table in buckets by cell: tables with as many buckets meet on `on` without a shuffle."""
+    df.write.bucketBy(buckets, *on).sortBy(*on).mode("overwrite").format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is at a path of any file system that Spark reaches."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def tiffs(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """The bytes of one GeoTIFF for each key's grid (y, x, lat, lon, value); gaps are NaN."""
     from .rasters import write_tiff

@@ -1,5 +1,6 @@
 """Invariants of operators on small tables."""
 
+import datetime as dt
 import math
 import random
 
@@ -8,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from isohyet.functions import calendar as C, landscape as L
-from isohyet.operators import decomposition as D, ensemble as E, spatial as SP, temporal as T, trend as R, weather as G
+from isohyet.operators import composites as CO, decomposition as D, ensemble as E, spatial as SP, temporal as T, trend as R, weather as G
 from isohyet.operators.kernels import ranks
+from isohyet.sources import sinks
 
 
 def series(spark, values, key="s"):
@@ -142,4 +144,72 @@ def test_long_series_of_trends(spark):
 def test_no_prefix_is_filtered(spark):
     """Pettitt's sums come from ranks: windows, no lambda over a series for each of its steps."""
     plan = R.pettitt(series(spark, [1.0, 2.0, 5.0]), ["station"])._jdf.queryExecution().optimizedPlan().toString()
-    assert "rank(v#" in plan
+    assert "rank(__v#" in plan
+
+
+def test_keys_of_any_name(spark):
+    """Cells are keyed by y and x, whatever columns the statistics make on their way."""
+    values = [1.0, 5.0, 2.0, 8.0, 3.0, 9.0, 4.0, 7.0]
+    rows = spark.createDataFrame([(0, 7, k, v) for k, v in enumerate(values)], "y int, x int, date int, value double")
+    one = series(spark, values)
+    for f in (R.mann_kendall, R.pettitt, R.sequential_mk):
+        a, b = f(rows, ["y", "x"]), f(one, ["station"])
+        assert a.columns == ["y", "x", *b.columns[1:]] and sorted(tuple(r)[2:] for r in a.collect()) == sorted(tuple(r)[1:] for r in b.collect())
+
+
+# Composites.
+def cells(spark, first, days, seed=0):
+    r = np.random.default_rng(seed)
+    rows = [(y, x, first + dt.timedelta(days=int(k)), None if (v := float(r.integers(-2, 50))) < 0 else v) for k in days for y in range(2) for x in range(3)]
+    return spark.createDataFrame(rows, "y int, x int, time date, value double")
+
+
+def test_composites_grow_with_the_stack(spark, tmp_path):
+    """Dates in three lots, the last between the others: as if all came at once; buckets without new dates keep their files."""
+    first, path = dt.date(1999, 12, 1), str(tmp_path / "sums")
+    lots = [cells(spark, first, range(0, 60), 1), cells(spark, first, range(90, 130), 2), cells(spark, first, range(60, 90), 3)]
+    files = lambda: {p.parent.name: p.name for p in (tmp_path / "sums").glob("bucket=*/*.parquet")}
+    seen = []
+    for k, lot in enumerate(lots):
+        table = CO.update(spark, path, lot, ["y", "x"], 16, str(tmp_path / f"work{k}"))
+        seen.append(files())
+    got = {(r.y, r.x, r.time): r.value for r in CO.means(table, ["y", "x"]).collect()}
+    want = {(r.y, r.x, r.time): r.value for r in CO.means(CO.sums(lots[0].union(lots[1]).union(lots[2]), ["y", "x"], 16), ["y", "x"]).collect()}
+    assert got == want and len({t for *_, t in got}) == 10 and dt.date(2000, 1, 1) in {t for *_, t in got}
+    same = {b for b in seen[1] if seen[1][b] == seen[2][b]}
+    assert same == {b for b in seen[1] if not "bucket=2000-01-17" <= b <= "bucket=2000-02-18"} and len(same) > 3
+
+
+def test_buckets_of_a_year(spark):
+    days = spark.sql("select explode(sequence(date'2000-01-01', date'2001-12-31')) as d").select("d", CO.bucket(F.col("d"), 16).alias("b")).collect()
+    for r in days:
+        start = dt.date(r.d.year, 1, 1)
+        assert r.b == start + dt.timedelta(days=(r.d - start).days // 16 * 16)
+
+
+def test_consecutive_rasters(spark):
+    """Every three rasters of the stack, cells with gaps included."""
+    df = cells(spark, dt.date(2001, 1, 1), range(0, 21, 2)).where("not (y = 0 and x = 0 and dayofmonth(time) < 8)")
+    got = {(r.y, r.x, r.time): r.value for r in CO.consecutive(df, ["y", "x"], 3).collect()}
+    rows, want = df.collect(), {}
+    dates = sorted({r.time for r in rows})
+    for r in rows:
+        want.setdefault((r.y, r.x, dates[dates.index(r.time) // 3 * 3]), []).append(r.value)
+    mean = lambda v: sum(v) / len(v) if v else None
+    assert got == {k: pytest.approx(mean([x for x in v if x is not None])) if any(x is not None for x in v) else None for k, v in want.items()}
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        stack = sinks.write_bucketed(cells(spark, dt.date(2001, 1, 1), range(5)), "stack_of_cells", 4)
+        use = sinks.write_bucketed(spark.createDataFrame([(y, x, (y + x) % 3) for y in range(2) for x in range(3)], "y int, x int, cls int"), "use_of_cells", 4)
+        df = SP.mask(stack, use, "cls", [0, 1])
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        rows = df.collect()
+        assert len(rows) == 30 and all(r.value is None for r in rows if (r.y + r.x) % 3 == 2)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for t in ("stack_of_cells", "use_of_cells"):
+            spark.sql(f"drop table if exists {t}")
