@@ -1,4 +1,4 @@
-"""Grids as long tables (y, x, bands): overlay, zones, nearest cells, resampling, rasterising, Thiessen means, kriging."""
+"""Grids as long tables (y, x, bands): overlay, zones, nearest cells, resampling, rasterising, Thiessen means."""
 
 from __future__ import annotations
 
@@ -173,76 +173,3 @@ def thiessen_mean(values: DataFrame, stations: DataFrame, boundary: list[tuple[f
 def spherical(h: np.ndarray, nugget: float, sill: float, reach: float) -> np.ndarray:
     t = np.minimum(h / reach, 1.0)
     return np.where(h > 0, nugget + (sill - nugget) * (1.5 * t - 0.5 * t**3), 0.0)
-
-
-def fit_variogram(xy: np.ndarray, z: np.ndarray, lags: int = 6) -> tuple[float, float, float]:
-    """Nugget, sill and range of a spherical variogram: least squares over a grid of ranges on binned semivariances."""
-    h = np.sqrt(((xy[:, None] - xy) ** 2).sum(2))
-    g = 0.5 * (z[:, None] - z) ** 2
-    i, j = np.triu_indices(len(z), 1)
-    h, g = h[i, j], g[i, j]
-    edges = np.linspace(0, h.max() + 1e-12, lags + 1)
-    which = np.clip(np.digitize(h, edges) - 1, 0, lags - 1)
-    n = np.bincount(which, minlength=lags)
-    mid = np.bincount(which, h, lags)[n > 0] / n[n > 0]
-    semi = np.bincount(which, g, lags)[n > 0] / n[n > 0]
-    best = (np.inf, 0.0, max(semi.max(), 1e-12), mid.max() + 1e-9)
-    for reach in np.linspace(mid.min() + 1e-9, 1.5 * mid.max() + 1e-9, 40):
-        basis = np.stack([np.ones_like(mid), spherical(mid, 0.0, 1.0, reach)], axis=1)
-        nugget, part = np.linalg.lstsq(basis, semi, rcond=None)[0]
-        nugget, part = max(nugget, 0.0), max(part, 1e-12)
-        loss = ((basis @ [nugget, part] - semi) ** 2).sum()
-        if loss < best[0]:
-            best = (loss, nugget, nugget + part, reach)
-    return best[1:]
-
-
-def krige_weights(xy: np.ndarray, z: np.ndarray, model: tuple[float, float, float]) -> np.ndarray:
-    """What each station's semivariance to a point, and 1, count in the estimate there: ordinary kriging solved once."""
-    n = len(z)
-    a = np.ones((n + 1, n + 1))
-    a[:n, :n] = spherical(np.sqrt(((xy[:, None] - xy) ** 2).sum(2)), *model)
-    a[n, n] = 0
-    return np.linalg.pinv(a)[:, :n] @ z
-
-
-def krige_at(xy: np.ndarray, weights: np.ndarray, to: np.ndarray, model: tuple[float, float, float]) -> np.ndarray:
-    """Estimates at the points `to`, at most 4096 of them at a time."""
-    out = np.empty(len(to))
-    for s in range(0, len(to), 4096):
-        h = np.sqrt(((xy[:, None] - to[s : s + 4096]) ** 2).sum(2))
-        out[s : s + 4096] = weights[:-1] @ spherical(h, *model) + weights[-1]
-    return out
-
-
-def krige(xy: np.ndarray, z: np.ndarray, to: np.ndarray, model: tuple[float, float, float]) -> np.ndarray:
-    """Ordinary kriging of z at xy to the points `to`."""
-    return krige_at(xy, krige_weights(xy, z, model), to, model)
-
-
-def ordinary_kriging(stations: DataFrame, keys: list[str], grid: DataFrame, value: str = "value") -> DataFrame:
-    """Values of the stations (keys such as a date, lat, lon, value) on a grid (y, x, lat, lon) for each key, negatives as 0.
-
-    Stations of a key are few. Variogram and weights are fitted once a key and travel to each tile of the grid, so that a
-    task has one key's weights and one tile.
-    """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stations.schema if f.name in keys)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["lon", "lat"])
-        xy, z = pdf[["lon", "lat"]].to_numpy(float), pdf["z"].to_numpy(float)
-        model = (0.0, 0.0, 1.0) if len(z) < 3 or np.ptp(z) == 0 else fit_variogram(xy, z)
-        weights = np.r_[np.zeros(len(z)), z.mean()] if model[1] == 0 else krige_weights(xy, z, model)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "xs": xy[:, 0], "ys": xy[:, 1], "weights": weights, "model": np.array(model)}])
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[0]
-        xy = np.column_stack([np.asarray(one["xs"], float), np.asarray(one["ys"], float)])
-        out = krige_at(xy, np.asarray(one["weights"], float), pdf[["lon", "lat"]].to_numpy(float), tuple(one["model"]))
-        return pdf[[*keys, "y", "x"]].assign(estimate=np.maximum(out, 0.0))
-
-    known = stations.where(F.col(value).isNotNull()).select(*keys, "lon", "lat", F.col(value).alias("z"))
-    fitted = known.groupBy(*keys).applyInPandas(fit, f"{kinds}, xs array<double>, ys array<double>, weights array<double>, model array<double>")
-    tiles = grid.select("y", "x", "lat", "lon", (F.floor(F.col("y") / 64) * 1_000_000 + F.floor(F.col("x") / 64)).alias("tile"))
-    joined = fitted.crossJoin(tiles.select("tile").distinct()).join(tiles, "tile")
-    return joined.groupBy(*keys, "tile").applyInPandas(fill, f"{kinds}, y int, x int, estimate double")

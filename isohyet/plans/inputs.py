@@ -25,6 +25,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, which ends its lineage."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mean_of(column: str):
     """Mean of amounts with two decimals, from whole cents: the same in any engine and order."""
     return F.sum(F.round(F.col(column) * 100).cast("long")).cast("double") / (F.count(column) * F.lit(100.0))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import calendar as C, display as V, landscape as L
-from ..operators import composites as CO, decomposition as D, downscaling as DS, dynamic as DY, ensemble as E, skill as K, spatial as SP, temporal as T, trend as R, weather as G
+from ..operators import composites as CO, decomposition as D, downscaling as DS, dynamic as DY, ensemble as E, kriging as KR, skill as K, spatial as SP, temporal as T, trend as R, weather as G
 from ..sources import netcdf, rasters, sinks, tables
 from . import inputs as I, pipelines
 
@@ -609,10 +609,10 @@ def thiessen_mean(spark, sf):
 
 @query()
 def ordinary_kriging(spark, sf):
-    """P8."""
+    """From each cell's 12 nearest stations."""
     s = I.stations(spark, sf).groupBy("lat", "lon").agg(F.avg("value").alias("value")).withColumn("date", F.lit("2001-01-01").cast("date"))
     g = I.grid(spark, sf).select("y", "x", F.col("y").cast("double").alias("lat"), F.col("x").cast("double").alias("lon"))
-    return rounded(SP.ordinary_kriging(s, ["date"], g), "estimate", places=4)
+    return rounded(KR.ordinary_kriging(s, ["date"], g, I.cut), "estimate", places=4)
 
 
 @query(f"""WITH RECURSIVE {I.GRID}, b AS (SELECT y, x, value % 900 + 100 AS p, value % 80 + 20 AS r, value % 500 + 600 AS et0 FROM g),

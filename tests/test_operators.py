@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isohyet.functions import calendar as C, landscape as L
-from isohyet.operators import composites as CO, decomposition as D, ensemble as E, spatial as SP, temporal as T, trend as R, weather as G
+from isohyet.operators import composites as CO, decomposition as D, ensemble as E, kriging as KR, spatial as SP, temporal as T, trend as R, weather as G
 from isohyet.operators.kernels import ranks
 from isohyet.sources import sinks
 
@@ -99,11 +99,79 @@ def test_resampling_keeps_a_constant(spark, method):
     assert len(out) == 99 and all(r.value == pytest.approx(7) for r in out)
 
 
-def test_kriging_is_exact_at_stations():
+def krige(xy, z, to, model):
+    """Dense ordinary kriging of all stations to each point."""
+    n = len(z)
+    a = np.ones((n + 1, n + 1))
+    a[:n, :n] = SP.spherical(np.sqrt(((xy[:, None] - xy) ** 2).sum(2)), *model)
+    a[n, n] = 0
+    b = np.ones((n + 1, len(to)))
+    b[:n] = SP.spherical(np.sqrt(((xy[:, None] - to) ** 2).sum(2)), *model)
+    return np.maximum((np.linalg.solve(a, b)[:n].T @ z), 0)
+
+
+def kriged(spark, tmp_path, places, shape=(9, 7), **limits):
+    """places: date -> (xy, z). Estimates by cell, and the models."""
+    rows = [(d, float(x), float(y), float(v), 1) for d, (xy, z) in places.items() for (x, y), v in zip(xy, z, strict=True)]
+    stations = spark.createDataFrame([*rows, ("a", None, 1.0, 1.0, 1), ("a", 1.0, 1.0, None, 1), (None, 1.0, 1.0, 5.0, 1)], "date string, lon double, lat double, value double, x int")
+    grid = spark.range(shape[0] * shape[1]).selectExpr(f"cast(id div {shape[1]} as int) as y", f"cast(id % {shape[1]} as int) as x").selectExpr("*", "y * 1.25 as lat", "x * 1.5 as lon")
+
+    def cut(df, n=[0]):  # noqa: B006
+        n[0] += 1
+        df.write.parquet(f"{tmp_path}/{n[0]}", mode="overwrite")
+        return spark.read.parquet(f"{tmp_path}/{n[0]}")
+
+    out = KR.ordinary_kriging(stations, ["date"], grid, cut, **limits)
+    models = {r.date: tuple(r.model) for r in KR.variograms(stations.where("date is not null and lon is not null and value is not null").groupBy("date", "lon", "lat").agg(F.avg("value").alias("z")), ["date"]).collect()}
+    got = {}
+    for r in out.collect():
+        assert (r.date, r.y, r.x) not in got
+        got[r.date, r.y, r.x] = r.estimate
+    return got, models
+
+
+def test_kriging_from_all_stations_is_dense_kriging(spark, tmp_path):
     r = np.random.default_rng(0)
-    xy, z = r.random((15, 2)) * 10, r.random(15)
-    assert np.allclose(SP.krige(xy, z, xy, (0.0, 1.0, 5.0)), z, atol=1e-6)
-    assert np.allclose(SP.krige(xy, np.full(15, 3.0), r.random((9, 2)) * 10, (0.1, 1.0, 5.0)), 3.0)
+    places = {"a": (r.random((25, 2)) * 10, r.random(25) * 9), "b": (r.random((14, 2)) * 10, r.random(14) * 9)}
+    got, models = kriged(spark, tmp_path, places, k=25, block=7)
+    assert len(got) == 2 * 63
+    for d, (xy, z) in places.items():
+        wanted = krige(xy, z, np.array([(x * 1.5, y * 1.25) for y in range(9) for x in range(7)]), models[d])
+        assert [got[d, y, x] for y in range(9) for x in range(7)] == pytest.approx(wanted.tolist(), abs=1e-7)
+
+
+@pytest.mark.parametrize("limits", [{}, {"block": 16, "part": 9}])
+def test_kriging_from_the_nearest(spark, tmp_path, limits):
+    """Each cell's 5 nearest stations, wherever they lie: a crowd in a corner, few elsewhere, some far off the grid."""
+    r = np.random.default_rng(1)
+    xy = np.concatenate([r.random((60, 2)) * 0.5, r.random((8, 2)) * 10, r.random((4, 2)) * 3 + 60])
+    z = np.round(r.random(72) * 9, 3)
+    got, models = kriged(spark, tmp_path, {"a": (np.concatenate([xy, xy[:1]]), np.r_[z, z[0] + 1])}, k=5, **limits)
+    z[0] += 0.5  # the mean of two at one place
+    for (_, y, x), v in got.items():
+        to = np.array([x * 1.5, y * 1.25])
+        near = np.argsort(np.sqrt(((xy - to) ** 2).sum(1)), kind="stable")[:5]
+        assert v == pytest.approx(krige(xy[near], z[near], to[None], models["a"])[0], abs=1e-6)
+    assert len(got) == 63
+
+
+def test_kriging_of_few_stations(spark, tmp_path):
+    got, _ = kriged(spark, tmp_path, {"a": (np.array([[1.0, 1.0], [4.0, 4.0]]), np.array([2.0, 4.0])), "b": (np.array([[1.0, 2.0]] * 2), np.array([3.0, 5.0])), "c": (np.arange(10).reshape(5, 2) * 1.0, np.full(5, 6.0))}, k=3)
+    assert {d: {v for (e, *_), v in got.items() if e == d} for d in "abc"} == {"a": {3.0}, "b": {4.0}, "c": {6.0}}
+
+
+def test_variogram_of_all_pairs(spark):
+    """Bins summed over pairs of blocks are those of all pairs at once."""
+    r = np.random.default_rng(4)
+    xy, z = r.random((50, 2)) * 8, r.random(50)
+    df = spark.createDataFrame([("k", float(x), float(y), float(v)) for (x, y), v in zip(xy, z, strict=True)], "key string, lon double, lat double, z double")
+    i, j = np.triu_indices(50, 1)
+    h, g = np.sqrt(((xy[i] - xy[j]) ** 2).sum(1)), 0.5 * (z[i] - z[j]) ** 2
+    lag = np.minimum((h / np.sqrt((np.ptp(xy, axis=0) ** 2).sum()) * KR.LAGS).astype(int), KR.LAGS - 1)
+    n = np.bincount(lag, minlength=KR.LAGS)
+    wanted = KR.fitted((np.bincount(lag, h, KR.LAGS) / np.maximum(n, 1))[n > 0], (np.bincount(lag, g, KR.LAGS) / np.maximum(n, 1))[n > 0], len(h))
+    for block in (8, 1024):
+        assert tuple(KR.variograms(df, ["key"], block=block).first().model) == pytest.approx(wanted)
 
 
 def test_thiessen_weights():
