@@ -1101,15 +1101,17 @@ def station_file(spark, sf):
     return tables.stations(spark, folder)
 
 
-@query(f"WITH {I.GRID} SELECT y, x, 50.0::DOUBLE - y AS lat, 100.0::DOUBLE + x AS lon, DATE '2001-01-17' AS time, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM g WHERE y < (SELECT max(y) FROM g) AND y > 0")
+@query(f"""WITH {I.GRID}, f(time) AS (VALUES (DATE '2001-01-10'), (DATE '2001-01-11'), (DATE '2001-01-12'), (DATE '2001-01-13')), d AS (SELECT max(y) AS my, max(x) AS mx FROM g)
+SELECT CAST(r.y AS INTEGER) AS y, CAST(c.x AS INTEGER) AS x, 50.0::DOUBLE - r.y AS lat, 100.0::DOUBLE + c.x AS lon, time, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value
+FROM d, range(0, my + 1) r(y), range(0, mx + 1) c(x), f LEFT JOIN g ON g.y = r.y AND g.x = c.x""")
 def tiff_files(spark, sf):
-    """A GeoTIFF written and read; its first and last row of cells, which the parts do not fill, are left out."""
+    """GeoTIFFs of each compression, in strips and in tiles, written and read: all cells, those that no part fills as well."""
     folder = I.scratch(spark, "tiffs")
-    g = I.grid(spark, sf).select(F.lit("price_20010117.tif").alias("name"), "y", "x", (50.0 - F.col("y")).alias("lat"), (100.0 + F.col("x")).alias("lon"), "value")
-    last = g.agg(F.max("y")).scalar()
-    sinks.write_files(sinks.tiffs(g, ["name"]), folder)
-    cells = rasters.tiff_stack(spark, folder).withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
-    return cells.where((F.col("y") > 0) & (F.col("y") < last))
+    g = I.grid(spark, sf).select("y", "x", (50.0 - F.col("y")).alias("lat"), (100.0 + F.col("x")).alias("lon"), "value")
+    layouts = [{}, {"compression": "lzw", "predictor": 2, "tile": 16}, {"compression": "deflate", "predictor": 3, "rows": 7}, {"compression": "packbits", "tile": 32}]
+    for k, layout in enumerate(layouts):
+        sinks.write_files(sinks.tiffs(g.withColumn("name", F.lit(f"price_2001011{k}.tif")), ["name"], **layout), folder)
+    return rasters.tiff_stack(spark, folder).withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
 
 
 def _model_files(spark, sf) -> str:

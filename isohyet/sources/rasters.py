@@ -1,19 +1,15 @@
-"""Raster and cube files: classic NetCDF and plain GeoTIFF, read into long tables in tasks, without any library."""
+"""Raster and cube files: NetCDF and GeoTIFF, read into long tables in tasks, without any library."""
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import netcdf
+from .geotiff import read_tiff, write_tiff  # noqa: F401
 from .netcdf import read_netcdf, write_netcdf  # noqa: F401
 
-#: Element types of TIFF samples.
-_TIFF_TYPES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
-
 
 def grids(spark: SparkSession, path: str, variable: str, levels: tuple[float, ...] = (50_000.0, 85_000.0)) -> DataFrame:
     """Cells of a variable in all .nc files below path: path, y, x, lat, lon, level (the nearest to each of `levels`, null without), date, value."""
@@ -22,52 +18,6 @@ def grids(spark: SparkSession, path: str, variable: str, levels: tuple[float, ..
     return spark.read.format("netcdf").options(variable=variable, levels=wanted).load(path).drop("variable")
 
 
-def read_tiff(raw: bytes, band: int = 1) -> tuple[np.ndarray, dict]:
-    """One band (from 1) of an uncompressed strip TIFF, with origin and pixel size; an error if the band is missing."""
-    end = {b"II": "<", b"MM": ">"}[raw[:2]]
-    u16, u32 = (lambda at: struct.unpack_from(end + "H", raw, at)[0]), (lambda at: struct.unpack_from(end + "I", raw, at)[0])
-    at, tags = u32(4), {}
-    size = {1: 1, 2: 1, 3: 2, 4: 4, 12: 8, 11: 4}
-    code = {1: "B", 2: "c", 3: "H", 4: "I", 12: "d", 11: "f"}
-    for k in range(u16(at)):
-        e = at + 2 + 12 * k
-        kind, n = u16(e + 2), u32(e + 4)
-        if kind in size:
-            where = e + 8 if size[kind] * n <= 4 else u32(e + 8)
-            tags[u16(e)] = struct.unpack_from(f"{end}{n}{code[kind]}", raw, where)
-    width, height, count = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
-    if tags.get(259, (1,))[0] != 1:
-        raise ValueError("compressed TIFF")
-    if not 1 <= band <= count:
-        raise ValueError(f"band {band} of {count}")
-    kind = np.dtype(end + _TIFF_TYPES[(tags.get(339, (1,))[0], tags[258][0])])
-    data = b"".join(raw[o : o + n] for o, n in zip(tags[273], tags[279], strict=True))
-    a = np.frombuffer(data, kind)
-    a = a.reshape(count, height, width)[band - 1] if tags.get(284, (1,))[0] == 2 else a.reshape(height, width, count)[:, :, band - 1]
-    info = {"pixel": tags.get(33550, (1.0, 1.0, 0.0))[:2], "origin": tags.get(33922, (0.0,) * 6)[3:5]}
-    return a, info
-
-
-def write_tiff(values: np.ndarray, lats: np.ndarray, lons: np.ndarray) -> bytes:
-    """A float32 GeoTIFF in geographic coordinates (EPSG:4326); cells' sizes and edges follow from the centres. lats run from north."""
-    h, w = values.shape
-    dx, dy = (lons[-1] - lons[0]) / max(1, w - 1), (lats[0] - lats[-1]) / max(1, h - 1)
-    keys = (1, 1, 0, 3, 1024, 0, 1, 2, 1025, 0, 1, 1, 2048, 0, 1, 4326)
-    body = np.ascontiguousarray(values, "<f4").tobytes()
-    entries = [(256, 4, [w]), (257, 4, [h]), (258, 3, [32]), (259, 3, [1]), (262, 3, [1]), (273, 4, [8]), (277, 3, [1]), (278, 4, [h]), (279, 4, [len(body)]), (339, 3, [3]),
-               (33550, 12, [dx, dy, 0.0]), (33922, 12, [0.0, 0.0, 0.0, lons[0] - dx / 2, lats[0] + dy / 2, 0.0]), (34735, 3, list(keys))]
-    code, at = {3: "H", 4: "I", 12: "d"}, 8 + len(body)
-    extra_at, table, extra = at + 2 + 12 * len(entries) + 4, b"", b""
-    for tag, kind, v in entries:
-        packed = struct.pack(f"<{len(v)}{code[kind]}", *v)
-        if len(packed) > 4:
-            table += struct.pack("<HHII", tag, kind, len(v), extra_at + len(extra))
-            extra += packed
-        else:
-            table += struct.pack("<HHI", tag, kind, len(v)) + packed.ljust(4, b"\0")
-    return b"II*\0" + struct.pack("<I", at) + body + struct.pack("<H", len(entries)) + table + struct.pack("<I", 0) + extra
-
-
 def tiff_stack(spark: SparkSession, path: str, band: int = 1, pattern: str = r"(\d{8})", form: str = "yyyyMMdd") -> DataFrame:
     """Cells of all .tif files below path: y, x, lat, lon, time (from the file's name), value."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tif").load(path)
@@ -76,9 +26,12 @@ def tiff_stack(spark: SparkSession, path: str, band: int = 1, pattern: str = r"(
         for pdf in batches:
             for name, raw in zip(pdf["path"], pdf["content"], strict=True):
                 a, info = read_tiff(bytes(raw), band)
-                yy, xx = np.mgrid[0 : a.shape[0], 0 : a.shape[1]]
                 (dx, dy), (x0, y0) = info["pixel"], info["origin"]
-                yield pd.DataFrame({"path": name, "y": yy.ravel(), "x": xx.ravel(), "lat": y0 - (yy.ravel() + 0.5) * dy, "lon": x0 + (xx.ravel() + 0.5) * dx, "value": a.ravel().astype(float)})
+                step = max(1, (1 << 16) // a.shape[1])
+                for first in range(0, a.shape[0], step):  # some rows at a time
+                    some = a[first : first + step]
+                    yy, xx = (v.ravel() for v in np.mgrid[first : first + len(some), 0 : a.shape[1]])
+                    yield pd.DataFrame({"path": name, "y": yy, "x": xx, "lat": y0 - (yy + 0.5) * dy, "lon": x0 + (xx + 0.5) * dx, "value": some.ravel().astype(float)})
 
     cells = files.select("path", "content").mapInPandas(explode, "path string, y int, x int, lat double, lon double, value double")
     stamp = F.regexp_extract(F.element_at(F.split("path", "/"), -1), pattern, 1)

@@ -81,8 +81,8 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def tiffs(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """The bytes of one GeoTIFF for each key's grid (y, x, lat, lon, value); gaps are NaN."""
+def tiffs(df: DataFrame, keys: list[str], value: str = "value", **layout) -> DataFrame:
+    """The bytes of one GeoTIFF for each key's grid (y, x, lat, lon, value); gaps are NaN. layout: options of write_tiff, such as compression and tile."""
     from .rasters import write_tiff
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
@@ -92,6 +92,6 @@ def tiffs(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
         a, lat, lon = np.full((h, w), np.nan), np.full(h, np.nan), np.full(w, np.nan)
         a[pdf["y"], pdf["x"]] = pdf[value].astype(float)
         lat[pdf["y"]], lon[pdf["x"]] = pdf["lat"], pdf["lon"]
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "content": write_tiff(a, lat, lon)}])
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "content": write_tiff(a, lat, lon, **layout)}])
 
     return df.groupBy(*keys).applyInPandas(run, f"{kinds}, content binary")
