@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .runtime import cut, release, trim
+from .runtime import cut, lean, release, trim
 
 WORDS, NUM, DEN = 5, 80, 100
 #: Bytes of one signature entry; bytes a bucket of signatures should hold; entries signed together; classes a task remembers.
@@ -478,6 +478,11 @@ def _open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
 
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, class (equal sets share it), component_id."""
+    with lean(docs.sparkSession):
+        return _join_components(docs, doc_id, text)
+
+
+def _join_components(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     described = cut(docs.mapInArrow(_describe, "doc_id long, n long, fp long, sketch binary"), "jaccard-described")
     classes = described.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))

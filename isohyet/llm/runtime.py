@@ -10,6 +10,8 @@ import re
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +65,18 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files of a finished query go at once instead of when the driver's garbage is collected. What a query has written stays."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def location(df: DataFrame) -> str:
     """Where the table lies that cut gave."""
     ref, path = _tables[id(df)]
