@@ -1,4 +1,4 @@
-"""Grids as long tables (y, x, bands): overlay, zones, nearest cells, resampling, rasterising, Thiessen means."""
+"""Grids as long tables (y, x, bands): overlay, zones, nearest cells, resampling, Thiessen means."""
 
 from __future__ import annotations
 
@@ -112,20 +112,6 @@ def inside(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
     return out
 
 
-def rasterize(cells: DataFrame, polygons: list[tuple[float, list[tuple[float, float]]]], lat: str = "lat", lon: str = "lon", name: str = "burned") -> DataFrame:
-    """The value of the last polygon that holds a cell's centre, else null. polygons: (value, ring of (lon, lat)), a driver-sized list."""
-    rings = [(float(v), np.asarray(r, float)) for v, r in polygons]
-
-    @F.pandas_udf("double")
-    def burn(la: pd.Series, lo: pd.Series) -> pd.Series:
-        out = np.full(len(la), np.nan)
-        for value, ring in rings:
-            out[inside(lo.to_numpy(float), la.to_numpy(float), ring)] = value
-        return pd.Series(out).astype(object).where(~np.isnan(out), None)
-
-    return cells.withColumn(name, burn(lat, lon))
-
-
 def clip(poly: list, a: np.ndarray, b: np.ndarray) -> list:
     """The part of a polygon nearer to a than to b."""
     middle, normal, out = (a + b) / 2, b - a, []

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import calendar as C, display as V, landscape as L
-from ..operators import composites as CO, decomposition as D, downscaling as DS, dynamic as DY, ensemble as E, kriging as KR, skill as K, spatial as SP, temporal as T, trend as R, weather as G
+from ..operators import composites as CO, decomposition as D, downscaling as DS, dynamic as DY, ensemble as E, kriging as KR, polygons as PG, skill as K, spatial as SP, temporal as T, trend as R, weather as G
 from ..sources import netcdf, rasters, sinks, tables
 from . import inputs as I, pipelines
 
@@ -596,7 +596,25 @@ SELECT g.y, g.x, CAST(max(v) AS DOUBLE) AS burned FROM g LEFT JOIN p ON g.y = p.
 def burn_polygons(spark, sf):
     """P6."""
     g = I.grid(spark, sf).withColumns({"lat": F.col("y") + 0.5, "lon": F.col("x") + 0.5})
-    return SP.rasterize(g, [(1.0, [(2, 2), (30, 4), (20, 40)]), (2.0, [(10, 10), (18, 10), (18, 20), (10, 20)])]).select("y", "x", "burned")
+    ring = lambda *p: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in p])
+    rings = {1: ring((2, 2), (30, 4), (20, 40)), 2: ring((10, 10), (18, 10), (18, 20), (10, 20))}
+    polygons = [spark.range(1).select(F.lit(k).alias("order"), F.lit(float(k)).alias("value"), F.array(r).alias("rings")) for k, r in rings.items()]
+    return PG.rasterize(g, polygons[0].union(polygons[1])).select("y", "x", "burned")
+
+
+@query(f"""WITH {I.GRID}, c AS (SELECT c_custkey AS k, (c_custkey * 73 % 400) / 10.0::DOUBLE + 0.0371 AS cx, (c_custkey * 37 % 500) / 10.0::DOUBLE + 0.0173 AS cy, 0.5::DOUBLE + c_nationkey / 5.0::DOUBLE AS r FROM customer),
+o AS (SELECT k, cx, cy, r, 0 AS ring FROM c UNION ALL SELECT k, cx, cy, r / 2, 1 FROM c),
+e AS (SELECT k, cx - r AS a, cy AS b, cx AS c, cy - r AS d FROM o UNION ALL SELECT k, cx, cy - r, cx + r, cy FROM o UNION ALL SELECT k, cx + r, cy, cx, cy + r FROM o UNION ALL SELECT k, cx, cy + r, cx - r, cy FROM o),
+p AS (SELECT y, x, k FROM g, e WHERE (b > y + 0.5) <> (d > y + 0.5) AND x + 0.5 < (c - a) * (y + 0.5 - b) / nullif(d - b, 0)::DOUBLE + a GROUP BY y, x, k HAVING count(*) % 2 = 1)
+SELECT g.y, g.x, CAST(max(k) AS DOUBLE) AS burned FROM g LEFT JOIN p ON g.y = p.y AND g.x = p.x GROUP BY g.y, g.x""")
+def burn_polygon_table(spark, sf):
+    """A polygon with a hole for each customer; the last one by key counts."""
+    g = I.grid(spark, sf).withColumns({"lat": F.col("y") + 0.5, "lon": F.col("x") + 0.5})
+    k = F.col("c_custkey")
+    c = I.table(spark, sf, "customer").select(k, (k * 73 % 400 / F.lit(10.0) + 0.0371).alias("cx"), (k * 37 % 500 / F.lit(10.0) + 0.0173).alias("cy"), (F.col("c_nationkey") / F.lit(5.0) + 0.5).alias("r"))
+    x, y, r = F.col("cx"), F.col("cy"), F.col("r")
+    ring = lambda r: F.array(*[F.struct(px.alias("x"), py.alias("y")) for px, py in ((x - r, y), (x, y - r), (x + r, y), (x, y + r))])
+    return PG.rasterize(g, c.select(k.alias("order"), k.cast("double").alias("value"), F.array(ring(r), ring(r / 2)).alias("rings"))).select("y", "x", "burned")
 
 
 @query()
