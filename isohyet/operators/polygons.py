@@ -15,13 +15,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .spatial import inside
 
 #: Levels of the quadtree, and how many of them a polygon's cover goes below the square of its own extent.
 DEPTH, FINER = 24, 4
+_SQUARES = pa.schema([("order", pa.int64()), ("__level", pa.int32()), ("__column", pa.int64()), ("__row", pa.int64()), ("whole", pa.bool_())])
 
 
 def _edges(rings) -> np.ndarray:
@@ -92,23 +93,25 @@ def rasterize(cells: DataFrame, polygons: DataFrame, lat: str = "lat", lon: str
     extent = max(high_x - low_x, high_y - low_y) or 1.0
 
     def covers(batches):
-        for pdf in batches:
-            rows = [(o, *square) for o, rings in zip(pdf["order"], pdf["rings"], strict=True) for square in cover(rings, low_x, low_y, extent)]
-            yield pd.DataFrame(rows, columns=["order", "__level", "__column", "__row", "whole"])
+        for batch in batches:
+            rows = [(r["order"], *square) for r in batch.to_pylist() for square in cover(r["rings"], low_x, low_y, extent)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SQUARES, strict=True)], schema=_SQUARES)
 
-    squares = polygons.select("order", "rings").mapInPandas(covers, "order long, __level int, __column long, __row long, whole boolean")
-    levels = F.explode(F.sequence(F.lit(max(0, DEPTH - 24)), F.lit(DEPTH)))
+    squares = polygons.select("order", "rings").mapInArrow(covers, "order long, __level int, __column long, __row long, whole boolean")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
     side = F.lit(float(extent)) / F.pow(F.lit(2.0), F.col("__level"))
-    at = cells.select("y", "x", F.col(lat).cast("double").alias("__lat"), F.col(lon).cast("double").alias("__lon")).where("__lat is not null and __lon is not null").withColumn("__level", levels)
+    at = cells.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(lat).cast("double").alias("__lat"), F.col(lon).cast("double").alias("__lon")).where("__lat is not null and __lon is not null").withColumn("__level", levels)
     at = at.join(F.broadcast(squares.select("__level").distinct()), "__level", "left_semi")  # DEPTH + 1 levels at most
     at = at.withColumns({"__column": F.floor((F.col("__lon") - low_x) / side), "__row": F.floor((F.col("__lat") - low_y) / side)})
     met = at.join(squares, ["__level", "__column", "__row"])
 
-    @F.pandas_udf("boolean")
-    def holds(rings: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([bool(_holds(r, np.array([a]), np.array([b]))[0]) for r, a, b in zip(rings, x, y, strict=True)])
+    def tested(batches):
+        for batch in batches:
+            keep = [bool(_holds(r["rings"], np.array([r["__lon"]]), np.array([r["__lat"]]))[0]) for r in batch.to_pylist()]
+            yield batch.select(["y", "x", "order"]).filter(pa.array(keep, pa.bool_()))
 
     near = met.where(~F.col("whole")).select("y", "x", "__lat", "__lon", "order").join(polygons.select("order", "rings"), "order")
-    found = met.where("whole").select("y", "x", "order").union(near.where(holds("rings", "__lon", "__lat")).select("y", "x", "order"))
+    found = met.where("whole").select("y", "x", "order").union(near.mapInArrow(tested, "y int, x int, order long"))
     last = found.groupBy("y", "x").agg(F.max("order").alias("order")).join(polygons.select("order", F.col("value").alias(name)), "order").drop("order")
     return cells.join(last, ["y", "x"], "left")
