@@ -78,6 +78,49 @@ def posterior(df: DataFrame, keys: list[str], time: str = "date", model: str = "
     return df.groupBy(*keys).applyInPandas(fit, f"{kinds}, models array<string>, probability double")
 
 
+def posterior_by_chains(df: DataFrame, keys: list[str], chains: int = 8, iterations: int = 10_000, time: str = "date", model: str = "gcm", inclusion: float = 1 / 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The posterior of subsets for any number of models, by Metropolis walks; a chain of a key is a task.
+
+    First the subsets visited, with their share of all chains' visits after burn-in (keys, models, probability); then the
+    chains' agreement on the subset's size (keys, chains, rhat: between to within variance, 1 where they agree; ess: effective draws).
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, x, y = _matrix(pdf, time, model)
+        chain = int(pdf["__chain"].iloc[0])
+        visits, steps = bayes.mc3(x, y, iterations, inclusion, seed=[seed, chain, *(hash_key(str(pdf[k].iloc[0])) for k in keys)])
+        sizes = np.array([sum(m) for m in steps[len(steps) // 2 :]], float)
+        tau = bayes.integrated_time(sizes) if sizes.std() else 0.5
+        head = {k: pdf[k].iloc[0] for k in keys} | {"chain": chain, "mean": sizes.mean(), "var": sizes.var(ddof=1), "n": len(sizes), "ess": len(sizes) / (2 * tau)}
+        return pd.DataFrame([{**head, "models": [str(n) for n, k in zip(names, m, strict=True) if k], "share": p} for m, p in visits.items()])
+
+    dealt = df.withColumn("__chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
+    told = dealt.groupBy(*keys, "__chain").applyInPandas(walk, f"{kinds}, chain int, mean double, var double, n long, ess double, models array<string>, share double")
+    post = told.groupBy(*keys, "models").agg((F.sum("share") / chains).alias("probability"))
+    each = told.groupBy(*keys, "chain").agg(*[F.first(c).alias(c) for c in ("mean", "var", "n", "ess")])
+    within, between = F.avg("var"), F.coalesce(F.var_samp("mean"), F.lit(0.0))
+    rhat = F.when(within == 0, F.when(between == 0, 1.0)).otherwise(F.sqrt((F.avg("n") - 1) / F.avg("n") + between / F.nullif(within, F.lit(0.0))))
+    return post, each.groupBy(*keys).agg(F.count(F.lit(1)).alias("chains"), rhat.alias("rhat"), F.sum("ess").alias("ess"))
+
+
+def predictive_interval(df: DataFrame, keys: list[str], mass: float = 0.9, time: str = "date", model: str = "gcm", inclusion: float = 1 / 3) -> DataFrame:
+    """Mean, low and high of the averaged prediction at each time that all models have; models are fitted to the times with obs.
+
+    The prediction is a mixture of Student distributions, a subset of models each; its quantiles are found by bisection.
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in [*keys, time])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, x, y = _matrix(pdf, time, model)
+        wide = pdf.pivot_table(index=time, columns=model, values="value").dropna()
+        w, centres, widths, n = bayes.predictive_mixture(x, y, wide[names].to_numpy(float), inclusion)
+        low, high = (bayes.mixture_quantile(w, centres, widths, n, p) for p in ((1 - mass) / 2, (1 + mass) / 2))
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, time: wide.index, "mean": w @ centres, "low": low, "high": high})
+
+    return df.groupBy(*keys).applyInPandas(fit, f"{kinds}, mean double, low double, high double")
+
+
 def inclusion(post: DataFrame, keys: list[str]) -> DataFrame:
     """Posterior inclusion of each model."""
     return post.select(*keys, "probability", F.explode("models").alias("gcm")).groupBy(*keys, "gcm").agg(F.sum("probability").alias("inclusion"))

@@ -7,6 +7,8 @@ import math
 
 import numpy as np
 
+from .special import student_cdf
+
 
 def least_variance(errors: np.ndarray) -> np.ndarray:
     """Weights, summing to 1, of the least error variance: A^-1 1 / (1' A^-1 1) for the errors' covariance A."""
@@ -199,6 +201,40 @@ def predictive_draws(x: np.ndarray, y: np.ndarray, new: np.ndarray, n: int, incl
     return np.concatenate(out, axis=1)
 
 
+def posterior_of(x: np.ndarray, y: np.ndarray, inclusion: float = 1 / 3, exact_up_to: int = 12, seed: int = 0) -> dict[tuple[int, ...], float]:
+    """Enumerated for few columns, else by the walk."""
+    return enumerate_models(x, y, inclusion) if x.shape[1] <= exact_up_to else mc3(x, y, inclusion=inclusion, seed=seed)[0]
+
+
+def predictive_mixture(x: np.ndarray, y: np.ndarray, new: np.ndarray, inclusion: float = 1 / 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The averaged prediction at new rows as a mixture of Students: weights (m,), centres and widths (m, rows), degrees of freedom."""
+    post, g = posterior_of(x, y, inclusion), max(len(y), x.shape[1] ** 2)
+    centres, widths = [], []
+    for m in post:
+        at = np.flatnonzero(m)
+        wide = lambda a: np.column_stack([np.ones(len(a)), a[:, at]])  # noqa: E731, B023
+        fit, n = ConjugateRegression(1 / g).fit(wide(x), y), wide(new)
+        centres.append(fit.predict(n))
+        widths.append(np.sqrt(fit.rate / fit.shape * (1 + np.einsum("ij,jk,ik->i", n, fit.cov, n))))
+    return np.array(list(post.values())), np.array(centres), np.array(widths), float(len(y))
+
+
+def mixture_quantile(weights: np.ndarray, centres: np.ndarray, widths: np.ndarray, df: float, p: float) -> np.ndarray:
+    """Where a mixture's distribution function reaches p, row by row: bisection, no draws."""
+    below = lambda q: weights @ student_cdf((q - centres) / widths, df)
+    far = widths.max(axis=0)
+    low, high = centres.min(axis=0) - far, centres.max(axis=0) + far
+    while (out := below(low) > p).any():
+        low = np.where(out, low - (far := 2 * far), low)
+    while (out := below(high) < p).any():
+        high = np.where(out, high + (far := 2 * far), high)
+    for _ in range(80):
+        middle = (low + high) / 2
+        short = below(middle) < p
+        low, high = np.where(short, middle, low), np.where(short, high, middle)
+    return (low + high) / 2
+
+
 def autocorrelation(x: np.ndarray, lags: int | None = None) -> np.ndarray:
     """Autocorrelation up to n / 100 lags by default."""
     lags = max(1, len(x) // 100) if lags is None else lags

@@ -353,7 +353,7 @@ def emd2d(image: np.ndarray, max_imf: int = -1, mse: float = 0.01, mean: float =
             break
         modes.append(mode)
         rest = rest - mode
-        if rest.max() - rest.min() < 0.001 or len(modes) >= 12:
+        if rest.max() - rest.min() < 0.001:
             break
     out = [m * span for m in modes]
     return np.array([*out, image - (np.sum(out, axis=0) if out else 0)])

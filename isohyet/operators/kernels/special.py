@@ -66,3 +66,27 @@ def gammainc(a: float, x: float) -> float:
         if abs(d * c - 1) < 1e-15:
             break
     return 1 - h * math.exp(-x + a * math.log(x) - math.lgamma(a))
+
+
+def student_cdf(t: np.ndarray, df: float) -> np.ndarray:
+    """Distribution function of Student's t, element by element: the incomplete beta function's continued fraction on arrays."""
+    t = np.asarray(t, float)
+    x = df / (df + t * t)
+    a, b = df / 2, 0.5
+    turn = x > (a + 1) / (a + b + 2)
+    z, p, q = np.where(turn, 1 - x, x), np.where(turn, b, a), np.where(turn, a, b)
+    inside = (z > 0) & (z < 1)
+    y = np.where(inside, z, 0.5)
+    front = np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + p * np.log(y) + q * np.log1p(-y)) / p
+    f, c, d = np.ones_like(y), np.ones_like(y), np.zeros_like(y)
+    for i in range(300):
+        m = i // 2
+        n = 1.0 if i == 0 else m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)) if i % 2 == 0 else -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        d = 1 / np.where((v := 1 + n * d) == 0, 1e-300, v)
+        c = np.where((v := 1 + n / c) == 0, 1e-300, v)
+        f = f * c * d
+        if (np.abs(1 - c * d) < 1e-14).all():
+            break
+    beta = np.where(inside, front * (f - 1), (z >= 1).astype(float))
+    tail = np.where(turn, 1 - beta, beta) / 2
+    return np.where(t > 0, 1 - tail, tail)

@@ -758,11 +758,24 @@ def joint_inclusion(spark, sf):
     return rounded(E.joint_inclusion(E.posterior(I.ensemble(spark, sf), ["station"]), ["station"], ["A", "R"]), "probability")
 
 
+@query()
+def predictive_interval(spark, sf):
+    """The averaged prediction's mean and 90 % interval at each time, without draws."""
+    return rounded(E.predictive_interval(I.ensemble(spark, sf), ["station"]), "mean", "low", "high", places=3)
+
+
+@query()
+def chain_posterior(spark, sf):
+    """Subsets by eight walks a station, with the walks' agreement."""
+    post, agreement = E.posterior_by_chains(I.ensemble(spark, sf), ["station"])
+    return rounded(post.withColumn("models", F.array_join("models", "+")).join(agreement, "station"), "probability", "rhat", "ess")
+
+
 @query()
 def monte_carlo_interval(spark, sf):
-    """U3, B6, B8."""
+    """U3."""
     e = I.ensemble(spark, sf)
-    return rounded(E.monte_carlo_interval(e, E.quick_weights(e, ["station"]), ["station"], iterations=2000), "low", "high", places=3)
+    return rounded(E.monte_carlo_interval(e, E.quick_weights(e, ["station"]), ["station"]), "low", "high", places=3)
 
 
 # Weather. ----------------------------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions import calendar as C, landscape as L
 from isohyet.operators import composites as CO, decomposition as D, ensemble as E, kriging as KR, spatial as SP, temporal as T, trend as R, weather as G
-from isohyet.operators.kernels import ranks
+from isohyet.operators.kernels import bayes, ranks
 from isohyet.sources import sinks
 
 
@@ -281,3 +281,46 @@ def test_bucketed_tables_meet_without_a_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for t in ("stack_of_cells", "use_of_cells"):
             spark.sql(f"drop table if exists {t}")
+
+
+# Bayesian averaging.
+def members(spark, k, n=80, used=(0, 2), noise=0.3, seed=0):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, k))
+    y = 1 + x[:, list(used)].sum(axis=1) + noise * r.normal(size=n)
+    rows = [("s", t, f"m{j:02d}", float(x[t, j]), float(y[t])) for t in range(n) for j in range(k)]
+    return spark.createDataFrame(rows, "station string, date int, gcm string, value double, obs double"), x, y
+
+
+def test_chains_find_the_posterior(spark):
+    """As enumeration has it, within a few standard errors; the chains agree."""
+    df, x, y = members(spark, 6, n=25, noise=2.0)
+    post, agreement = E.posterior_by_chains(df, ["station"], chains=6, iterations=4000)
+    got = {tuple(r.models): r.probability for r in post.collect()}
+    exact = {tuple(f"m{j:02d}" for j, v in enumerate(m) if v): p for m, p in bayes.enumerate_models(x, y).items()}
+    assert sum(got.values()) == pytest.approx(1) and max(abs(got.get(m, 0) - p) for m, p in exact.items()) < 0.03
+    a = agreement.first()
+    assert a.chains == 6 and a.rhat < 1.05 and a.ess > 400
+
+
+def test_chains_of_many_members(spark):
+    """Twenty members are beyond enumeration: those that made the series are in nearly every subset visited."""
+    df, *_ = members(spark, 20, used=(3, 11, 17))
+    post, agreement = E.posterior_by_chains(df, ["station"], chains=4, iterations=3000)
+    share = {r.gcm: r.inclusion for r in E.inclusion(post, ["station"]).collect()}
+    assert min(share[m] for m in ("m03", "m11", "m17")) > 0.95 and len(share) == 20 and min(share.values()) < 0.9 and agreement.first().rhat < 1.1
+
+
+def test_predictive_interval(spark):
+    """The mass between the bounds by Simpson's rule over the mixture's density, and by draws."""
+    df, x, y = members(spark, 3, n=30, noise=1.0)
+    rows = {r.date: r for r in E.predictive_interval(df, ["station"], mass=0.8).collect()}
+    w, centres, widths, n = bayes.predictive_mixture(x, y, x)
+    front = math.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(n * math.pi)
+    draws = bayes.predictive_draws(x, y, x, 40_000, seed=1)
+    for t in (0, 7, 29):
+        at = np.linspace(rows[t].low, rows[t].high, 2001)
+        d = (w[:, None] / widths[:, t, None] * front * (1 + ((at - centres[:, t, None]) / widths[:, t, None]) ** 2 / n) ** (-(n + 1) / 2)).sum(axis=0)
+        assert (at[1] - at[0]) / 3 * (d[0] + d[-1] + 4 * d[1:-1:2].sum() + 2 * d[2:-1:2].sum()) == pytest.approx(0.8, abs=1e-9)
+        assert np.quantile(draws[t], [0.1, 0.9]) == pytest.approx([rows[t].low, rows[t].high], abs=0.05) and rows[t].mean == pytest.approx(draws[t].mean(), abs=0.03)
+    assert len(rows) == 30
