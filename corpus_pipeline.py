@@ -12,7 +12,7 @@ from isohyet.llm import bpe, jaccard, mixing, toxicity
 from isohyet.llm.queries import tokenizer
 from isohyet.llm.runtime import cut, ship, table
 
-#: Ids that one stage removes are broadcast up to this many, counted first; more are joined by a shuffle.
+#: Ids that one stage removes, and rows of what the mix takes, are broadcast up to this many, counted first; more are joined by a shuffle.
 MAX_BROADCAST = 500_000
 
 
@@ -56,8 +56,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     drawn = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
     drawn = drawn.agg(F.min("copies").alias("__low"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("__extra"))
     drawn = cut(drawn, "pipeline-drawn")
+    listed = F.broadcast if drawn.count() <= MAX_BROADCAST else (lambda df: df)  # else texts are shuffled once, to their counts
     same = docs["doc_id"].eqNullSafe(drawn["__id"]) & docs["source"].eqNullSafe(drawn["__source"]) & (mixing.words(docs["text"]) == drawn["__size"])
-    joined = docs.join(drawn.where("__low > 0 or __extra > 0"), same)
+    joined = docs.join(listed(drawn.where("__low > 0 or __extra > 0")), same)
     taken = joined.where("__extra = 0").withColumn("__copies", F.col("__low"))
     if not drawn.where("__extra > 0").isEmpty():
         place = F.row_number().over(W.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(*[docs[c] for c in docs.columns])))
