@@ -35,18 +35,24 @@ def _edges(rings) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 4))
 
 
-def _met(edges: np.ndarray, x: float, y: float, size: float) -> np.ndarray:
-    """Which edges meet a square, a little enlarged: boxes overlap, and the corners are not all on one side."""
-    near = size * 1e-9
+def _met(edges: np.ndarray, x: np.ndarray, y: np.ndarray, size: float) -> np.ndarray:
+    """Which squares an edge meets, each a little enlarged: boxes overlap, and the corners are not all on one side."""
+    near, out = size * 1e-9, np.zeros(len(x), bool)
     x0, y0, x1, y1 = edges.T
-    box = (np.minimum(x0, x1) <= x + size + near) & (np.maximum(x0, x1) >= x - near) & (np.minimum(y0, y1) <= y + size + near) & (np.maximum(y0, y1) >= y - near)
     dx, dy = x1 - x0, y1 - y0
-    sides = np.stack([dx * (cy - y0) - dy * (cx - x0) for cx in (x - near, x + size + near) for cy in (y - near, y + size + near)])
-    return box & (sides.min(axis=0) <= 0) & (sides.max(axis=0) >= 0)
+    step = max(1, (1 << 18) // len(edges))
+    for a in range(0, len(x), step):
+        left, low = x[a : a + step, None] - near, y[a : a + step, None] - near
+        right, high = left + size + 2 * near, low + size + 2 * near
+        box = (np.minimum(x0, x1) <= right) & (np.maximum(x0, x1) >= left) & (np.minimum(y0, y1) <= high) & (np.maximum(y0, y1) >= low)
+        sides = [dx * (cy - y0) - dy * (cx - x0) for cx in (left, right) for cy in (low, high)]
+        least, most = np.minimum(np.minimum(sides[0], sides[1]), np.minimum(sides[2], sides[3])), np.maximum(np.maximum(sides[0], sides[1]), np.maximum(sides[2], sides[3]))
+        out[a : a + step] = (box & (least <= 0) & (most >= 0)).any(axis=1)
+    return out
 
 
 def cover(rings, x0: float, y0: float, extent: float) -> list[tuple[int, int, int, bool]]:
-    """(level, column, row, whole) of the squares of a polygon."""
+    """(level, column, row, whole) of the squares of a polygon, level by level."""
     edges = _edges(rings)
     if not len(edges):
         return []
@@ -55,20 +61,19 @@ def cover(rings, x0: float, y0: float, extent: float) -> list[tuple[int, int, in
     level = min(DEPTH, math.floor(math.log2(extent / own))) if own > 0 else DEPTH
     size, last = extent / 2**level, min(DEPTH, level + FINER)
     at = lambda v, o: math.floor((v - o) / size)
-    stack = [(level, c, r, edges) for c in range(at(xs.min(), x0) - 1, at(xs.max(), x0) + 2) for r in range(at(ys.min(), y0) - 1, at(ys.max(), y0) + 2)]
+    columns, rows = (v.ravel() for v in np.meshgrid(np.arange(at(xs.min(), x0) - 1, at(xs.max(), x0) + 2), np.arange(at(ys.min(), y0) - 1, at(ys.max(), y0) + 2)))
     out = []
-    while stack:
-        k, c, r, above = stack.pop()
+    for k in range(level, last + 1):
         side = extent / 2**k
-        x, y = x0 + c * side, y0 + r * side
-        here = above[_met(above, x, y, side)]
-        if not len(here):
-            if _holds(rings, np.array([x + side / 2]), np.array([y + side / 2]))[0]:
-                out.append((k, c, r, True))
-        elif k == last:
-            out.append((k, c, r, False))
-        else:
-            stack += [(k + 1, 2 * c + i, 2 * r + j, here) for i in (0, 1) for j in (0, 1)]
+        x, y = x0 + columns * side, y0 + rows * side
+        met = _met(edges, x, y, side)
+        whole = ~met
+        whole[whole] = _holds(rings, x[whole] + side / 2, y[whole] + side / 2)
+        out += [(k, c, r, True) for c, r in zip(columns[whole].tolist(), rows[whole].tolist(), strict=True)]
+        columns, rows = columns[met], rows[met]
+        if k == last:
+            out += [(k, c, r, False) for c, r in zip(columns.tolist(), rows.tolist(), strict=True)]
+        columns, rows = (2 * columns[:, None] + [0, 1, 0, 1]).ravel(), (2 * rows[:, None] + [0, 0, 1, 1]).ravel()
     return out
 
 
@@ -80,10 +85,11 @@ def _holds(rings, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def rasterize(cells: DataFrame, polygons: DataFrame, lat: str = "lat", lon: str = "lon", name: str = "burned") -> DataFrame:
+def rasterize(cells: DataFrame, polygons: DataFrame, lat: str = "lat", lon: str = "lon", name: str = "burned", cut=lambda df: df) -> DataFrame:
     """cells (y, x, lat, lon, others) with the value of the last polygon that holds their centre, else null.
 
-    polygons: order long, value double, rings array<array<struct<x double, y double>>> (lon, lat).
+    polygons: order long, value double, rings array<array<struct<x double, y double>>> (lon, lat). cut may write a table to
+    the folder that driver and executors share and read it again, so that covers are made once.
     """
     polygons = polygons.select(F.col("order").cast("long").alias("order"), F.col("value").cast("double").alias("value"), "rings").where("rings is not null")
     points = polygons.select(F.explode(F.flatten("rings")).alias("p"))
@@ -98,7 +104,7 @@ def rasterize(cells: DataFrame, polygons: DataFrame, lat: str = "lat", lon: str
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SQUARES, strict=True)], schema=_SQUARES)
 
-    squares = polygons.select("order", "rings").mapInArrow(covers, "order long, __level int, __column long, __row long, whole boolean")
+    squares = cut(polygons.select("order", "rings").mapInArrow(covers, "order long, __level int, __column long, __row long, whole boolean"))
     levels = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
     side = F.lit(float(extent)) / F.pow(F.lit(2.0), F.col("__level"))
     at = cells.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(lat).cast("double").alias("__lat"), F.col(lon).cast("double").alias("__lon")).where("__lat is not null and __lon is not null").withColumn("__level", levels)
@@ -108,8 +114,13 @@ def rasterize(cells: DataFrame, polygons: DataFrame, lat: str = "lat", lon: str
 
     def tested(batches):
         for batch in batches:
-            keep = [bool(_holds(r["rings"], np.array([r["__lon"]]), np.array([r["__lat"]]))[0]) for r in batch.to_pylist()]
-            yield batch.select(["y", "x", "order"]).filter(pa.array(keep, pa.bool_()))
+            order, rings = batch.column("order").to_numpy(), batch.column("rings")
+            x, y = (batch.column(c).to_numpy() for c in ("__lon", "__lat"))
+            keep = np.zeros(len(order), bool)
+            for o, first in zip(*np.unique(order, return_index=True), strict=True):  # a polygon's cells at once
+                at = np.flatnonzero(order == o)
+                keep[at] = _holds(rings[int(first)].as_py(), x[at], y[at])
+            yield batch.select(["y", "x", "order"]).filter(pa.array(keep))
 
     near = met.where(~F.col("whole")).select("y", "x", "__lat", "__lon", "order").join(polygons.select("order", "rings"), "order")
     found = met.where("whole").select("y", "x", "order").union(near.mapInArrow(tested, "y int, x int, order long"))

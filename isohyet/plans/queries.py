@@ -599,7 +599,7 @@ def burn_polygons(spark, sf):
     ring = lambda *p: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in p])
     rings = {1: ring((2, 2), (30, 4), (20, 40)), 2: ring((10, 10), (18, 10), (18, 20), (10, 20))}
     polygons = [spark.range(1).select(F.lit(k).alias("order"), F.lit(float(k)).alias("value"), F.array(r).alias("rings")) for k, r in rings.items()]
-    return PG.rasterize(g, polygons[0].union(polygons[1])).select("y", "x", "burned")
+    return PG.rasterize(g, polygons[0].union(polygons[1]), cut=I.cut).select("y", "x", "burned")
 
 
 @query(f"""WITH {I.GRID}, c AS (SELECT c_custkey AS k, (c_custkey * 73 % 400) / 10.0::DOUBLE + 0.0371 AS cx, (c_custkey * 37 % 500) / 10.0::DOUBLE + 0.0173 AS cy, 0.5::DOUBLE + c_nationkey / 5.0::DOUBLE AS r FROM customer),
@@ -614,7 +614,7 @@ def burn_polygon_table(spark, sf):
     c = I.table(spark, sf, "customer").select(k, (k * 73 % 400 / F.lit(10.0) + 0.0371).alias("cx"), (k * 37 % 500 / F.lit(10.0) + 0.0173).alias("cy"), (F.col("c_nationkey") / F.lit(5.0) + 0.5).alias("r"))
     x, y, r = F.col("cx"), F.col("cy"), F.col("r")
     ring = lambda r: F.array(*[F.struct(px.alias("x"), py.alias("y")) for px, py in ((x - r, y), (x, y - r), (x + r, y), (x, y + r))])
-    return PG.rasterize(g, c.select(k.alias("order"), k.cast("double").alias("value"), F.array(ring(r), ring(r / 2)).alias("rings"))).select("y", "x", "burned")
+    return PG.rasterize(g, c.select(k.alias("order"), k.cast("double").alias("value"), F.array(ring(r), ring(r / 2)).alias("rings")), cut=I.cut).select("y", "x", "burned")
 
 
 @query()
