@@ -832,7 +832,7 @@ VARIABLES = ["PRE", "MAXTEM", "MINTEM", "RHU", "RS", "WIN"]
 
 @query()
 def weather_generator(spark, sf):
-    """Fitted on days, generated for their months, A11 in it."""
+    """No SQL: fitted on days, generated for their months, A11 in it."""
     return _generated(_weather(spark, sf))
 
 
@@ -913,7 +913,7 @@ def emd_sift(spark, sf):
 
 @query(SIFT)
 def eemd_sift(spark, sf):
-    """The ensemble's mean, dealt out in tasks, is the series' own where the noise has no width."""
+    """The ensemble's mean, dealt out in tasks, is the series' own where the noise has no width."""
     out = D.eemd(I.monthly(spark, sf), ["station"], trials=6, per_task=4, width=0.0, kind="linear", fixe=1, max_imf=1).where("not is_residual")
     return _modes(out.withColumn("is_residual", F.col("component") == F.max("component").over(W.partitionBy("station", "date"))))
 
