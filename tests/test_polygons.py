@@ -1,6 +1,7 @@
 """Polygons as a table against a plain test of every cell and every polygon."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,24 @@ def test_cells_meet_squares_by_equality(spark):
     df = PG.rasterize(cells, spark.createDataFrame([(1, 1.0, [ring], 0)], POLYGONS))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_covers_end_at_the_cells(spark):
+    """Many polygons over few cells: squares below the cells' spacing are not made, and the last polygon still counts."""
+    polygons = [(k, float(k), [[(x - r, y), (x, y - r), (x + r, y), (x, y + r)] for r in (size, size / 2)]) for k in range(2000) for x, y, size in [(k * 73 % 180 / 10 - 4 + 0.0371, k * 37 % 170 / 10 - 3 + 0.0173, 0.5 + k % 25 / 5)]]
+    few = [c for c in CELLS if c[0] % 3 == c[1] % 3 == 0]
+    cells = spark.createDataFrame(few, "y int, x int, lat double, lon double")
+    rows = [(o, v, [[{"x": a, "y": b} for a, b in ring] for ring in rings], 5) for o, v, rings in polygons]
+    made, wanted = [], plain(polygons)
+    out = PG.rasterize(cells, spark.createDataFrame(rows, POLYGONS), cut=lambda df: made.append(df.count()) or df).collect()
+    assert {(r.y, r.x): r.burned for r in out} == {at: v for at, v in wanted.items() if at[0] % 3 == at[1] % 3 == 0}
+    assert made[0] < 50 * len(polygons)
+
+
+def test_many_covers_at_once():
+    """A batch's covers are those of its polygons one by one."""
+    r = np.random.default_rng(5)
+    rings = [[[{"x": a, "y": b} for a, b in star(r, 20, 30, 10.0**k, 3 + k)]] for k in range(-2, 2)] + [[], [[{"x": 1.0, "y": 1.0}]]]
+    of, *squares = PG.covers(pa.array(rings), 0.0, 0.0, 100.0)
+    for k, ring in enumerate(rings):
+        assert list(zip(*(c[of == k].tolist() for c in squares), strict=True)) == PG.cover(ring, 0.0, 0.0, 100.0)
