@@ -154,9 +154,10 @@ def correct_monthly(daily: DataFrame, target: DataFrame, keys: list[str], time:
 def climatology_anomaly(steps: DataFrame, climate: DataFrame, keys: list[str], length: int = 16, time: str = "date", value: str = "value") -> DataFrame:
     """Each step's value minus the mean climatology of the `length` days up to its own; days before 1 wrap to the year's end.
 
-    climate: keys, doy (1 .. 365), value. Each step meets `length` rows of the small side, by equality.
+    climate: keys, doy (1 .. 365), value. Each step meets `length` rows of it, by equality. The climatology grows with the
+    keys, and Spark takes rows exploded from a small table for few: it is merged, never broadcast.
     """
     days = steps.withColumn("__back", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
     days = days.withColumn("doy", (F.pmod(C.doy365(F.col(time)) - 1 - F.col("__back"), F.lit(365)) + 1).cast("int"))
-    mean = days.join(climate.select(*keys, F.col("doy").cast("int").alias("doy"), F.col(value).alias("__normal")), [*keys, "doy"])
+    mean = days.join(climate.select(*keys, F.col("doy").cast("int").alias("doy"), F.col(value).alias("__normal")).hint("merge"), [*keys, "doy"])
     return mean.groupBy(*keys, time).agg((F.first(value) - F.avg("__normal")).alias("anomaly"))

@@ -78,6 +78,12 @@ def test_whole_grid_is_decomposed(spark, monkeypatch, name):
     assert len(got) > 1 and np.allclose(got, wanted, atol=1e-3)
 
 
+def test_climatology_is_not_broadcast(spark):
+    """It grows with the suppliers, however small Spark takes it for."""
+    plan = QUERIES["climatology_anomaly"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
