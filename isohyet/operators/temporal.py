@@ -71,12 +71,19 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, keys: list[str], value: str =
     return joined.withColumn("scaled", out).drop("low", "high")
 
 
-def joint_min_max(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """All columns scaled by their common minimum and maximum."""
-    w = W.partitionBy(*keys)
-    low = F.min(F.least(*columns)).over(w) if len(columns) > 1 else F.min(columns[0]).over(w)
-    high = F.max(F.greatest(*columns)).over(w) if len(columns) > 1 else F.max(columns[0]).over(w)
-    return df.withColumns({c: F.try_divide(F.col(c) - low, high - low) for c in columns})
+def joint_min_max(df: DataFrame, keys: list[str], columns: list[str], cut: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """All columns scaled by their common minimum and maximum.
+
+    Bounds are aggregated and joined back, so that no task holds all rows of a key. cut may write the bounds and read them
+    again: few ones are then broadcast by their size, and the rows are not shuffled.
+    """
+    least, most = (f(*columns) if len(columns) > 1 else F.col(columns[0]) for f in (F.least, F.greatest))
+    names = [f"__key{i}" for i in range(len(keys))]
+    bounds = cut(df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.min(least).alias("__low"), F.max(most).alias("__high")))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    joined = df.join(bounds, same, "left") if keys else df.crossJoin(bounds)
+    low, high = F.col("__low"), F.col("__high")
+    return joined.withColumns({c: F.try_divide(F.col(c) - low, high - low) for c in columns}).drop(*names, "__low", "__high")
 
 
 def split_years(df: DataFrame, keys: list[str], time: str = "date", train: float = 0.7, group: int = 10) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from isohyet.functions import calendar as C, landscape as L
 from isohyet.operators import composites as CO, decomposition as D, ensemble as E, kriging as KR, spatial as SP, temporal as T, trend as R, weather as G
 from isohyet.operators.kernels import bayes, ranks
+from isohyet.plans import inputs
 from isohyet.sources import sinks
 
 
@@ -324,3 +325,22 @@ def test_predictive_interval(spark):
         assert (at[1] - at[0]) / 3 * (d[0] + d[-1] + 4 * d[1:-1:2].sum() + 2 * d[2:-1:2].sum()) == pytest.approx(0.8, abs=1e-9)
         assert np.quantile(draws[t], [0.1, 0.9]) == pytest.approx([rows[t].low, rows[t].high], abs=0.05) and rows[t].mean == pytest.approx(draws[t].mean(), abs=0.03)
     assert len(rows) == 30
+
+
+@pytest.mark.parametrize("columns", [["a", "b"], ["a"]])
+def test_joint_bounds_hold_no_group_in_a_task(spark, columns):
+    """Keys may be null; rows are not gathered by key, and few bounds are broadcast."""
+    rows = [("k", 1.0, 3.0), ("k", 2.0, None), ("k", None, 5.0), (None, 4.0, 8.0), (None, 6.0, 6.0), ("one", 7.0, 7.0)]
+    df = spark.createDataFrame(rows, "model string, a double, b double")
+    out = T.joint_min_max(df, ["model"], columns, inputs.cut)
+    bounds = {"k": (1, 5), None: (4, 8), "one": (7, 7)} if len(columns) > 1 else {"k": (1, 2), None: (4, 6), "one": (7, 7)}
+
+    def scaled(v, key):
+        low, high = bounds[key]
+        return None if v is None or low == high else (v - low) / (high - low)
+
+    assert out.columns == df.columns
+    wanted = [(k, scaled(a, k), scaled(b, k) if "b" in columns else b) for k, a, b in rows]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(wanted, key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "BroadcastHashJoin" in plan
