@@ -368,6 +368,10 @@ def _surface_extrema(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: Knots up to which a surface is one dense system; above, it is solved by iterations that hold no matrix.
 MAX_DENSE = 6000
+#: Knots up to which that system is solved by least squares.
+SMALL = 400
+#: Kernels up to which a surface's values are summed one by one; above, they are one convolution of the image.
+MAX_SUMMED = 50_000_000
 #: Values of kernels held at a time, knots of a local solve, residual (relative) and steps at which the iterations end.
 _HELD, _LOCAL, _RESIDUAL, _STEPS = 4_000_000, 60, 1e-8, 400
 
@@ -388,6 +392,43 @@ def _product(at: np.ndarray, c: np.ndarray, w: np.ndarray, radial: bool) -> np.n
     return out
 
 
+def _smooth(n: int) -> int:
+    """The least number from n on without prime factors above 5."""
+    while True:
+        m = n
+        for f in (2, 3, 5):
+            while m % f == 0:
+                m //= f
+        if m == 1:
+            return n
+        n += 1
+
+
+def _convolved(h: int, w: int, y: np.ndarray, x: np.ndarray, weights: np.ndarray, scale: float, radial: bool) -> np.ndarray:
+    """Kernels between the places of an h x w image and knots at places of its 3 x 3 tiles times weights, by Fourier transforms.
+
+    The knots' rows are taken in three bands of h, so that no array has more than some eight times the image's places.
+    """
+    tall, wide = _smooth(2 * h - 1), _smooth(4 * w - 3)
+    j = np.arange(wide)
+    dx = np.where(j < 2 * w - 1, j, j - wide) / scale
+    total, step = np.zeros((tall, wide // 2 + 1), complex), max(1, _HELD // wide)
+    for low in (1 - h, 1, h + 1):
+        at = (y >= low) & (y < low + h)
+        if not at.any():
+            continue
+        laid = np.zeros((tall, wide))
+        np.add.at(laid, (y[at] - low, x[at] % wide), weights[at])
+        band = np.fft.rfft2(laid)
+        for a in range(0, tall, step):
+            i = np.arange(a, min(a + step, tall))
+            dy = (np.where(i < h, i, i - tall) - low) / scale
+            laid[a : a + step] = _kernel(np.hypot(dy[:, None], dx), radial)
+        band *= np.fft.rfft2(laid)
+        total += band
+    return np.fft.irfft2(total, (tall, wide))[:h, :w]
+
+
 def _surface(z: np.ndarray, points: np.ndarray, radial: bool) -> np.ndarray:
     """The surface through every point of the image and of its eight mirrors."""
     h, w = z.shape
@@ -396,21 +437,34 @@ def _surface(z: np.ndarray, points: np.ndarray, radial: bool) -> np.ndarray:
     at = np.unique(np.stack([y, x], 1), axis=0, return_index=True)[1]
     scale = max(h, w)
     c, v = np.stack([y[at], x[at]], 1) / scale, np.tile(z[points[:, 0], points[:, 1]], 9)[at]
-    weights, plane = (_dense if len(c) <= MAX_DENSE else _iterated)(c, v, radial)
     gy, gx = np.mgrid[0:h, 0:w]
+    if len(c) > SMALL and (plane := _plane(c, v)) is not None:
+        return plane[0] + gy * (plane[1] / scale) + gx * (plane[2] / scale)
+    weights, plane = (_dense if len(c) <= MAX_DENSE else _iterated)(c, v, radial)
+    if h * w * len(c) > MAX_SUMMED:
+        return _convolved(h, w, y[at], x[at], weights, scale, radial) + plane[0] + gy * (plane[1] / scale) + gx * (plane[2] / scale)
     g = np.stack([gy.ravel(), gx.ravel()], 1) / scale
     return (_product(g, c, weights, radial) + plane[0] + g @ plane[1:]).reshape(h, w)
 
 
+def _plane(c: np.ndarray, v: np.ndarray) -> np.ndarray | None:
+    """The plane through all knots, if their values are on one but for rounding: no weights then, whatever their number."""
+    a = np.c_[np.ones(len(c)), c]
+    plane = np.linalg.lstsq(a, v, rcond=None)[0]
+    return plane if abs(a @ plane - v).max() <= 1e-12 * abs(v).max() else None
+
+
 def _dense(c: np.ndarray, v: np.ndarray, radial: bool) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the knots c and the plane beneath, by one dense system."""
     n = len(c)
     a = np.zeros((n + 3, n + 3))
-    a[:n, :n], a[:n, n], a[:n, n + 1 :] = _kernel(np.hypot(c[:, :1] - c[:, 0], c[:, 1:] - c[:, 1]), radial), 1, c
+    for b in range(0, n, step := max(1, _HELD // n)):
+        a[b : min(b + step, n), :n] = _kernel(np.hypot(c[b : b + step, :1] - c[:, 0], c[b : b + step, 1:] - c[:, 1]), radial)
+    a[:n, n], a[:n, n + 1 :] = 1, c
     a[n:, :n] = a[:n, n:].T
     a[np.arange(n + 3), np.arange(n + 3)] += 1e-10
     rhs = np.r_[v, np.zeros(3)]
-    if n <= 400 or np.linalg.matrix_rank(a[:n, n:]) < 3:  # knots on a line leave the plane open
+    if n <= SMALL or np.linalg.matrix_rank(a[:n, n:]) < 3:  # knots on a line leave the plane open
         coef = np.linalg.lstsq(a, rhs, rcond=None)[0]
     else:
         coef = np.linalg.solve(a, rhs)

@@ -78,6 +78,28 @@ def test_image_modes_use_every_extremum(radial):
     assert np.allclose(emd.emd2d(z, 1, passes=1, radial=radial)[0], mode * (z.max() - z.min()), atol=1e-4)
 
 
+@pytest.mark.parametrize("radial", [False, True])
+@pytest.mark.parametrize("shape", [(61, 23), (9, 40), (40, 7)])
+def test_surface_by_convolution(monkeypatch, radial, shape):
+    """On large images the sum over knots is one convolution: the same values."""
+    r = np.random.default_rng(7)
+    z, points = r.random(shape), np.argwhere(r.random(shape) < 0.1)
+    monkeypatch.setattr(emd, "MAX_SUMMED", 10**12)
+    summed = emd._surface(z, points, radial)
+    monkeypatch.setattr(emd, "MAX_SUMMED", 0)
+    assert np.allclose(emd._surface(z, points, radial), summed, atol=1e-8)
+
+
+@pytest.mark.parametrize("radial", [False, True])
+def test_flat_surface_through_many_extrema(monkeypatch, radial):
+    """Extrema on a plane need no weights: nothing to iterate on but rounding."""
+    z = np.full((1600, 40), 0.1)
+    points = np.array([(y, x) for y in range(24, 1600, 25) for x in (20, 39)])
+    z[points[:, 0], points[:, 1]] = 0.7
+    monkeypatch.setattr(emd, "MAX_DENSE", 400)
+    assert np.allclose(emd._surface(z, points, radial), 0.7, atol=1e-12)
+
+
 @pytest.mark.parametrize("radial", [False, True])
 def test_surface_without_a_matrix(monkeypatch, radial):
     z = np.random.default_rng(4).random((30, 26))
